@@ -70,13 +70,13 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     spark = pairs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiled = pairs.withColumn("tile", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int"))
-    left = tiled.select("tile", F.col("a").alias("id")).distinct().join(sets, "id").select("tile", "id", "grams")
-    right = tiled.groupBy("tile", F.col("b").alias("id")).agg(F.collect_list("a").alias("partners")).join(sets, "id").select("tile", "id", "grams", "partners")
+    left = tiled.select("tile", F.col("a").alias("id")).distinct().join(sets, "id").select("tile", "id", "grams").toDF("tile_a", "id_a", "grams_a")
+    right = tiled.groupBy("tile", F.col("b").alias("id")).agg(F.collect_list("a").alias("partners")).join(sets, "id").select("tile", "id", "grams", "partners").toDF("tile_b", "id_b", "grams_b", "partners")
 
     def verify(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        held = {i: np.frombuffer(g, np.uint64) for i, g in zip(mine.column("id").to_pylist(), mine.column("grams").to_pylist())}
+        held = {i: np.frombuffer(g, np.uint64) for i, g in zip(mine.column("id_a").to_pylist(), mine.column("grams_a").to_pylist())}
         out = ([], [], [], [])
-        for i, g, partners in zip(*(theirs.column(c).to_pylist() for c in ("id", "grams", "partners"))):
+        for i, g, partners in zip(*(theirs.column(c).to_pylist() for c in ("id_b", "grams_b", "partners"))):
             b = np.frombuffer(g, np.uint64)
             own = [held[p] for p in partners]
             sizes = np.array([len(x) for x in own])
@@ -87,10 +87,10 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             for k in np.flatnonzero(inter >= threshold * total):
                 for o, x in zip(out, (partners[k], i, int(inter[k]), int(total[k]))):
                     o.append(x)
-        t = mine.schema.field("id").type
+        t = mine.schema.field("id_a").type
         return pa.table([pa.array(out[0], t), pa.array(out[1], t), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["a", "b", "inter", "total"])
 
-    return left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(verify, f"a {kind}, b {kind}, inter long, total long")
+    return left.groupBy("tile_a").cogroup(right.groupBy("tile_b")).applyInArrow(verify, f"a {kind}, b {kind}, inter long, total long")
 
 
 def components(edges: DataFrame) -> DataFrame:
