@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import colliding, components, jaccard_pairs
+from tarnlight.llm.pairs import colliding, components, few, jaccard_pairs
 from tarnlight.llm.words import WordCodes, codes_of, grams, minhash, mixed, multipliers, worker_state
 from tarnlight.shared import written
 
@@ -73,7 +73,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where(F.col("text").rlike(r"\S"))
-    joined = wanted.alias("w").join(texts.alias("t"), F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
+    joined = texts.alias("t").join((F.broadcast(wanted) if few(wanted) else wanted).alias("w"), F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
     return joined.select("w.id", "t.text").dropDuplicates(["id"]).mapInArrow(run, "id binary, grams binary")
 
 
@@ -84,8 +84,8 @@ def near_classes(docs: DataFrame, n: int, threshold: float, bands: int, rows: in
     pairs = written(colliding(classes.select(F.explode("bands").alias("band"), F.col("cls").alias("item"))), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     at = members.groupBy(F.col("cls").alias("id")).agg(F.min(F.struct("doc_id", "version")).alias("at"))
-    wanted = ids.join(at, "id").select("id", "at.doc_id", "at.version")
-    sets = class_sets(docs, wanted, n)
+    wanted = written(ids.join(at, "id").select("id", "at.doc_id", "at.version"), "wanted")
+    sets = written(class_sets(docs, wanted, n), "sets")
     return members.select("doc_id", "version", "cls"), written(jaccard_pairs(pairs, sets, threshold), "near")
 
 

@@ -7,17 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.shared import cut
+from tarnlight.shared import cut, written
 
+TILE = 4096
 
-def colliding(bands: DataFrame, key: str = "band", item: str = "item") -> DataFrame:
-    """Unordered pairs (a < b) of distinct items that share a key, each pair once.
 
-    One shuffle by key; the sorted runs of equal keys are paired in the Python
+def colliding(bands: DataFrame, span: int = 0) -> DataFrame:
+    """Unordered pairs (a < b) of distinct items that share a band, each pair once; bands has (band, item) or (band, item, owner).
+
+    One shuffle by band; the sorted runs of equal bands are paired in the Python
     worker as they stream by, so only one run is in memory. Every pair of a run
-    is given, whatever its length.
+    is given, whatever its length. An owner is a place, document << 24 |
+    position: items that lie less than span apart in some document are no pair.
     """
-    kind = dict(bands.dtypes)[item]
+    kind, places = dict(bands.dtypes)["item"], "owner" in bands.columns
 
     def runs(batches):
         last, held, kept, out = None, [], None, ([], [])
@@ -28,48 +31,75 @@ def colliding(bands: DataFrame, key: str = "band", item: str = "item") -> DataFr
                 out[0].clear(), out[1].clear()
 
         def paired():
-            items = sorted(set(held))
+            if places:
+                at: dict = {}
+                for item, owner in held:
+                    at.setdefault(item, {})[owner >> 24] = owner & 0xFFFFFF
+                items = sorted(at)
+            else:
+                items = sorted(set(held))
             held.clear()
             for i, x in enumerate(items[:-1]):
-                out[0].extend([x] * (len(items) - i - 1))
-                out[1].extend(items[i + 1 :])
+                rest = items[i + 1 :]
+                if places:
+                    rest = [y for y in rest if not beside(at[x], at[y], span)]
+                out[0].extend([x] * len(rest))
+                out[1].extend(rest)
                 yield from flush(50_000)
 
         for batch in batches:
-            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            kept = values.type
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            kept = batch.schema.field(1).type
             if not len(keys):
                 continue
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
-            for k in range(len(starts)):
-                edge = k in (0, len(starts) - 1)  # such a run may go on in another batch
-                if sizes[k] < 2 and not edge:
-                    continue
+            for k in np.flatnonzero((sizes > 1) | (starts == 0) | (starts == starts[-1])):  # the first and last may go on in other batches
                 if keys[starts[k]] != last:
-                    yield from paired()
+                    if held:
+                        yield from paired()
                     last = keys[starts[k]]
-                held.extend(values.slice(starts[k], sizes[k]).to_pylist())
+                run = [c.slice(starts[k], sizes[k]).to_pylist() for c in batch.columns[1:]]
+                held.extend(zip(*run) if places else run[0])
         yield from paired()
         yield from flush()
 
     spark = bands.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bands.select(F.col(key).alias("key"), F.col(item).alias("item")).where("key is not null")
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(runs, f"a {kind}, b {kind}").distinct()
+    rows = bands.select("band", "item", *["owner"] * places).where("band is not null")
+    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"a {kind}, b {kind}").distinct()
+
+
+def beside(x: dict[int, int], y: dict[int, int], span: int) -> bool:
+    """Whether some document has both items less than span apart."""
+    if len(y) < len(x):
+        x, y = y, x
+    return any(d in y and abs(y[d] - at) < span for d, at in x.items())
+
+
+def few(df: DataFrame, rows: int = 500_000) -> bool:
+    """Whether df, of narrow rows, may be broadcast: counted, not assumed."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, inter, total) for the pairs of which inter / total >= threshold.
 
-    sets has (id, grams): the bytes of a sorted array of distinct uint64. Each
-    set of side b is sent once to each tile of side a that it has a partner in,
-    so that a pair costs two ids rather than two sets.
+    sets has (id, grams): the bytes of a sorted array of distinct uint64. Pairs
+    are tiled by the hub of a, the least id among a and its partners, which all
+    of a dense group share; hubs of more than TILE members are split. So each
+    set of side b travels once for each tile that has partners of it, and not
+    once for each pair.
     """
     kind = dict(pairs.dtypes)["a"]
     spark = pairs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = pairs.withColumn("tile", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int"))
+    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    hubs = both.groupBy("id").agg(F.least("id", F.min("other")).alias("hub"))
+    sized = hubs.join(hubs.groupBy("hub").agg(F.count("*").alias("members")), "hub")
+    part = F.pmod(F.hash("id"), F.ceil(F.col("members") / TILE))
+    tiles = written(sized.select("id", F.pmod(F.xxhash64("hub", part), F.lit(n)).cast("int").alias("tile")), "tiles")
+    tiled = pairs.join(tiles, pairs.a == tiles.id).select("a", "b", "tile")
     left = tiled.select("tile", F.col("a").alias("id")).distinct().join(sets, "id").select("tile", "id", "grams").toDF("tile_a", "id_a", "grams_a")
     right = tiled.groupBy("tile", F.col("b").alias("id")).agg(F.collect_list("a").alias("partners")).join(sets, "id").select("tile", "id", "grams", "partners").toDF("tile_b", "id_b", "grams_b", "partners")
 

@@ -1,9 +1,10 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding.
 
 The unit is a paragraph of at least MIN_WORDS words that begins at a sentence's
-start and ends at a later one. One begins at every sentence, so paragraphs
-overlap, and a passage that repeats inside of other text has paragraphs of its
-own wherever it lies in a line. Starts depend on the words beside them alone:
+start and ends at a later one. One begins at every sentence of SENTENCE_WORDS
+words or more, so paragraphs overlap, and a passage that repeats inside of other
+text has paragraphs of its own wherever it lies in a line. Of shorter sentences
+one in eight begins one, by a hash. Starts depend on the words beside them alone:
 after a word that ends a sentence or a line, at a word with a capital, and, for
 texts without either, at words with one of 32 hashes.
 
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import colliding, components, jaccard_pairs
+from tarnlight.llm.pairs import colliding, components, few, jaccard_pairs
 from tarnlight.llm.words import MULT, WordCodes, codes_of, grams, mixed, multipliers, worker_state
 from tarnlight.shared import written
 
 MIN_WORDS = 25
+SENTENCE_WORDS = 5
 N = 3
 THRESHOLD = 0.7
 BANDS, ROWS = 3, 2
@@ -63,7 +65,8 @@ def paragraphs(text: str, codes: WordCodes, min_words: int) -> tuple[np.ndarray,
     starts[0] = True
     at = np.flatnonzero(starts)
     bounds = np.r_[at, n]
-    at = at[at + min_words <= n]
+    long = (np.diff(bounds) >= SENTENCE_WORDS) | (hashes[at] % np.uint64(8) == 0)
+    at = at[long & (at + min_words <= n)]
     return hashes, at, bounds[np.searchsorted(bounds, at + min_words)]
 
 
@@ -75,7 +78,7 @@ def hashed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True) -> DataFrame:
-    """A row for each paragraph: (c, bands) where banded, else (c, doc_id, version, start, end)."""
+    """A row for each paragraph and band: (band, item, owner) where banded, else one for each paragraph: (c, doc_id, version, start, end)."""
 
     def run(batches):
         codes = worker_state("codes", WordCodes)
@@ -83,12 +86,14 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True
         band = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
         for batch in batches:
             cs, hs, owners, begin, end = [], [], [], [], []
+            keys = batch.column(3).to_numpy()
             for k, text in enumerate(batch.column(1).to_pylist()):
                 hashes, starts, ends = paragraphs(text, codes, min_words)
                 if not len(starts):
                     continue
                 cs.append(hashed(hashes, starts, ends))
                 if banded:
+                    owners.append(int(keys[k]) >> 24 << 24 | starts & 0xFFFFFF)
                     g = grams(hashes, N)
                     # overlapping [start, end) of grams, a reduction each; the second of each two is thrown away
                     cuts = np.c_[starts, np.minimum(ends - N + 1, len(g))].ravel()
@@ -105,14 +110,14 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             if banded:
                 c = np.repeat(cat(cs, np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.int64)), pa.array(c)], ["band", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.int64)), pa.array(c), pa.array(np.repeat(cat(owners, np.int64), BANDS))], ["band", "item", "owner"])
             else:
                 owner = pa.array(cat(owners, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cat(cs, np.int64)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array(cat(begin, np.int32)), pa.array(cat(end, np.int32))], ["c", "doc_id", "version", "start", "end"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
-    return rows.mapInArrow(run, "band long, item long" if banded else f"c long, doc_id {kind}, version long, start int, end int")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.xxhash64("doc_id", "text").alias("key")).where("text is not null")
+    return rows.mapInArrow(run, "band long, item long, owner long" if banded else f"c long, doc_id {kind}, version long, start int, end int")
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -129,10 +134,11 @@ def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(np.unique(grams(hashes[s["start"] : s["end"]], N)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    spans = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans")).alias("w")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null").dropDuplicates(["doc_id", "version"]).alias("t")
-    joined = texts.join(spans.hint("shuffle_hash"), F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
-    return joined.select("t.text", "w.spans").mapInArrow(run, "id long, grams binary")
+    spans = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null").alias("t")
+    side = (F.broadcast(spans) if few(wanted) else spans.hint("shuffle_hash")).alias("w")
+    joined = texts.join(side, F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
+    return joined.select("t.text", "w.spans").mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
 def cut_spans(text: str, spans: list) -> str:
@@ -160,7 +166,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     """Rows of docs, columns as they are, with the repeated passages cut from text.
 
     Of each cluster of equal or near paragraphs the occurrence with the least
-    (doc_id, hash of the text, position) stays, a null doc_id first. Words of
+    (doc_id, hash of the text, position) stays, a null doc_id first. Paragraphs
+    less than 4 * min_words words apart in some document are not near each other. Words of
     an occurrence that stays are not cut for another cluster. A row loses its
     place only where every word of it is cut. n_chars, if there, is the length
     of the new text in rows that changed. Rows with the same doc_id and text
@@ -169,11 +176,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
     found = occurrences(docs, min_words, banded=False)
-    pairs = written(colliding(occurrences(docs, min_words, banded=True)), "paragraph-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    at = found.join(ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at")).select("id", "at.*")
-    near = components(jaccard_pairs(pairs, gram_sets(docs, at), threshold))
-    clustered = found.join(near.withColumnRenamed("id", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    pairs = written(colliding(occurrences(docs, min_words, banded=True), 4 * min_words), "paragraph-pairs")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paragraph-ids")
+    at = found.join(F.broadcast(ids) if few(ids) else ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
+    sets = written(gram_sets(docs, written(at.select("id", "at.*"), "paragraph-places")), "paragraph-sets")
+    near = components(jaccard_pairs(pairs, sets, threshold)).withColumnRenamed("id", "c")
+    clustered = found.join(F.broadcast(near) if few(near) else near, "c", "left").withColumn("label", F.coalesce("label", "c"))
     place = ("doc_id", "version", "start")
     w = Window.partitionBy("label").orderBy(*place)
     ranked = clustered.select(*place, "end", F.row_number().over(w).alias("n"), F.lead("start").over(w).isNotNull().alias("more"))
