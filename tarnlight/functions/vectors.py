@@ -24,8 +24,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector; a vector without length becomes zeros."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n <= 0, F.lit(0.0)).otherwise(x / n))
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n <= 0, F.lit(0.0)).otherwise(x / n)))[0]  # binds the norm once
 
 
 def cosine(a: Column, b: Column) -> Column:

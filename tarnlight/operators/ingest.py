@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.functions.vectors import bucket_key, normalized
+from tarnlight.functions.vectors import bucket_key
 from tarnlight.shared import remove
 
 KEY = ["lookup", "path", "chunk"]
@@ -29,8 +30,6 @@ def classified(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def embedded(chunks: DataFrame, embed_fn) -> DataFrame:
     """(hash, embedding): one call of embed_fn(list of texts) for the distinct hashes of each batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def call(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in embed_fn(texts.tolist())], dtype=object)
@@ -125,7 +124,7 @@ def index(store: Store, matched: DataFrame, chunked: DataFrame, embed_fn, starte
         old = spark.createDataFrame([], "lookup string, path string, chunk int, hash string, embedding array<double>, bucket int, text string")
     classes = classified(new, old).persist()
     vectors = reusable(old).union(embedded(classes.where("change = 'embed'"), embed_fn))
-    fresh = classes.where("change <> 'skip'").join(vectors, "hash").select(*KEY, "hash", "embedding", bucket_key(normalized(F.col("embedding"))).alias("bucket"), "text")
+    fresh = classes.where("change <> 'skip'").join(vectors, "hash").select(*KEY, "hash", "embedding", bucket_key(F.col("embedding")).alias("bucket"), "text")
     result = without_stale_chunks(upserted(old, fresh), new)
     guarded = matched.isEmpty() and not allow_empty_prune
     if not guarded:
