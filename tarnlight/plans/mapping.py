@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import os
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,7 @@ from tarnlight.functions.text import map_snippet, note_url, path_id
 from tarnlight.operators import communities, graph, layout, profiles, terrain
 from tarnlight.shared import written
 
+__all__ = ["Map", "MapOptions", "build", "debug", "payload", "replace", "read_map", "write_json"]
 STAGES = ("all", "graph", "communities", "layout", "terrain", "labels")
 
 
