@@ -12,7 +12,6 @@ documents a language by the order of a hash of doc_id, TRAIN_WORDS words in all.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.words import normal
+from tarnlight.llm.words import mixed, normal
 
 SAMPLE_DOCS = 120
 TRAIN_WORDS = 60_000
@@ -41,19 +40,64 @@ class Model:
     transitions: np.ndarray  # languages x languages, log scores
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Slots of a word in normal form: bias, prefixes of 1-3, suffixes of 1-4, n-grams of 2-3 with edges, lexicons."""
-    names = ["*"]
-    names += ["p" + word[:k] for k in (1, 2, 3)]
-    names += ["s" + word[-k:] for k in (1, 2, 3, 4)]
-    edged = f"<{word[:40]}>"
-    names += [edged[i : i + 2] for i in range(len(edged) - 1)]
-    names += [edged[i : i + 3] for i in range(len(edged) - 2)]
-    if len(word) <= 4:
-        names.append("w" + word)
-    if known := lexicon.get(word):
-        names += [f"l{k}" for k in range(known.bit_length()) if known >> k & 1]
-    return [zlib.crc32(x.encode("utf-8")) % SLOTS for x in names]
+LONG_WORD = 40
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def slot(h: np.ndarray, kind: int) -> np.ndarray:
+    """Slots of hashes of one kind of feature."""
+    return (mixed((h + np.uint64(kind)) * STEP) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Features of words in normal form, kind by kind: (words that have one, slots, starts of each word's slots or None for one a word).
+
+    Kinds: bias, prefixes of 1-3, suffixes of 1-4, whole words up to 4, n-grams
+    of 2-3 with edges, lexicons. A word of more than LONG_WORD characters counts
+    as its first ones and its last four.
+    """
+    words = [w if len(w) <= LONG_WORD else w[: LONG_WORD - 4] + w[-4:] for w in words]
+    n = len(words)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 2)
+    first, last = ends - sizes - 1, ends - 2  # of the word itself
+    every = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = [(every, slot(np.zeros(n, np.uint64), 0), None)]
+    head = tail = np.zeros(n, np.uint64)
+    for k in range(1, 5):
+        has = np.flatnonzero(sizes >= k)
+        head, tail = head.copy(), tail.copy()
+        head[has] = head[has] * STEP + codes[first[has] + k - 1]
+        tail[has] = tail[has] + codes[last[has] - k + 1] * np.uint64(pow(int(STEP), k, 1 << 64))
+        if k < 4:
+            found.append((has, slot(head[has], k), None))
+        found.append((has, slot(tail[has], 10 + k), None))
+        whole = np.flatnonzero(sizes == k)
+        found.append((whole, slot(head[whole], 20 + k), None))
+    gram = codes[:-1] * STEP + codes[1:]
+    inside = np.ones(len(gram), bool)
+    inside[ends[:-1] - 1] = False
+    begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    found.append((every, slot(gram[inside], 30), begin))
+    gram = gram[:-1] * STEP + codes[2:]
+    inside = np.ones(len(gram), bool)
+    inside[np.r_[ends[:-1] - 1, ends[:-1] - 2]] = False
+    found.append((every, slot(gram[inside], 31), np.r_[0, np.cumsum(sizes)[:-1]]))
+    known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, n)
+    for k in range(MAX_LANGUAGES):
+        has = np.flatnonzero(known >> k & 1)
+        found.append((has, slot(np.full(len(has), k, np.uint64), 40), None))
+    return found
+
+
+def scores(words: list[str], model: Model) -> np.ndarray:
+    """Sums of the weights of each word's features."""
+    total = np.zeros((len(words), len(model.languages)))
+    for has, slots, begin in features(words, model.lexicon):
+        w = model.weights[slots]
+        total[has] += w if begin is None else np.add.reduceat(w, begin, axis=0)
+    return total
 
 
 def fit(samples: dict[str, list[str]], train_words: int = TRAIN_WORDS, rounds: int = 60, seed: int = 7) -> Model:
@@ -97,13 +141,15 @@ def fit(samples: dict[str, list[str]], train_words: int = TRAIN_WORDS, rounds: i
                 row += run
         tokens.append([index.setdefault(w, len(index)) for w in row])
     ids = np.array(tokens)
-    slots = [features(w, lexicon) for w in index]
-    of_type = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-    flat = np.concatenate([np.array(x) for x in slots])
+    n_types = len(index)
+    parts = features(list(index), lexicon)
+    of_type = np.concatenate([has if begin is None else np.repeat(has, np.diff(np.r_[begin, len(slots)])) for has, slots, begin in parts])
+    by_word = np.argsort(of_type, kind="stable")
+    of_type, flat = of_type[by_word], np.concatenate([slots for _, slots, _ in parts])[by_word]
     order = np.argsort(flat, kind="stable")
     of_type_sorted = of_type[order]
     used, first = np.unique(flat[order], return_index=True)
-    begin = np.r_[0, np.cumsum([len(x) for x in slots])[:-1]]
+    begin = np.searchsorted(of_type, np.arange(n_types))
     w, t = np.zeros((len(used), n_lang)), np.zeros((n_lang, n_lang))
     dense = np.searchsorted(used, flat)
     one = np.eye(n_lang)[labels]
@@ -133,7 +179,7 @@ def fit(samples: dict[str, list[str]], train_words: int = TRAIN_WORDS, rounds: i
             beta[:, i] = b
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
-        by_type = np.zeros((len(slots), n_lang))
+        by_type = np.zeros((n_types, n_lang))
         np.add.at(by_type, ids.ravel(), (one - p).reshape(-1, n_lang))
         grads = np.add.reduceat(by_type[of_type_sorted], first, axis=0) - 0.05 * w, pairs - expected - 0.05 * t
         for x, g, (m, v) in zip((w, t), grads, moments):
@@ -154,18 +200,23 @@ class Unary(dict):
         self.table = np.ones((CACHE_WORDS, len(model.languages)))
         self.letters = np.zeros(CACHE_WORDS, bool)
 
-    def make_room(self, words: int) -> None:
-        if words > len(self.table):
-            self.table, self.letters = np.ones((words, self.table.shape[1])), np.zeros(words, bool)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        bare = normal(word)
-        scores = self.model.weights[features(bare, self.model.lexicon)].sum(axis=0)
-        self.table[at] = np.exp(scores - scores.max())
-        self.letters[at] = any(map(str.isalpha, bare))
-        self[word] = at
-        return at
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of the words, valid until the next call; those that are new are scored together."""
+        asked = set(words)
+        new = asked - self.keys()
+        if len(self) + len(new) > len(self.table):
+            self.clear()
+            new = asked
+            if len(new) > len(self.table):
+                self.table, self.letters = np.ones((len(new), self.table.shape[1])), np.zeros(len(new), bool)
+        if new:
+            at = len(self)
+            self.update(zip(new, range(at, at + len(new))))
+            bare = list(map(normal, new))
+            s = scores(bare, self.model)
+            self.table[at : at + len(new)] = np.exp(s - s.max(axis=1, keepdims=True))
+            self.letters[at : at + len(new)] = [w.isalpha() or any(map(str.isalpha, w)) for w in bare]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def posteriors(e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -251,31 +302,24 @@ def label_texts(texts: list[str | None], unary: Unary) -> list[pa.Array]:
     runs: list[tuple | None] = [None] * n
     i = 0
     while i < n:
-        chosen, rows, total = [], [], 0
-        while i < n and total < GROUP_WORDS:
+        chosen, group = [], []
+        while i < n and len(group) < GROUP_WORDS:
             parts = texts[i].split() if texts[i] else []
             if parts:
-                if len(unary) + len(parts) > len(unary.table):  # rows of this group must stay valid
-                    if rows:
-                        break
-                    unary.clear()
-                    unary.make_room(len(parts))
                 chosen.append(i)
-                rows.append(np.fromiter(map(unary.__getitem__, parts), np.int64, len(parts)))
+                group += parts
                 words[i] = len(parts)
-                total += len(parts)
             i += 1
-        if not rows:
+        if not group:
             continue
-        flat = np.concatenate(rows)
-        sizes = np.array([len(x) for x in rows])
+        flat, sizes = unary.rows(group), words[chosen]
         p = posteriors(unary.table[flat], sizes, model.transitions)
         label, top = p.argmax(axis=1), p.max(axis=1)
         known = unary.letters[flat]
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        count = np.bincount(owner, known, len(rows))
-        votes = np.bincount(owner[known] * n_lang + label[known], minlength=len(rows) * n_lang).reshape(-1, n_lang)
-        sure = np.bincount(owner, top * known, len(rows))
+        owner = np.repeat(np.arange(len(chosen)), sizes)
+        count = np.bincount(owner, known, len(chosen))
+        votes = np.bincount(owner[known] * n_lang + label[known], minlength=len(chosen) * n_lang).reshape(-1, n_lang)
+        sure = np.bincount(owner, top * known, len(chosen))
         first = np.r_[0, np.cumsum(sizes)[:-1]]
         cut = np.ones(len(flat), bool)
         cut[1:] = label[1:] != label[:-1]
