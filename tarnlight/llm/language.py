@@ -164,7 +164,7 @@ def fit(samples: dict[str, list[str]], train_words: int = TRAIN_WORDS, rounds: i
         alpha, beta = np.zeros_like(e), np.ones_like(e)
         a = np.full((n_seq, n_lang), 1.0 / n_lang)
         for i in range(length):
-            a = (a @ trans) * e[:, i]
+            a = (a @ trans if i else a) * e[:, i]
             a /= a.sum(axis=1, keepdims=True)
             alpha[:, i] = a
         b = beta[:, -1]
@@ -234,8 +234,11 @@ def posteriors(e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.
     laid, real = laid.reshape(n_block, BLOCK, n_lang), real.reshape(n_block, BLOCK)
     steps = np.ascontiguousarray(laid.transpose(1, 0, 2))
     live = np.ascontiguousarray(real.T)
-    m = np.broadcast_to(np.eye(n_lang), (n_block, n_lang, n_lang)).copy()
-    for i in range(BLOCK):
+    later = np.ones(n_block, bool)
+    later[first_block] = False  # the first word of a text has no transition into it
+    m = np.where(later[:, None, None], trans, np.eye(n_lang)) * steps[0][:, None, :]
+    m /= m.sum(axis=(1, 2), keepdims=True)
+    for i in range(1, BLOCK):
         k = live[i]
         if k.all():
             m = (m @ trans) * steps[i][:, None, :]
@@ -258,7 +261,7 @@ def posteriors(e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.
     alpha = np.empty_like(steps)
     a = into
     for i in range(BLOCK):
-        a = (a @ trans) * steps[i]
+        a = (a @ trans if i else np.where(later[:, None], a @ trans, a)) * steps[i]
         a /= a.sum(axis=1, keepdims=True)
         alpha[i] = a
     b = out
@@ -406,7 +409,8 @@ def identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lett
                 sure &= confidence.to_numpy(zero_copy_only=False) >= min_confidence
             yield batch.filter(pa.array(sure & lang.is_valid().to_numpy(zero_copy_only=False)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the names are
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ class Ids(dict):
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """(shard, term, n, places, counts, doc_ids): a row for each term of a shard and one, with null term, for its documents.
+    """(shard, term, n, places, counts, doc_ids), written in the shared folder: a row for each term of a shard and one, with null term, for its documents.
 
     places: numbers of the documents in the shard, in order, counts: the term's
     occurrences in each, as bytes of int32. In the row of the documents n is
@@ -94,7 +94,7 @@ def index(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = docs.select("doc_id", "text").where("text is not null")
-    return rows.mapInArrow(run, f"shard long, term string, n long, places binary, counts binary, doc_ids array<{kind}>")
+    return written(rows.mapInArrow(run, f"shard long, term string, n long, places binary, counts binary, doc_ids array<{kind}>"), "index")
 
 
 class Postings:
@@ -242,8 +242,7 @@ def _search_batch(spark: SparkSession, shards: DataFrame, wanted: list[tuple], k
 
 
 def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = written(index(spark.read.parquet(f"{sf_dir}/documents.parquet")), "index")
-    return search(shards, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return search(index(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP3_SQL = f"""
