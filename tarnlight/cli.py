@@ -7,7 +7,7 @@ import datetime as dt
 import importlib
 import json
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from pathlib import Path
 
@@ -97,8 +97,8 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+def main(words: Sequence[str] | None = None) -> int:
+    args = parser().parse_args(words)
     try:
         config = load_config(config_path(args.config))
         spark = session("tarnlight")

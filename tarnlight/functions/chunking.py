@@ -11,31 +11,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
+from tarnlight.functions import patterns
+
 MAX_TOKENS, MIN_TOKENS, MIN_TAIL = 1000, 10, 0.05
-TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{N}]+|[^ \t\r\n\f\v]")
-PIECE = regex.compile(r"(?:\p{Han}|[\p{L}\p{N}]+|[^ \t\r\n\f\v])[ \t\r\n\f\v]*")
-FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
-HEADING = re.compile(r"\s{0,3}(#{1,6})\s+(.+?)\s*$")
+GAP = r"[ \t\r\n\f\v]"
+WORDS = r"\p{Han}|[\p{N}\p{L}]+"
+TOKEN = regex.compile(rf"{WORDS}|(?!{GAP}).", regex.S)
+PIECE = regex.compile(rf"(?:{WORDS}|(?!{GAP}).){GAP}*", regex.S)
+INDENT = r"\s{0,3}"
+FENCE = re.compile(rf"{INDENT}(```+|~~~+)")
+HEADING = re.compile(rf"{INDENT}(#{{1,6}})\s+(.+?)\s*$")
 SPACE = " \t\r\n\f\v\0"
 SKIPPED_ENTRIES = ("\u7cbe\u529b", "\u611f\u6069")
 
-_M = re.M | re.A
-RULES: list[tuple[re.Pattern, str]] = [
-    (re.compile(r"^\s*\[[^\]]+\]:\s+\S+.*$", _M), ""),
-    (re.compile(r"!\[[^\]]*\]\([^)]*\)"), " "),
-    (re.compile(r"!\[[^\]]*\]\[[^\]]*\]"), " "),
-    (re.compile(r"\[\[([^|\]]+)\|(.*?)\]\]"), r"\2"),
-    (re.compile(r"\[\[([^\]]+)\]\]"), r"\1"),
-    (re.compile(r"\[([^\]]+)\]\((?:[^()]|\([^()]*\))*\)"), r"\1"),
-    (re.compile(r"\[([^\]]+)\]\[[^\]]*\]"), r"\1"),
-    (re.compile(r"<[^>]+>"), " "),
-    (re.compile(r"https?://\S+", re.A), " "),
-    (re.compile(r"^[ \t]*>+[ \t]?", _M), ""),
-    (re.compile(r"^[ \t]*[-*+]?[ \t]*\[[ xX]\][ \t]+", _M), ""),
-    (re.compile(r"^[ \t]*[-*+][ \t]+", _M), ""),
-    (re.compile(r"^[ \t]*\d+\.[ \t]+", _M), ""),
-]
-HEADING_MARK = re.compile(r"^\s{0,3}#+\s+", _M)
+RULES = [(re.compile(pattern, re.A), new.replace("$", "\\")) for pattern, new in patterns.MARKDOWN]
+HEADING_MARK = re.compile(patterns.HEADING_MARK, re.A)
 
 
 def count_tokens(text: str | None) -> int:
@@ -49,7 +39,7 @@ def strip_markdown(text: str | None, keep_headings: bool = False, compact: bool
         text = pattern.sub(new, text)
     if not keep_headings:
         text = HEADING_MARK.sub("", text)
-    text = re.sub(r"[`*_~]", "", text)
+    text = re.sub(patterns.EMPHASIS, "", text)
     lines: list[str] = []
     for line in text.split("\n"):
         line = re.sub(r"[ \t]+", " ", line).strip(SPACE)
@@ -176,15 +166,16 @@ def split_frontmatter(raw: str) -> tuple[str | None, str]:
     if not lines or not re.match(r"---\s*$", lines[0]):
         return None, raw
     for i, line in enumerate(lines[1:], 1):
-        if re.match(r"(?:---|\.\.\.)\s*$", line):
+        if line.rstrip() in ("---", "..."):
             return "".join(lines[1:i]), "".join(lines[i + 1 :])
     return None, raw
 
 
 def frontmatter_value(block: str | None, key: str) -> str | None:
     for line in (block or "").splitlines():
-        if m := re.match(rf"\s*{key}\s*:\s*(.+?)\s*$", line):
-            value = m[1].strip()
+        name, _, value = line.partition(":")
+        value = value.strip()
+        if name.strip() == key and value:
             if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
                 value = value[1:-1]
             return value

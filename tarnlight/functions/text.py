@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUDGET_TOKEN = r"[\p{IsHan}]|[\p{L}\p{N}]+|[^\s]"
+from tarnlight.functions.patterns import EMPHASIS, EXCERPT, HEADING_MARK, LINK, MARKDOWN
+
+BUDGET_TOKEN = r"\p{IsHan}|[\p{L}\p{N}]+|\S"
 PLAN_TOKEN = r"[\p{L}\p{N}_]+"
 INDEX_TERM = r"[\p{L}\p{N}]+"
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -62,20 +64,15 @@ def note_url(path: Column, url: Column, empty_is_none: bool = False) -> Column:
 
 def strip_link_urls(text: Column) -> Column:
     """[label](url) as label; the url may hold one pair of parentheses."""
-    return F.regexp_replace(text, r"\[([^\]]+)\]\((?:[^()]|\([^()]*\))*\)", "$1")
+    return F.regexp_replace(text, LINK, "$1")
 
 
 def strip_markdown(text: Column, keep_headings: bool = False, compact: bool = True) -> Column:
     """Text without the marks of Markdown; see chunking.strip_markdown for the same in Python."""
     s = F.coalesce(text, lit(""))
-    for pattern, new in STRIP_BEFORE_LINKS:
-        s = F.regexp_replace(s, pattern, new)
-    s = strip_link_urls(s)
-    for pattern, new in STRIP_AFTER_LINKS:
+    for pattern, new in MARKDOWN if keep_headings else [*MARKDOWN, (HEADING_MARK, "")]:
         s = F.regexp_replace(s, pattern, new)
-    if not keep_headings:
-        s = F.regexp_replace(s, r"(?m)^\s{0,3}#+\s+", "")
-    s = F.regexp_replace(s, r"[`*_~]", "")
+    s = F.regexp_replace(s, EMPHASIS, "")
     lines = F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", ""))
     joined = F.array_join(lines, "\n")
     if compact:
@@ -83,24 +80,6 @@ def strip_markdown(text: Column, keep_headings: bool = False, compact: bool = Tr
     return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
-STRIP_BEFORE_LINKS = [
-    (r"(?m)^\s*\[[^\]]+\]:\s+\S+.*$", ""),
-    (r"!\[[^\]]*\]\([^)]*\)", " "),
-    (r"!\[[^\]]*\]\[[^\]]*\]", " "),
-    (r"\[\[([^|\]]+)\|(.*?)\]\]", "$2"),
-    (r"\[\[([^\]]+)\]\]", "$1"),
-]
-STRIP_AFTER_LINKS = [
-    (r"\[([^\]]+)\]\[[^\]]*\]", "$1"),
-    (r"<[^>]+>", " "),
-    (r"https?://\S+", " "),
-    (r"(?m)^[ \t]*>+[ \t]?", ""),
-    (r"(?m)^[ \t]*[-*+]?[ \t]*\[(?: |x|X)\][ \t]+", ""),
-    (r"(?m)^[ \t]*[-*+][ \t]+", ""),
-    (r"(?m)^[ \t]*\d+\.[ \t]+", ""),
-]
-
-
 def frontmatter(text: Column) -> Column:
     """The lines between an opening --- line and a closing --- or ... line; null without them."""
     found = F.regexp_extract(text, r"(?s)\A---[ \t\r]*\n((?:(?!---[ \t\r]*(?:\n|\z)|\.\.\.[ \t\r]*(?:\n|\z)).*?\n)*?)(?:---|\.\.\.)[ \t\r]*(?:\n|\z)", 1)
@@ -132,14 +111,7 @@ def content_hash(text: Column) -> Column:
 
 def label_excerpt(text: Column, limit: int = 120) -> Column:
     s = F.coalesce(text, lit(""))
-    for pattern, new in [
-        (r"https?://\S+", " "),
-        (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),
-        (r"\[\[([^\]]+)\]\]", "$1"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"`{1,3}[^`]*`{1,3}", " "),
-        (r"[*_>#~-]", " "),
-    ]:
+    for pattern, new in EXCERPT:
         s = F.regexp_replace(s, pattern, new)
     return F.trim(F.left(squeeze(s), F.lit(limit)))
 

@@ -10,13 +10,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.functions.patterns import KEYWORD
 from tarnlight.functions.text import label_excerpt
 from tarnlight.operators.graph import community_graph, neighbours
 
 CORE, BRIDGE, NEIGHBOURS, LOCAL, KEYWORDS = 12, 8, 5, 14, 10
-WORD = r"[\x{4e00}-\x{9fff}]{2,4}|[A-Za-z][A-Za-z0-9_-]{2,}"
-COMMON = "the and with from this that into about there their have has will note notes topic theme content markdown".split()
+COMMON = sorted("about and content from has have into markdown note notes that the their theme there this topic will with".split())
 HAN = re.compile(r"[一-鿿]")
+THOUGHT = re.compile("<think>.*?</think>", re.S | re.I)
+#: Quotes, brackets and slashes count as spaces in a label.
+MARKS = dict.fromkeys(map(ord, "()[]{}\"'`“”‘’/|\\_"), " ")
 
 
 def ranked(metrics: DataFrame, by: Column, top: int) -> DataFrame:
@@ -27,7 +30,7 @@ def ranked(metrics: DataFrame, by: Column, top: int) -> DataFrame:
 
 def keywords(snippets: DataFrame, key: str, top: int = KEYWORDS) -> DataFrame:
     """(key, word, n, place): the most frequent words of (key, place, snippet), ties by their first place in the snippets in order."""
-    parts = snippets.select(key, F.col("place").alias("snippet_place"), F.posexplode(F.regexp_extract_all("snippet", F.lit(WORD), F.lit(0))).alias("pos", "raw"))
+    parts = snippets.select(key, F.col("place").alias("snippet_place"), F.posexplode(F.regexp_extract_all("snippet", F.lit(KEYWORD), F.lit(0))).alias("pos", "raw"))
     words = parts.withColumn("word", F.lower("raw")).where(~F.col("word").isin(COMMON))
     counts = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min(F.struct("snippet_place", "pos")).alias("first"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))).where(F.col("place") <= top).select(key, "word", "n", "place")
@@ -88,13 +91,12 @@ def peak_profiles(notes: DataFrame, metrics: DataFrame, points: DataFrame, peaks
 
 def clean_label(text: str) -> str:
     """A label without quotes, brackets and slashes: 8 characters with Han script, else 4 words and 42 characters at most."""
-    flat = re.sub(r"[\"'`“”‘’()\[\]{}]", " ", str(text))
-    flat = re.sub(r"\s+", " ", re.sub(r"[\\/_|]+", " ", flat)).strip(" -:：,，.。;；")
-    return re.sub(r"\s+", "", flat)[:8] if HAN.search(flat) else " ".join(flat.split()[:4])[:42]
+    flat = " ".join(str(text).translate(MARKS).split()).strip(" ,.-:;，。：；")
+    return "".join(flat.split())[:8] if HAN.search(flat) else " ".join(flat.split()[:4])[:42]
 
 
 def label_key(text: str) -> str:
-    return re.sub(r"\s+", "", clean_label(text).lower())
+    return "".join(clean_label(text).lower().split())
 
 
 def fallback_label(words: list[str], number: int, used: set[str]) -> dict:
@@ -109,14 +111,14 @@ def fallback_label(words: list[str], number: int, used: set[str]) -> dict:
 
 def parsed_label(reply: str, words: list[str]) -> dict:
     """A label from the first JSON object of a reply, thoughts left out; ValueError without one or without a name."""
-    text = re.sub(r"(?is)<think>.*?</think>", " ", str(reply))
-    for m in re.finditer(r"\{", text):
+    text = THOUGHT.sub(" ", str(reply))
+    found, at = None, text.find("{")
+    while at >= 0 and found is None:
         try:
-            found, _ = json.JSONDecoder().raw_decode(text[m.start() :])
-            break
+            found, _ = json.JSONDecoder().raw_decode(text, at)
         except json.JSONDecodeError:
-            continue
-    else:
+            at = text.find("{", at + 1)
+    if found is None:
         raise ValueError("no JSON object in the reply")
     name = clean_label(found.get("primaryLabel") or found.get("label") or "")
     if not name:
@@ -154,5 +156,6 @@ def assigned_labels(profiles: list[dict], chat_fn: Callable[[dict, list[str]], s
         out.append(label)
     if cache and profiles:
         cache.parent.mkdir(parents=True, exist_ok=True)
-        cache.write_text(json.dumps(held, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+        with cache.open("w", encoding="utf-8") as f:
+            print(json.dumps(held, indent=2, ensure_ascii=False), file=f)
     return out

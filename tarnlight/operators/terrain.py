@@ -31,8 +31,8 @@ def grid(points: DataFrame, cell: int = CELL, sigma: float = SIGMA) -> DataFrame
 
 def ratios(count: int = LEVELS, lowest: float = LOWEST, highest: float = HIGHEST) -> list[float]:
     """Shares of the greatest density at which contours lie, denser at the top."""
-    low = max(1e-5, min(lowest, 0.95))
-    high = max(low + 1e-5, min(highest, 0.999))
+    low = float(np.clip(lowest, 1e-5, 0.95))
+    high = max(min(0.999, highest), low + 1e-5)
     return [low * (high / low) ** ((k / max(count - 1, 1)) ** 0.68) for k in range(count)]
 
 
@@ -93,7 +93,7 @@ def peaks_of(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cell: float = CEL
     radius = max(cell, 3 * sigma)
     x0, y0 = x.min() - radius, y.min() - radius
     xs, ys = np.arange(x0, x.max() + radius + cell, cell), np.arange(y0, y.max() + radius + cell, cell)
-    raster = np.zeros((len(ys), len(xs)))
+    raster = np.zeros(ys.shape + xs.shape)
     for px, py, w in zip(x, y, weight):
         i0, i1 = max(0, int((px - radius - x0) // cell)), min(len(xs) - 1, int((px + radius - x0) // cell) + 1)
         j0, j1 = max(0, int((py - radius - y0) // cell)), min(len(ys) - 1, int((py + radius - y0) // cell) + 1)

@@ -17,40 +17,46 @@ from tarnlight.operators import communities, graph, layout, profiles, terrain
 from tarnlight.shared import written
 
 __all__ = ["Map", "MapOptions", "build", "debug", "payload", "replace", "read_map", "write_json"]
-STAGES = ("all", "graph", "communities", "layout", "terrain", "labels")
+STAGES = tuple("graph communities layout terrain labels all".split())
 
 
 @dataclass(frozen=True)
 class MapOptions:
+    stage: str = "all"
+    seed: int = 42
     knn_k: int = 50
-    resolution: float = 0.8
     least_size: int = 12
-    seed: int = 42
+    resolution: float = 0.8
     separation: float = 1.15
-    shape: float = 0.82
-    bridge_blend: float = 0.65
-    core_packing: float = 0.72
     foothill: float = 1.18
-    cell: int = 10
-    sigma: float = 34.0
+    core_packing: float = 0.72
+    bridge_blend: float = 0.65
+    shape: float = 0.82
     levels: int = 22
-    lowest: float = 0.035
+    sigma: float = 34.0
+    cell: int = 10
     highest: float = 0.88
-    stage: str = "all"
+    lowest: float = 0.035
 
     @classmethod
     def of(cls, settings: dict) -> MapOptions:
         """Options from the map settings of a configuration, with floors for those that need one."""
         v2 = settings.get("v2") or {}
-        part = lambda name: v2.get(name) or {}
-        base = cls()
-        get = lambda d, k, default, least=None: default if d.get(k) is None else type(default)(d[k]) if least is None else max(type(default)(least), type(default)(d[k]))
-        cart, land = part("cartography"), part("terrain")
-        return cls(
-            get(v2, "knnK", base.knn_k, 1), get(v2, "communityResolution", base.resolution), get(v2, "minCommunitySize", base.least_size, 1), get(v2, "randomState", base.seed),
-            get(cart, "mountainSeparation", base.separation), get(cart, "mountainShapeStrength", base.shape), get(cart, "bridgeBlend", base.bridge_blend), get(cart, "corePacking", base.core_packing), get(cart, "foothillSpread", base.foothill),
-            get(land, "cellSize", base.cell, 2), get(land, "sigma", base.sigma, 1), get(land, "levels", base.levels, 3), get(land, "lowestRatio", base.lowest), get(land, "highestRatio", base.highest),
-        )
+        given = {}
+        for name, (section, key, least) in SETTINGS.items():
+            value = ((v2.get(section) or {}) if section else v2).get(key)
+            if value is not None:
+                kind = type(getattr(cls, name))
+                given[name] = kind(value) if least is None else max(kind(least), kind(value))
+        return cls(**given)
+
+
+#: Option -> section of the settings, key, floor.
+SETTINGS = {
+    "seed": ("", "randomState", None), "knn_k": ("", "knnK", 1), "least_size": ("", "minCommunitySize", 1), "resolution": ("", "communityResolution", None),
+    "separation": ("cartography", "mountainSeparation", None), "foothill": ("cartography", "foothillSpread", None), "core_packing": ("cartography", "corePacking", None), "bridge_blend": ("cartography", "bridgeBlend", None), "shape": ("cartography", "mountainShapeStrength", None),
+    "levels": ("terrain", "levels", 3), "sigma": ("terrain", "sigma", 1), "cell": ("terrain", "cellSize", 2), "highest": ("terrain", "highestRatio", None), "lowest": ("terrain", "lowestRatio", None),
+}
 
 
 @dataclass
@@ -146,7 +152,8 @@ def warnings(mutual_ratio: float, n_components: int, sizes: list[int], bridges:
         out.append("many components")
     if sizes and max(sizes) / sum(sizes) > 0.65:
         out.append("one dominant community")
-    if sizes and sum(s < 12 for s in sizes) > max(4, len(sizes) // 3):
+    allowed = max(len(sizes) // 3, 4)
+    if sum(s < 12 for s in sizes) > allowed:
         out.append("many small communities")
     if bridges[1] and bridges[0] / bridges[1] > 0.3:
         out.append("many bridge notes")
@@ -155,6 +162,12 @@ def warnings(mutual_ratio: float, n_components: int, sizes: list[int], bridges:
     return out
 
 
+def told(label: dict, default: str) -> dict:
+    """A label as the payload has it; a map without labels has the default and nothing else."""
+    full = {"label": default, "subtitle": "", "chips": [], "source": "fallback"} | label
+    return {"primaryLabel": full["label"], "subtitle": full["subtitle"], "keywordChips": full["chips"], "labelSource": full["source"]}
+
+
 def payload(m: Map, chat_fn: Callable | None = None, cache: Path | None = None) -> dict:
     """The map as one JSON object, for a page that shows all of it: it is gathered on the driver."""
     o = m.options
@@ -171,14 +184,14 @@ def payload(m: Map, chat_fn: Callable | None = None, cache: Path | None = None)
     for p, label in zip(rows, labels):
         c = shapes[p["community"]]
         anchors = [
-            {"x": round(s["x"], 2), "y": round(s["y"], 2), "rank": s["rank"], "density": round(heights[s["community"], s["rank"]], 4), "primaryLabel": got.get("label", ""), "subtitle": got.get("subtitle", ""), "keywordChips": got.get("chips", []), "labelSource": got.get("source", "fallback")}
+            {"x": round(s["x"], 2), "y": round(s["y"], 2), "rank": s["rank"], "density": round(heights[s["community"], s["rank"]], 4), **told(got, "")}
             for s, got in zip(spots, spot_labels)
             if s["community"] == p["community"]
         ]
         name = f"mountain-{p['community']}"
         clusters.append(
             {
-                "id": name, "communityId": p["community"], "label": label.get("label", name), "primaryLabel": label.get("label", name), "subtitle": label.get("subtitle", ""), "keywordChips": label.get("chips", []), "labelSource": label.get("source", "fallback"),
+                "id": name, "communityId": p["community"], "label": label.get("label", name), **told(label, name),
                 "centerX": c["x"], "centerY": c["y"], "peakX": c["peak_x"], "peakY": c["peak_y"], "labelAnchors": anchors, "spreadX": c["spread_x"], "spreadY": c["spread_y"], "noteCount": p["size"],
                 "neighbors": [{"clusterId": f"mountain-{x['neighbour']}", "weight": x["weight"]} for x in p["neighbours"] or []], "sourceBreakdown": p["sources"],
             }
@@ -187,7 +200,7 @@ def payload(m: Map, chat_fn: Callable | None = None, cache: Path | None = None)
     for r in found:
         r["id"] = r.pop("name")
     out = {
-        "generatedAt": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "generator": "tarnlight", "noteCount": len(found), "vectorDim": stats["dim"], "width": page["width"], "height": page["height"],
+        "generatedAt": dt.datetime.now(dt.UTC).isoformat(timespec="seconds").replace("+00:00", "Z"), "generator": "tarnlight", "noteCount": len(found), "vectorDim": stats["dim"], "width": page["width"], "height": page["height"],
         "layout": {"method": "semantic_cartography", "semanticMethod": "pca", "communityMethod": "louvain_rb", "knnK": o.knn_k, "communityResolution": o.resolution, "minCommunitySize": o.least_size, "randomState": o.seed, "stage": o.stage, "mapExtent": page},
         "clusters": clusters, "notes": found, "edges": dicts(edge_rows(m).orderBy("sourceIndex", "targetIndex")),
     }
@@ -216,11 +229,12 @@ def write_json(data: dict, path: Path) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     tmp = path.with_name(f".{path.name}.tmp")
     with tmp.open("w", encoding="utf-8") as f:
-        f.write(json.dumps(data, ensure_ascii=False, indent=2) + "\n")
+        print(json.dumps(data, indent=2, ensure_ascii=False), file=f)
         f.flush()
         os.fsync(f.fileno())
     os.replace(tmp, path)
 
 
 def read_map(path: Path) -> dict:
-    return json.loads(path.read_text(encoding="utf-8"))
+    with path.open(encoding="utf-8") as f:
+        return json.load(f)

@@ -55,7 +55,7 @@ class QueryPlan:
 
 
 def normalized_query(text: str) -> str:
-    return re.sub(r"\s+", " ", text or "").strip()
+    return " ".join((text or "").split())
 
 
 def token_count(text: str) -> int:

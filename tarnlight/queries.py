@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.functions import patterns as P
 from tarnlight.functions import text as T
 from tarnlight.functions.chunking import journal_chunks, markdown_chunks, text_chunks
 from tarnlight.functions.vectors import bucket_key, doubles, neighbour_keys
@@ -46,7 +47,7 @@ def query(sql: str | None = None):
 NOTES = "notes AS (SELECT lang AS lookup, '/notes/' || source || '/' || doc_id || '.md' AS path, 0 AS chunk, sha256(text) AS hash, text, doc_id FROM documents)"
 VECTORS = f"{NOTES}, vectors AS (SELECT n.*, CAST(e.embedding AS DOUBLE[]) AS embedding, CAST(e.label AS INT) AS label FROM notes n JOIN embeddings e ON e.vec_id = n.doc_id)"
 TERMS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
-BUDGET = r"[\p{Han}]|[\p{L}\p{N}]+|[^\s]"
+BUDGET = r"\p{Han}|[\p{L}\p{N}]+|\S"
 
 
 # Text
@@ -90,9 +91,14 @@ def frontmatter_status(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("skipped", T.skipped_by_status(F.col("status")))
 
 
-_CLEAN = "html"
-for _p, _new in [*T.STRIP_BEFORE_LINKS, (r"\[([^\]]+)\]\((?:[^()]|\([^()]*\))*\)", "$1"), *T.STRIP_AFTER_LINKS, (r"(?m)^\s{0,3}#+\s+", ""), (r"[`*_~]", "")]:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_new.replace('$', chr(92))}', 'g')"
+
+def _replaced(column: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, new in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return column
+
+
+_CLEAN = _replaced("html", [*P.MARKDOWN, (P.HEADING_MARK, ""), (P.EMPHASIS, "")])
 
 
 @query(rf"""
@@ -663,7 +669,7 @@ def core_members_topn(spark: SparkSession, sf: str) -> DataFrame:
 _COMMON = ", ".join(f"'{w}'" for w in profiles.COMMON)
 
 
-@query(rf"""WITH raw AS (SELECT lang AS lookup, doc_id, generate_subscripts(t, 1) AS pos, lower(unnest(t)) AS word FROM (SELECT lang, doc_id, regexp_extract_all(trim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 360)), '[\x{{4e00}}-\x{{9fff}}]{{2,4}}|[A-Za-z][A-Za-z0-9_-]{{2,}}') AS t FROM documents)),
+@query(rf"""WITH raw AS (SELECT lang AS lookup, doc_id, generate_subscripts(t, 1) AS pos, lower(unnest(t)) AS word FROM (SELECT lang, doc_id, regexp_extract_all(trim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 360)), '{P.KEYWORD}') AS t FROM documents)),
 c AS (SELECT lookup, word, count(*) AS n, min((doc_id, pos)) AS first FROM raw WHERE word NOT IN ({_COMMON}) GROUP BY ALL)
 SELECT lookup, word, n, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lookup ORDER BY n DESC, first) AS place FROM c) WHERE place <= 10""")
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -676,7 +682,7 @@ def source_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.source_counts(vector_notes(spark, sf).select(F.col("label").alias("community"), "lookup"), "community")
 
 
-@query(r"""SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '\[\[([^\]|]+)\|([^\]]+)\]\]', '\2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`{1,3}[^`]*`{1,3}', ' ', 'g'), '[*_>#~-]', ' ', 'g'), '\s+', ' ', 'g')), 120)) AS excerpt FROM documents""")
+@query(rf"SELECT doc_id, trim(left(trim({_replaced('text', [*P.EXCERPT, (r'\s+', ' ')])}), 120)) AS excerpt FROM documents")
 def label_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.label_excerpt(F.col("text")).alias("excerpt"))
 

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+TABLE = re.compile(r"(?!\d)\w+", re.ASCII)
 
 
 class ConfigError(ValueError):

@@ -72,7 +72,7 @@ def save_article(folder: str, url: str, parts: dict[str, str], now: dt.datetime)
     tail = re.sub(r"[^A-Za-z0-9]+", "-", f"{at.netloc}{at.path}").strip("-") or "article"
     path = Path(folder) / f"{now:%Y-%m-%d-%H}-{tail}.md"
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text("\n\n".join([f"# {url}", *(f"## {k}\n\n{v.strip()}" for k, v in parts.items())]) + "\n", encoding="utf-8")
+    path.write_bytes("\n\n".join([f"# {url}", *(f"## {k}\n\n{v.strip()}" for k, v in parts.items())]).encode("utf-8") + b"\n")
     return path
 
 

@@ -14,7 +14,7 @@ def names(plan):
 
 def test_plans():
     assert names(r.plan_q("two words")) == ["vec:original", "bm25:phrase"]
-    assert names(r.plan_q(" one two  three four five six ")) == ["vec:original", "bm25:original", "bm25:phrase"]
+    assert names(r.plan_q(" one two  three four five six ")) == "vec:original bm25:original bm25:phrase".split()
     assert r.plan_q(" a \n b ").query == "a b" and r.token_count("日本 語") == 2
     plus = r.plan_q_plus("two words", lambda _: "Two  Words", lambda _: "a, b, A, , c, d, e, f, g")
     assert names(plus) == ["vec:original", "bm25:phrase", "bm25:variants"]
