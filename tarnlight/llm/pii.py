@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlight.llm.pairs import few
 from tarnlight.shared import cut, written
 
 KEY = "tarnlight-demonstration-key"
@@ -306,16 +307,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
             out.append("".join([*parts, text[last:]]))
         return pd.Series(out, dtype=object)
 
+    lists = written(lists, "mention-lists")
+    side = F.broadcast(lists) if few(lists, 100_000) else lists.hint("shuffle_hash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    may = F.coalesce(F.col("text").rlike(CUE), F.lit(False))
-    clean = docs.where(~may).select(*columns)
-    joined = docs.where(may).withColumn("__tl_md5", F.md5("text")).join(lists.hint("shuffle_hash"), F.expr("__tl_md5 = __tl_digest"), "left")
-    joined = joined.withColumn("__tl_new", replaced("text", "__tl_list"))
+    joined = docs.select(*columns, F.md5("text").alias("__tl_md5")).join(side, F.expr("__tl_md5 = __tl_digest"), "left")
+    touched = F.when(F.col("__tl_list").isNotNull(), F.col("text"))  # only these go to Python
+    joined = joined.withColumn("__tl_new", replaced(touched, "__tl_list"))
     values = {"text": F.coalesce("__tl_new", "text")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(F.col("__tl_new").isNotNull(), F.length("__tl_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    changed = joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return clean.unionByName(changed)
+    return joined.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
