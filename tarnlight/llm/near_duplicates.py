@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import colliding, components, few, jaccard_pairs
+from tarnlight.llm.pairs import colliding, few, jaccard_pairs, linked
 from tarnlight.llm.words import WordCodes, codes_of, grams, minhash, mixed, multipliers, worker_state
 from tarnlight.shared import written
 
@@ -77,16 +77,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return joined.select("w.id", "t.text").dropDuplicates(["id"]).mapInArrow(run, "id binary, grams binary")
 
 
-def near_classes(docs: DataFrame, n: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, version, cls) and verified pairs (a, b, inter, total) of different classes."""
+def banded(docs: DataFrame, n: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, version, cls), written, and the bands (band, item) of their classes."""
     members = written(signed(docs, n, bands, rows), "signed")
     classes = members.groupBy("cls").agg(F.first("bands").alias("bands"))
-    pairs = written(colliding(classes.select(F.explode("bands").alias("band"), F.col("cls").alias("item"))), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    return members.select("doc_id", "version", "cls"), classes.select(F.explode("bands").alias("band"), F.col("cls").alias("item"))
+
+
+def sets_of(docs: DataFrame, members: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, grams) for the classes ids (id)."""
     at = members.groupBy(F.col("cls").alias("id")).agg(F.min(F.struct("doc_id", "version")).alias("at"))
-    wanted = written(ids.join(at, "id").select("id", "at.doc_id", "at.version"), "wanted")
-    sets = written(class_sets(docs, wanted, n), "sets")
-    return members.select("doc_id", "version", "cls"), written(jaccard_pairs(pairs, sets, threshold), "near")
+    return class_sets(docs, written(ids.join(at, "id").select("id", "at.doc_id", "at.version"), "wanted"), n)
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -100,7 +101,10 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, band
     a group of copies, so its size is quadratic in the group; keep_one() works
     on classes instead. Columns other than doc_id and text are not read.
     """
-    members, near = near_classes(docs, n, threshold, bands, rows)
+    members, shared = banded(docs, n, bands, rows)
+    pairs = written(colliding(shared), "pairs")
+    sets = written(sets_of(docs, members, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), n), "sets")
+    near = written(jaccard_pairs(pairs, sets, threshold), "near")
     ids = members.where("doc_id is not null").select("doc_id", "cls").distinct()
     x, y = ids.alias("x"), ids.alias("y")
     same = x.join(y, F.expr("x.cls = y.cls and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
@@ -116,8 +120,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: i
     least (doc_id, hash of the text) stays, a null doc_id first; of rows equal
     in both, one. Rows whose text has no words all stay.
     """
-    members, near = near_classes(docs, n, threshold, bands, rows)
-    groups = components(near)
+    members, shared = banded(docs, n, bands, rows)
+    groups = linked(shared, lambda ids: sets_of(docs, members, ids, n), threshold)
     labelled = members.join(groups, members.cls == groups.id, "left").select("doc_id", "version", F.coalesce("label", "cls").alias("label"))
     counted = labelled.groupBy("doc_id", "version", "label").agg(F.count("*").alias("n"))
     kept = counted.groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("kept"))

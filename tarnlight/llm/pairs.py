@@ -12,15 +12,14 @@ from tarnlight.shared import cut, written
 TILE = 4096
 
 
-def colliding(bands: DataFrame, span: int = 0) -> DataFrame:
-    """Unordered pairs (a < b) of distinct items that share a band, each pair once; bands has (band, item) or (band, item, owner).
+def colliding(bands: DataFrame) -> DataFrame:
+    """Unordered pairs (a < b) of distinct items that share a band, each pair once; bands has (band, item).
 
     One shuffle by band; the sorted runs of equal bands are paired in the Python
     worker as they stream by, so only one run is in memory. Every pair of a run
-    is given, whatever its length. An owner is a place, document << 24 |
-    position: items that lie less than span apart in some document are no pair.
+    is given, whatever its length.
     """
-    kind, places = dict(bands.dtypes)["item"], "owner" in bands.columns
+    kind = dict(bands.dtypes)["item"]
 
     def runs(batches):
         last, held, kept, out = None, [], None, ([], [])
@@ -31,18 +30,10 @@ def colliding(bands: DataFrame, span: int = 0) -> DataFrame:
                 out[0].clear(), out[1].clear()
 
         def paired():
-            if places:
-                at: dict = {}
-                for item, owner in held:
-                    at.setdefault(item, {})[owner >> 24] = owner & 0xFFFFFF
-                items = sorted(at)
-            else:
-                items = sorted(set(held))
+            items = sorted(set(held))
             held.clear()
             for i, x in enumerate(items[:-1]):
                 rest = items[i + 1 :]
-                if places:
-                    rest = [y for y in rest if not beside(at[x], at[y], span)]
                 out[0].extend([x] * len(rest))
                 out[1].extend(rest)
                 yield from flush(50_000)
@@ -59,24 +50,15 @@ def colliding(bands: DataFrame, span: int = 0) -> DataFrame:
                     if held:
                         yield from paired()
                     last = keys[starts[k]]
-                run = [c.slice(starts[k], sizes[k]).to_pylist() for c in batch.columns[1:]]
-                held.extend(zip(*run) if places else run[0])
+                held.extend(batch.column(1).slice(starts[k], sizes[k]).to_pylist())
         yield from paired()
         yield from flush()
 
-    spark = bands.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bands.select("band", "item", *["owner"] * places).where("band is not null")
+    n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bands.select("band", "item").where("band is not null")
     return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"a {kind}, b {kind}").distinct()
 
 
-def beside(x: dict[int, int], y: dict[int, int], span: int) -> bool:
-    """Whether some document has both items less than span apart."""
-    if len(y) < len(x):
-        x, y = y, x
-    return any(d in y and abs(y[d] - at) < span for d, at in x.items())
-
-
 def few(df: DataFrame, rows: int = 500_000) -> bool:
     """Whether df, of narrow rows, may be broadcast: counted, not assumed."""
     return df.limit(rows + 1).count() <= rows
@@ -139,3 +121,156 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("label <> was").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", "label")
+
+
+STARS = 3
+CHUNK = 100_000
+
+
+def runs_of(bands: DataFrame, span: int = 0) -> DataFrame:
+    """(band, items, beside, done): the distinct items, in order, of each band that has two or more, without those that lie beside all others.
+
+    beside has the pairs, as places in items one after the other, that lie less
+    than span apart in some document; bands as for colliding(). done is empty.
+    """
+    kind, places = dict(bands.dtypes)["item"], "owner" in bands.columns
+    names = ["band", "items", "beside", "done"]
+
+    def runs(batches):
+        last, held, item_type = None, [], None
+        out: tuple[list, list, list] = ([], [], [])
+
+        def packed():
+            n = len(out[0])
+            rows = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(item_type)), pa.array(out[2], pa.list_(pa.int32())), pa.array([[]] * n, pa.list_(pa.int32()))]
+            batch = pa.RecordBatch.from_arrays(rows, names)
+            for x in out:
+                x.clear()
+            return batch
+
+        def close():
+            items = sorted({h[0] for h in held} if places else set(held))
+            if len(items) > 1:
+                near: set[tuple[int, int]] = set()
+                if places:
+                    number, docs = {x: i for i, x in enumerate(items)}, {}
+                    for item, owner in held:
+                        docs.setdefault(owner >> 24, []).append((owner & 0xFFFFFF, number[item]))
+                    for at in docs.values():
+                        at.sort()
+                        for i, (p, x) in enumerate(at):
+                            for q, y in at[i + 1 :]:
+                                if q - p >= span:
+                                    break
+                                if x != y:
+                                    near.add((min(x, y), max(x, y)))
+                taken = [0] * len(items)
+                for pair in near:
+                    for i in pair:
+                        taken[i] += 1
+                kept_at = {i: k for k, i in enumerate(i for i, n in enumerate(taken) if n < len(items) - 1)}  # the rest have no partner here
+                if kept_at:
+                    between = [kept_at[i] for pair in sorted(near) if pair[0] in kept_at and pair[1] in kept_at for i in pair]
+                    for o, x in zip(out, (last, [items[i] for i in kept_at], between)):
+                        o.append(x)
+            held.clear()
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            item_type = batch.schema.field(1).type
+            if not len(keys):
+                continue
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            for k in np.flatnonzero((sizes > 1) | (starts == 0) | (starts == starts[-1])):  # the first and last may go on in other batches
+                if keys[starts[k]] != last:
+                    close()
+                    last = int(keys[starts[k]])
+                run = [c.slice(starts[k], sizes[k]).to_pylist() for c in batch.columns[1:]]
+                held.extend(zip(*run) if places else run[0])
+            if len(out[0]) > 10_000:
+                yield packed()
+        close()
+        if out[0]:
+            yield packed()
+
+    n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bands.select("band", "item", *["owner"] * places).where("band is not null")
+    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"band long, items array<{kind}>, beside array<int>, done array<int>")
+
+
+def chosen(items: list, labels: list, beside: set, done: list[int], last: bool) -> tuple[list[tuple], list[int]]:
+    """Pairs of a run that are to be verified next, and its hubs so far.
+
+    A hub goes with all items that have another label, the least item first, of
+    a label that no hub has had if there is one. The last time all pairs that no
+    hub has seen and whose labels differ are given.
+    """
+    live = [i for i in range(len(items)) if i not in set(done)]
+    if last:
+        return [(i, j) for k, i in enumerate(live) for j in live[k + 1 :] if labels[i] != labels[j] and (i, j) not in beside], done
+    while len(live) > 1:
+        seen = {labels[d] for d in done}
+        hub = next((i for i in live if labels[i] not in seen), live[0])
+        live.remove(hub)
+        done = [*done, hub]
+        pairs = [(min(hub, j), max(hub, j)) for j in live if labels[j] != labels[hub]]
+        if pairs := [p for p in pairs if p not in beside]:
+            return pairs, done
+    return [], done
+
+
+def linked(bands: DataFrame, sets_of, threshold: float, span: int = 0) -> DataFrame:
+    """(id, label) of the components of the pairs that share a band and have Jaccard >= threshold; label is the least id.
+
+    The components are those of all such pairs, but not all of them are
+    verified: in each of STARS rounds every band verifies one of its items with
+    those that are not in its component yet, so that a group of m near copies
+    costs about m pairs and not their square. What is then left between
+    different components, which is little, is verified pair by pair. sets_of
+    gives (id, grams) for a table of (id).
+    """
+    kind = dict(bands.dtypes)["item"]
+    runs = written(runs_of(bands, span), "runs")
+    sets = written(sets_of(written(runs.select(F.explode("items").alias("id")).distinct(), "run-ids")), "run-sets")
+    labels = None
+    for k in range(STARS + 1):
+        if labels is None:
+            state = runs.withColumn("labels", F.col("items"))
+        else:
+            flat = runs.select("band", F.posexplode("items").alias("pos", "item")).join(labels, F.col("item") == F.col("id"), "left")
+            own = flat.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("label", "item").alias("label")))).alias("x"))
+            state = runs.join(own.select("band", F.transform("x", lambda x: x["label"]).alias("labels")), "band")
+
+        def step(batches, last=k == STARS):
+            for batch in batches:
+                rows: list[tuple] = []
+                for band, items, beside, done, own in zip(*(c.to_pylist() for c in batch.columns)):
+                    pairs, done = chosen(items, own, set(zip(beside[::2], beside[1::2])), done, last)
+                    for i in range(0, len(pairs), CHUNK):
+                        part = pairs[i : i + CHUNK]
+                        rows.append((band, *((None,) * 3 if i else (items, beside, done)), [items[p] for p, _ in part], [items[q] for _, q in part]))
+                types = [batch.schema.field(j).type for j in (0, 1, 2, 3, 1, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], ["band", "items", "beside", "done", "a", "b"])
+
+        schema = f"band long, items array<{kind}>, beside array<int>, done array<int>, a array<{kind}>, b array<{kind}>"
+        round_ = written(state.select("band", "items", "beside", "done", "labels").mapInArrow(step, schema), f"round-{k}")
+        if round_.isEmpty():
+            break
+        pairs = written(round_.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct(), "round-pairs")
+        near = written(jaccard_pairs(pairs, sets, threshold).select("a", "b"), "round-near")
+        labels = joined_labels(labels, near)
+        runs = round_.where("items is not null").drop("a", "b")
+    return labels if labels is not None else runs.select(F.explode("items").alias("id")).withColumn("label", F.col("id")).limit(0)
+
+
+def joined_labels(labels: DataFrame | None, near: DataFrame) -> DataFrame:
+    """labels (id, label) with the pairs near (a, b) added: the components of the labels that they connect."""
+    if labels is None:
+        return components(near)
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    base = labels.union(ids.select("id", "id")).groupBy("id").agg(F.min("label").alias("label"))
+    x, y = base.toDF("a", "la"), base.toDF("b", "lb")
+    links = near.join(x, "a").join(y, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    above = components(links).toDF("label", "above")
+    return written(base.join(above, "label", "left").select("id", F.coalesce("above", "label").alias("label")), "labels")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import colliding, components, few, jaccard_pairs
+from tarnlight.llm.pairs import few, linked
 from tarnlight.llm.words import MULT, WordCodes, codes_of, grams, mixed, multipliers, worker_state
 from tarnlight.shared import written
 
@@ -176,11 +176,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
     found = occurrences(docs, min_words, banded=False)
-    pairs = written(colliding(occurrences(docs, min_words, banded=True), 4 * min_words), "paragraph-pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paragraph-ids")
-    at = found.join(F.broadcast(ids) if few(ids) else ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
-    sets = written(gram_sets(docs, written(at.select("id", "at.*"), "paragraph-places")), "paragraph-sets")
-    near = components(jaccard_pairs(pairs, sets, threshold)).withColumnRenamed("id", "c")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        at = found.join(F.broadcast(ids) if few(ids) else ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
+        return gram_sets(docs, written(at.select("id", "at.*"), "paragraph-places"))
+
+    near = linked(occurrences(docs, min_words, banded=True), sets_of, threshold, 4 * min_words).withColumnRenamed("id", "c")
     clustered = found.join(F.broadcast(near) if few(near) else near, "c", "left").withColumn("label", F.coalesce("label", "c"))
     place = ("doc_id", "version", "start")
     w = Window.partitionBy("label").orderBy(*place)

@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+
 from tarnlight.llm import near_duplicates as nd
 from tarnlight.llm import pairs as p
 
@@ -92,3 +95,32 @@ def test_components_and_candidates(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
     bands = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (2, "x"), (2, "z"), (3, "w"), (None, "w")], "band long, item string")
     assert sorted(map(tuple, p.colliding(bands).collect())) == [("x", "y"), ("x", "z"), ("y", "z")]
+
+
+def test_linked_gives_the_components_of_all_pairs(spark):
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(12), 6)) for i in range(90)}
+    bands = [(b, i) for b in range(12) for i in rng.sample(range(90), 25)] + [(99, i) for i in range(90)][:3]
+    near = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.7
+    label = {i: i for i in sets}
+    pairs = {(x, y) for b, x in bands for c, y in bands if b == c and x < y and near(x, y)}
+    for _ in range(90):
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    grams = spark.createDataFrame([(i, bytearray(np.array(sorted(g), np.uint64).tobytes())) for i, g in sets.items()], "id long, grams binary")
+    got = {r["id"]: r["label"] for r in p.linked(spark.createDataFrame(bands, "band long, item long"), lambda ids: grams.join(ids, "id"), 0.7).collect()}
+    ends = {x for pair in pairs for x in pair}
+    assert got == {i: label[i] for i in ends}
+    none = spark.createDataFrame([], "band long, item long")
+    assert p.linked(none, lambda ids: grams.join(ids, "id"), 0.7).count() == 0
+
+
+def test_hubs_see_each_pair_of_different_labels_once():
+    items = list("abcdef")
+    pairs, done = p.chosen(items, items, {(0, 1)}, [], False)
+    assert pairs == [(0, 2), (0, 3), (0, 4), (0, 5)] and done == [0]
+    labels = list("aaadde")
+    pairs, done = p.chosen(items, labels, set(), done, False)
+    assert done == [0, 3] and pairs == [(1, 3), (2, 3), (3, 5)]
+    assert p.chosen(items, labels, set(), done, True)[0] == [(1, 4), (1, 5), (2, 4), (2, 5), (4, 5)]
+    assert p.chosen(items, ["a"] * 6, set(), [], False)[0] == []
