@@ -14,10 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlight.llm.pairs import few
+from tarnlight.shared import written
+
 BUCKETS = 128
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 SALTS = (1, 11, 37, 59, 83, 109)
 BOUND = 400
+NEAR = 40
+TABLES_OF_BITS, BITS = 24, 16
+PAIR_BLOCK = 500_000
 
 
 def byte_table(k: int) -> list[int]:
@@ -91,26 +97,37 @@ def with_digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string")
 
 
+def body_table() -> np.ndarray:
+    """Score of each two bytes of bodies: |difference| of their two-bit codes, with 6 in place of 3."""
+    codes = np.arange(256)
+    gap = np.abs((codes[:, None, None] >> np.array([0, 2, 4, 6]) & 3) - (codes[None, :, None] >> np.array([0, 2, 4, 6]) & 3))
+    return np.where(gap == 3, 6, gap).sum(axis=2)
+
+
+def score_of(u: np.ndarray, v: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Unbounded difference scores of rows of 34 bytes."""
+    u, v = u.astype(np.int64), v.astype(np.int64)
+    total = table[u[:, 2:], v[:, 2:]].sum(axis=1)
+    for p, q in ((u[:, 0], v[:, 0]), (u[:, 1] >> 4, v[:, 1] >> 4), (u[:, 1] & 15, v[:, 1] & 15)):
+        d = np.abs(p - q)
+        total += np.where(d <= 1, d, (d - 1) * 12)
+    return total
+
+
 def difference(a: Column, b: Column, bound: int = BOUND) -> Column:
     """Bounded difference score of two digests: 0 for equal ones, bound at most, null if either is null.
 
     Length codes: their distance, beyond 1 times 12. Ratios: the same for each.
     Buckets: |difference| of the two-bit codes, with 6 in place of 3.
     """
-    codes = np.arange(256)
-    gap = np.abs((codes[:, None, None] >> np.array([0, 2, 4, 6]) & 3) - (codes[None, :, None] >> np.array([0, 2, 4, 6]) & 3))
-    table = np.where(gap == 3, 6, gap).sum(axis=2)
+    table = body_table()
 
     def scores(x: pd.Series, y: pd.Series) -> pd.Series:
         both = (x.notna() & y.notna()).to_numpy()
         out = np.full(len(x), np.nan)
         if both.any():
             u, v = (np.frombuffer(bytes.fromhex("".join(z[both])), np.uint8).reshape(-1, 34).astype(np.int64) for z in (x, y))
-            total = table[u[:, 2:], v[:, 2:]].sum(axis=1)
-            for p, q in ((u[:, 0], v[:, 0]), (u[:, 1] >> 4, v[:, 1] >> 4), (u[:, 1] & 15, v[:, 1] & 15)):
-                d = np.abs(p - q)
-                total += np.where(d <= 1, d, (d - 1) * 12)
-            out[both] = np.minimum(total, bound)
+            out[both] = np.minimum(score_of(u, v, table), bound)
         return pd.Series(out)
 
     return F.pandas_udf(scores, "double")(a, b).cast("int")
@@ -119,15 +136,125 @@ def difference(a: Column, b: Column, bound: int = BOUND) -> Column:
 def neighbours(digests: DataFrame, bound: int = BOUND) -> DataFrame:
     """Each digest compared with the one before it among those of the same header, in the order of (digest, doc_id).
 
-    Near copies share long digest prefixes' headers, so sorted neighbours find
-    many of them in one shuffle of the digests alone. The first of a header and
-    null digests have null prev_id and diff_prev.
+    One score a digest, in one shuffle of the digests alone: near copies whose
+    headers differ, or that others sort between, are not compared here but by
+    near_pairs(). The first of a header and null digests have null prev_id and
+    diff_prev.
     """
     w = Window.partitionBy(F.substring("digest", 1, 4)).orderBy("digest", F.col("doc_id").asc_nulls_first())
     with_prev = digests.withColumns({"prev_id": F.lag("doc_id").over(w), "prev_digest": F.lag("digest").over(w)})
     return with_prev.select("doc_id", "n_bytes", "digest", F.when(F.col("digest").isNotNull(), F.col("prev_id")).alias("prev_id"), difference(F.col("digest"), F.col("prev_digest"), bound).alias("diff_prev"))
 
 
+def planes(raw: np.ndarray) -> np.ndarray:
+    """(n, 6) words of the 384 bits code >= 1, >= 2, >= 3 of each digest; raw: n x 34 bytes. The bits in which two digests differ are the sum of their codes' differences."""
+    x = np.ascontiguousarray(raw[:, 2:]).view(np.uint64)
+    low = np.uint64(0x5555555555555555)
+    hi, lo = x >> np.uint64(1) & low, x & low
+    three = hi & lo
+    return np.c_[hi << np.uint64(1) | hi | lo, three[:, :2] << np.uint64(1) | three[:, 2:]]
+
+
+def samples() -> np.ndarray:
+    """(TABLES_OF_BITS, BITS) places of bits in planes(), drawn once and for all."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    return np.stack([rng.choice(3 * BUCKETS, BITS, replace=False) for _ in range(TABLES_OF_BITS)])
+
+
+def bit_bands(raw: np.ndarray) -> np.ndarray:
+    """(n, TABLES_OF_BITS) keys: the bits of each sample with its number."""
+    bits, at = np.unpackbits(planes(raw).view(np.uint8), axis=1), samples()
+    keys = np.zeros((len(raw), TABLES_OF_BITS), np.int64)
+    for k in range(BITS):
+        keys |= bits[:, at[:, k]].astype(np.int64) << k
+    return keys | np.arange(TABLES_OF_BITS) << BITS
+
+
+def near_pairs(digests: DataFrame, near: int = NEAR) -> DataFrame:
+    """(doc_id_a, doc_id_b, diff) of the documents a < b whose difference score is near at most, whatever their headers and order.
+
+    Candidates are the distinct digests that share one of TABLES_OF_BITS samples
+    of BITS body bits and whose length codes are no further apart than the score
+    allows; all are scored. Scores of d body points are found with probability
+    1 - (1 - (1 - d / 384)**BITS)**TABLES_OF_BITS: 0.999 at 31, 0.989 at 40;
+    equal digests always. Rows with a null doc_id or digest are in no pair;
+    repeated rows count once, and a doc_id with several texts has a row for each
+    pair of them. The list is quadratic in a group of copies.
+    """
+    members = digests.where("doc_id is not null and digest is not null").select("doc_id", F.unhex("digest").alias("digest")).distinct()
+    classes = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    classes = written(classes.select("digest", F.xxhash64("digest").alias("key"), F.when(F.col("size") == 1, F.col("least")).alias("single")), "digests")
+    copies = classes.where("single is null")
+    copies = written(members.join(F.broadcast(copies) if few(copies) else copies, "digest").select("key", "doc_id"), "digest-copies")
+    reach = 1 + near // 12  # of length codes
+    kind = dict(digests.dtypes)["doc_id"]
+
+    def banded(batches):
+        for batch in batches:
+            if batch.num_rows:
+                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 34)
+                owner = pa.array(np.repeat(np.arange(len(raw)), TABLES_OF_BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(bit_bands(raw).ravel()), *(c.take(owner) for c in batch.columns)], ["band", "digest", "key", "single"])
+
+    def scored(batches):
+        table, at = body_table(), samples()
+        chosen = np.zeros((TABLES_OF_BITS, 3 * BUCKETS), np.uint8)
+        np.put_along_axis(chosen, at, 1, axis=1)
+        masks = np.packbits(chosen, axis=1).view(np.uint64)
+        bands, rows, held = np.zeros(0, np.int64), np.zeros((0, 34), np.uint8), None
+
+        def close(bands, rows, held):
+            order = bands * 256 + rows[:, 0]  # ascends: sorted by band, then digest
+            words = planes(rows)
+            n = len(bands)
+            ends = np.searchsorted(order, np.minimum(order + reach, bands * 256 + 255), side="right")
+            done = np.r_[0, np.cumsum(ends - np.arange(n) - 1)]
+            for begin in range(0, int(done[-1]), PAIR_BLOCK):
+                k = np.arange(begin, min(begin + PAIR_BLOCK, int(done[-1])))
+                i = np.searchsorted(done, k, side="right") - 1
+                j = i + 1 + k - done[i]
+                body = np.zeros(len(k), np.int64)
+                for c in range(words.shape[1]):
+                    body += np.bitwise_count(words[i, c] ^ words[j, c])
+                i, j = i[body <= near], j[body <= near]
+                total = score_of(rows[i], rows[j], table)
+                new = total <= near
+                differ, number = words[i] ^ words[j], bands[i] >> BITS
+                for t in range(TABLES_OF_BITS):  # a pair is given by the first sample that it shares
+                    new[new] = (number[new] <= t) | ((differ[new] & masks[t]) != 0).any(axis=1)
+                i, j = i[new], j[new]
+                sides = [held.column(c).take(pa.array(x)) for x in (i, j) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*sides, pa.array(total[new], pa.int32())], ["key_a", "single_a", "key_b", "single_b", "diff"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = pa.RecordBatch.from_arrays(batch.columns[2:], ["key", "single"])
+            held = more if held is None else pa.concat_batches([held, more])
+            bands = np.r_[bands, batch.column(0).to_numpy()]
+            rows = np.r_[rows, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 34)]
+            whole = int(np.searchsorted(bands, bands[-1]))  # the last run may go on
+            yield from close(bands[:whole], rows[:whole], held)
+            bands, rows, held = bands[whole:], rows[whole:], held.slice(whole)
+        yield from close(bands, rows, held)
+
+    n = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = classes.mapInArrow(banded, f"band long, digest binary, key long, single {kind}").repartition(n, "band").sortWithinPartitions("band", "digest")
+    found = bands.mapInArrow(scored, f"key_a long, single_a {kind}, key_b long, single_b {kind}, diff int")
+    small = few(copies)
+    for side in "ab":
+        own = copies.select(F.col("key").alias(f"own_{side}"), F.col("doc_id").alias(f"copy_{side}"))
+        found = found.join(F.broadcast(own) if small else own, F.expr(f"single_{side} is null and key_{side} = own_{side}"), "left")
+    across = found.select(F.coalesce("single_a", "copy_a").alias("x"), F.coalesce("single_b", "copy_b").alias("y"), "diff").where("x <> y")
+    across = across.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "diff")
+    x, y = copies.toDF("key", "doc_id_a"), copies.toDF("key", "doc_id_b")
+    return across.union(x.join(y, "key").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b", F.lit(0)))
+
+
+def op1_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(with_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(with_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -177,5 +304,5 @@ WITH hexed AS (
 )
 SELECT doc_id, n_bytes, digest, prev_id, CAST(CASE WHEN s IS NOT NULL THEN least({BOUND}, s) END AS INT) AS diff_prev FROM parts
 """
-QUERIES = {"op1_fingerprint": op1_fingerprint}
+QUERIES = {"op1_fingerprint": op1_fingerprint, "op1_near_pairs": op1_near_pairs}
 SQL = {"op1_fingerprint": OP1_SQL}

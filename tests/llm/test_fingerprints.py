@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tarnlight.llm import fingerprints as fp
@@ -45,3 +46,26 @@ def test_neighbours_compare_each_digest_with_the_one_before(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)]])
 def test_tables_without_texts(spark, rows):
     assert fp.neighbours(fp.with_digest(table(spark, rows))).count() == len(rows)
+
+
+def test_near_pairs_find_what_all_pairs_find(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1000)
+    digests = fp.with_digest(docs).cache()
+    rows = digests.where("digest is not null").select("doc_id", "digest").distinct().collect()
+    raw = np.array([list(bytes.fromhex(r["digest"])) for r in rows], np.uint8)
+    ids, score_table, want = np.array([r["doc_id"] for r in rows]), fp.body_table(), {}
+    for i in range(len(rows) - 1):
+        total = fp.score_of(np.broadcast_to(raw[i], raw[i + 1 :].shape), raw[i + 1 :], score_table)
+        for j in np.flatnonzero(total <= fp.NEAR):
+            want[tuple(sorted((int(ids[i]), int(ids[i + 1 + j]))))] = int(total[j])
+    got = {(r["doc_id_a"], r["doc_id_b"]): r["diff"] for r in fp.near_pairs(digests).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.98 * len(want)
+    by_id = {r["doc_id"]: r["digest"] for r in rows}
+    other_header = {p for p in want if by_id[p[0]][:4] != by_id[p[1]][:4]}
+    assert other_header and len(other_header & got.keys()) >= 0.95 * len(other_header)
+
+
+def test_near_pairs_take_awkward_rows(spark):
+    got = {(r["doc_id_a"], r["doc_id_b"]): r["diff"] for r in fp.near_pairs(fp.with_digest(table(spark, awkward()))).collect()}
+    assert got[10, 11] == 0 and all(a is not None and a < b for a, b in got)
+    assert fp.near_pairs(fp.with_digest(table(spark, []))).count() == 0
