@@ -1,10 +1,13 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding.
 
-The unit is a paragraph of at least MIN_WORDS words that begins at a sentence's
-start and ends at a later one. One begins at every sentence of SENTENCE_WORDS
-words or more, so paragraphs overlap, and a passage that repeats inside of other
-text has paragraphs of its own wherever it lies in a line. Of shorter sentences
-one in eight begins one, by a hash. Starts depend on the words beside them alone:
+Equal passages are found by seeds, wherever they begin and end: runs of MIN_WORDS
+words, of which each window of MIN_WORDS + 2 has its least hash chosen, so that
+every passage of over 2 * MIN_WORDS words holds one. A seed that repeats is
+extended over all words beside it that the first occurrence has as well.
+
+The unit of edited copies is a paragraph of at least MIN_WORDS words that begins
+at a sentence's start and ends at a later one. One begins at every sentence, so
+paragraphs overlap. Starts depend on the words beside them alone:
 after a word that ends a sentence or a line, at a word with a capital, and, for
 texts without either, at words with one of 32 hashes.
 
@@ -31,7 +34,6 @@ from tarnlight.llm.words import MULT, WordCodes, codes_of, grams, mixed, multipl
 from tarnlight.shared import written
 
 MIN_WORDS = 25
-SENTENCE_WORDS = 5
 N = 3
 THRESHOLD = 0.7
 BANDS, ROWS = 3, 2
@@ -65,8 +67,7 @@ def paragraphs(text: str, codes: WordCodes, min_words: int) -> tuple[np.ndarray,
     starts[0] = True
     at = np.flatnonzero(starts)
     bounds = np.r_[at, n]
-    long = (np.diff(bounds) >= SENTENCE_WORDS) | (hashes[at] % np.uint64(8) == 0)
-    at = at[long & (at + min_words <= n)]
+    at = at[at + min_words <= n]
     return hashes, at, bounds[np.searchsorted(bounds, at + min_words)]
 
 
@@ -120,6 +121,93 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True
     return rows.mapInArrow(run, "band long, item long, owner long" if banded else f"c long, doc_id {kind}, version long, start int, end int")
 
 
+def slid(x: np.ndarray, width: int, fold) -> np.ndarray:
+    """fold (minimum or maximum) of each width values in a row."""
+    size, out = 1, x
+    while size < width:
+        step = min(size, width - size)
+        out = fold(out[: len(out) - step], out[step:])
+        size += step
+    return out
+
+
+def seeds(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of min_words words with the least hash in a window of min_words + 2 of them, and their hashes."""
+    size = len(hashes) - min_words + 1
+    if size < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = np.arange(size)
+    h = hashed(hashes, starts, starts + min_words)
+    width = min(min_words + 2, size)
+    least = slid(h, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(slid(np.r_[edge, least, edge], width, np.maximum) == h)
+    return at, h[at]
+
+
+def seed_rows(docs: DataFrame, min_words: int, beside: bool) -> DataFrame:
+    """(c) of each seed; where beside, (c, doc_id, version, start, room, around): around has the hashes of the min_words + 2 words before and after it, room is how many of those after it there are."""
+    reach = min_words + 2
+
+    def run(batches):
+        codes = worker_state("codes", WordCodes)
+        for batch in batches:
+            cs, begin, room, around, owners = [], [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                hashes = codes_of(text, codes) >> np.uint64(2)
+                at, h = seeds(hashes, min_words)
+                if not len(at):
+                    continue
+                cs.append(h)
+                if beside:
+                    padded = np.r_[np.zeros(reach, np.uint32), hashes.astype(np.uint32), np.zeros(reach, np.uint32)]
+                    before = padded[at[:, None] + np.arange(reach - 1, -1, -1)]
+                    after = padded[at[:, None] + reach + min_words + np.arange(reach)]
+                    around += [x.tobytes() for x in np.c_[before, after]]
+                    begin.append(at)
+                    room.append(np.minimum(reach, len(hashes) - min_words - at))
+                    owners.append(np.full(len(at), k))
+            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+            columns = [pa.array(cat(cs, np.int64))]
+            if beside:
+                owner = pa.array(cat(owners, np.int64))
+                columns += [batch.column(0).take(owner), batch.column(2).take(owner), pa.array(cat(begin, np.int32)), pa.array(cat(room, np.int32)), pa.array(around, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "doc_id", "version", "start", "room", "around"][: len(columns)])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
+    return rows.mapInArrow(run, f"c long, doc_id {kind}, version long, start int, room int, around binary" if beside else "c long")
+
+
+def equal_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, start, end) of the words that an earlier place has too, in passages of which a seed repeats.
+
+    Of each seed the first occurrence by (doc_id, version, start) stays; every
+    word cut has its like at an earlier place, so that the first of all stays.
+    Seeds are so dense that the words of a common passage beside one of its
+    seeds, min_words + 2 at each side, make up the whole passage.
+    """
+    reach = min_words + 2
+    repeated = written(seed_rows(docs, min_words, False).groupBy("c").count().where("count > 1").select("c"), "repeated-seeds")
+    rows = seed_rows(docs, min_words, True).join(F.broadcast(repeated) if few(repeated) else repeated, "c")
+    w = Window.partitionBy("c").orderBy("doc_id", "version", "start")
+    place = ("doc_id", "version", "start", "room", "around")
+    rows = rows.withColumn("first", F.first(F.struct(*place)).over(w))
+    rows = rows.where("not (doc_id <=> first.doc_id and version = first.version and start = first.start)")
+
+    def common(around: pd.Series, first: pd.Series) -> pd.DataFrame:
+        x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, 2, reach) for c in (around, first))
+        n = np.cumprod(x == y, axis=2).sum(axis=2)
+        return pd.DataFrame({"left": n[:, 0].astype(np.int32), "right": n[:, 1].astype(np.int32)})
+
+    rows = rows.withColumn("n", F.pandas_udf(common, "left int, right int")("around", "first.around"))
+    begin = F.col("start") - F.least("n.left", "start", "first.start")
+    # a run that overlaps its own first occurrence leaves that whole
+    begin = F.when(F.expr("doc_id <=> first.doc_id and version = first.version"), F.greatest(begin, F.col("first.start") + min_words)).otherwise(begin)
+    end = F.col("start") + min_words + F.least("n.right", "room", "first.room")
+    return rows.select("doc_id", "version", begin.cast("int").alias("start"), end.cast("int").alias("end")).where("start < end")
+
+
 def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, grams) of the paragraphs wanted (id, doc_id, version, start, end), from the texts again."""
 
@@ -142,15 +230,18 @@ def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cut_spans(text: str, spans: list) -> str:
-    """text without the words of the spans that no kept span has; the white space after a cut word goes with it."""
+    """text without the words of the spans that no kept span has, and without those of the spans of which kept is null; the white space after a cut word goes with it."""
     at = [m.span() for m in WORD.finditer(text)]
     gone = np.zeros(len(at), bool)
     for s in spans:
-        if not s["kept"]:
+        if s["kept"] is False:
             gone[s["start"] : s["end"]] = True
     for s in spans:
         if s["kept"]:
             gone[s["start"] : s["end"]] = False
+    for s in spans:
+        if s["kept"] is None:
+            gone[s["start"] : s["end"]] = True
     if not gone.any():
         return text
     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
@@ -165,6 +256,8 @@ def cut_spans(text: str, spans: list) -> str:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, columns as they are, with the repeated passages cut from text.
 
+    Equal passages are cut to their full length, but for the first occurrence:
+    see equal_spans(), which nothing below restrains.
     Of each cluster of equal or near paragraphs the occurrence with the least
     (doc_id, hash of the text, position) stays, a null doc_id first. Paragraphs
     less than 4 * min_words words apart in some document are not near each other. Words of
@@ -186,7 +279,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     place = ("doc_id", "version", "start")
     w = Window.partitionBy("label").orderBy(*place)
     ranked = clustered.select(*place, "end", F.row_number().over(w).alias("n"), F.lead("start").over(w).isNotNull().alias("more"))
-    spans = ranked.where("n > 1 or more").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", (F.col("n") == 1).alias("kept"))).alias("__tl_spans"), F.max("n").alias("most"))
+    near_spans = ranked.where("n > 1 or more").select(*place, "end", "n", (F.col("n") == 1).alias("kept"))
+    equal = equal_spans(docs, min_words).select(*place, "end", F.lit(2).alias("n"), F.lit(None).cast("boolean").alias("kept"))
+    spans = near_spans.union(equal).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", "kept")).alias("__tl_spans"), F.max("n").alias("most"))
     spans = spans.where("most > 1").select(F.col("doc_id").alias("__tl_id"), F.col("version").alias("__tl_version"), "__tl_spans")
 
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from tarnlight.llm import substrings as s
 
 from .cases import awkward, prose, table
@@ -56,3 +60,38 @@ def test_awkward_rows(spark):
     rest = [r for r in rows if r[0] not in (10, 11)]
     assert sorted(repr(r["text"]) for r in got if r["doc_id"] not in (10, 11)) == sorted(repr(r[1]) for r in rest)
     assert s.deduplicated(table(spark, [])).count() == 0
+
+
+def test_passages_cut_at_any_word_are_removed_whole(spark):
+    rng = random.Random(5)
+    source = [prose(400, 500 + k).split() for k in range(4)]
+    texts, own = [" ".join(w) for w in source], []
+    for k in range(40):
+        size = rng.choice([51, 60, 70, 80])
+        at = rng.randrange(1, 400 - size)
+        own.append((prose(45, 600 + k).split(), prose(45, 700 + k).split()))
+        texts.append(" ".join([*own[-1][0], *source[k % 4][at : at + size], *own[-1][1]]))
+    got = run(spark, texts)
+    assert [got[i]["text"] for i in range(4)] == texts[:4]
+    left = [len(got[4 + k]["text"].split()) for k in range(40)]
+    assert max(left) <= 90  # near paragraphs may take words of the sentences that the passage cuts into
+    gone = [set() for _ in range(40)]
+    for r in s.equal_spans(table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).where("doc_id >= 4").collect():
+        gone[r["doc_id"] - 4] |= set(range(r["start"], r["end"]))
+    for k, (text, words) in enumerate(zip(texts[4:], gone)):
+        want = set(range(45, len(text.split()) - 45))
+        assert want <= words and len(words - want) <= 2, k  # a word beside the passage may be the same by chance
+
+
+def test_seeds_lie_in_every_passage():
+    hashes = np.random.default_rng(1).integers(0, 2**62, 2000, dtype=np.uint64)
+    at, _ = s.seeds(hashes, s.MIN_WORDS)
+    assert np.diff(at).max() <= s.MIN_WORDS + 2 and at[0] <= s.MIN_WORDS + 1
+    inner, _ = s.seeds(hashes[700:751], s.MIN_WORDS)
+    assert len(inner) and set(inner + 700) <= set(at)
+    assert [len(s.seeds(hashes[:n], 25)[0]) for n in (0, 24, 25, 30)] == [0, 0, 1, 1]
+
+
+def test_a_repeating_run_leaves_its_first_occurrence(spark):
+    text = prose(40, 800) + " " + "na " * 200
+    assert len(run(spark, [text])[0]["text"].split()) >= 40 + s.MIN_WORDS
