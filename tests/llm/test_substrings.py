@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tarnlight.llm import substrings as s
+from tarnlight.llm.words import minhash, multipliers
 
 from .cases import awkward, prose, table
 
@@ -95,3 +96,14 @@ def test_seeds_lie_in_every_passage():
 def test_a_repeating_run_leaves_its_first_occurrence(spark):
     text = prose(40, 800) + " " + "na " * 200
     assert len(run(spark, [text])[0]["text"].split()) >= 40 + s.MIN_WORDS
+
+
+def test_bands_find_pairs_at_the_threshold():
+    assert s.BANDS == 6 and 1 - (1 - s.THRESHOLD**s.ROWS) ** s.BANDS >= s.RECALL
+    rng, hit = np.random.default_rng(2), 0
+    a, b = multipliers(s.BANDS * s.ROWS, 4)
+    base = rng.integers(0, 2**62, (300, 34), dtype=np.uint64)
+    for x in base:
+        y = np.r_[x[:28], rng.integers(0, 2**62, 6, dtype=np.uint64)]  # Jaccard 28 / 40
+        hit += (minhash(x, a, b) == minhash(y, a, b)).reshape(s.BANDS, s.ROWS).all(axis=1).any()
+    assert hit >= 0.95 * 300
