@@ -23,7 +23,6 @@ from tarnlight.llm.words import mixed, normal
 
 SAMPLE_DOCS = 120
 TRAIN_WORDS = 60_000
-MAX_LANGUAGES = 16
 LEXICON_WORDS = 400
 SLOTS = 1 << 16
 BLOCK = 32
@@ -35,12 +34,14 @@ MIN_LETTERS = 0.5
 @dataclass
 class Model:
     languages: list[str]
-    lexicon: dict[str, int]  # word -> bit mask of the languages of whose lexicon it is
+    lexicon: dict[str, int]  # word -> bit mask, of any width, of the languages of whose lexicon it is
     weights: np.ndarray  # SLOTS x languages
     transitions: np.ndarray  # languages x languages, log scores
 
 
 LONG_WORD = 40
+#: Of more languages than this, caches and groups of texts are made smaller, so that they take no more memory.
+WIDE = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,9 +85,15 @@ def features(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray
     inside = np.ones(len(gram), bool)
     inside[np.r_[ends[:-1] - 1, ends[:-1] - 2]] = False
     found.append((every, slot(gram[inside], 31), np.r_[0, np.cumsum(sizes)[:-1]]))
-    known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, n)
-    for k in range(MAX_LANGUAGES):
-        has = np.flatnonzero(known >> k & 1)
+    members: dict[int, list[int]] = {}  # language -> words in its lexicon
+    for i, w in enumerate(words):
+        mask = lexicon.get(w, 0)
+        while mask:
+            k = (mask & -mask).bit_length() - 1
+            members.setdefault(k, []).append(i)
+            mask &= mask - 1
+    for k in sorted(members):
+        has = np.array(members[k], np.int64)
         found.append((has, slot(np.full(len(has), k, np.uint64), 40), None))
     return found
 
@@ -197,8 +204,9 @@ class Unary(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.table = np.ones((CACHE_WORDS, len(model.languages)))
-        self.letters = np.zeros(CACHE_WORDS, bool)
+        size = max(1, CACHE_WORDS * WIDE // max(WIDE, len(model.languages)))
+        self.table = np.ones((size, len(model.languages)))
+        self.letters = np.zeros(size, bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of the words, valid until the next call; those that are new are scored together."""
@@ -276,14 +284,13 @@ def posteriors(e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Texts of at most per_language rows of each of the MAX_LANGUAGES most frequent languages, by a hash of doc_id, then doc_id."""
+    """Texts of at most per_language rows of each language, by a hash of doc_id, then doc_id."""
     named = docs.where("lang is not null and doc_id is not null").select("lang", "doc_id")
-    common = [r[0] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ranked = named.where(F.col("lang").isin(common)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    ids = [r[0] for r in ranked.where(F.col("n") <= per_language).select("doc_id").collect()]
+    ranked = named.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    ids = sorted({r[0] for r in ranked.where(F.col("n") <= per_language).select("doc_id").collect()})
     if not ids:
         return {}
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isin(common)).where(F.col("text").rlike(r"\S")).select("lang", "doc_id", "text").collect()
+    rows = docs.where("lang is not null").where(F.col("doc_id").isin(ids)).where(F.col("text").rlike(r"\S")).select("lang", "doc_id", "text").collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
@@ -298,6 +305,7 @@ def label_texts(texts: list[str | None], unary: Unary) -> list[pa.Array]:
     """Columns lang, n_words, share, letters, confidence, spans of the texts."""
     model = unary.model
     n_lang = len(model.languages)
+    group_words = GROUP_WORDS * WIDE**2 // max(WIDE, n_lang) ** 2
     n = len(texts)
     words = np.zeros(n, np.int64)
     share, letters, confidence = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
@@ -306,7 +314,7 @@ def label_texts(texts: list[str | None], unary: Unary) -> list[pa.Array]:
     i = 0
     while i < n:
         chosen, group = [], []
-        while i < n and len(group) < GROUP_WORDS:
+        while i < n and len(group) < max(1, group_words):
             parts = texts[i].split() if texts[i] else []
             if parts:
                 chosen.append(i)

@@ -133,3 +133,19 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert g.identified(docs).join(long.select("doc_id"), "doc_id", "left_semi").count() >= 0.99 * long.count()
     junk = docs.limit(0).union(spark.createDataFrame([(-1, "1234 5678 ---- 99 %% 12", "en", "s", 24)], docs.schema))
     assert g.identified(docs.union(junk)).where("doc_id = -1").count() == 0
+
+
+def test_more_than_sixteen_languages_are_all_learned(spark):
+    rng, rows = random.Random(6), []
+    for k in range(20):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+        rows += [(100 * k + i, " ".join(rng.choices(own, k=40)), f"l{k:02}", "s", 1) for i in range(30 - k)]
+    docs = table(spark, rows)
+    assert len(g.sample(docs)) == 20
+    got = {r["doc_id"]: r["lang"] for r in g.labelled(docs).select("doc_id", "lang").collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_lexicons_of_more_languages_than_a_machine_word_has_bits():
+    slots = [np.concatenate([x[1] for x in g.features(["word"], {"word": m})]).tolist() for m in (0, 1 << 70, 1 | 1 << 70)]
+    assert [len(x) - len(slots[0]) for x in slots] == [0, 1, 2]
