@@ -127,11 +127,12 @@ STARS = 3
 CHUNK = 100_000
 
 
-def runs_of(bands: DataFrame, span: int = 0) -> DataFrame:
+def runs_of(bands: DataFrame) -> DataFrame:
     """(band, items, beside, done): the distinct items, in order, of each band that has two or more, without those that lie beside all others.
 
-    beside has the pairs, as places in items one after the other, that lie less
-    than span apart in some document; bands as for colliding(). done is empty.
+    beside has the pairs, as places in items one after the other, of which the
+    words overlap in some document; bands as for colliding(), and owner (document
+    and start) and size (words) where items have places. done is empty.
     """
     kind, places = dict(bands.dtypes)["item"], "owner" in bands.columns
     names = ["band", "items", "beside", "done"]
@@ -154,13 +155,13 @@ def runs_of(bands: DataFrame, span: int = 0) -> DataFrame:
                 near: set[tuple[int, int]] = set()
                 if places:
                     number, docs = {x: i for i, x in enumerate(items)}, {}
-                    for item, owner in held:
-                        docs.setdefault(owner >> 24, []).append((owner & 0xFFFFFF, number[item]))
+                    for item, owner, size in held:
+                        docs.setdefault(owner >> 24, []).append((owner & 0xFFFFFF, number[item], size))
                     for at in docs.values():
                         at.sort()
-                        for i, (p, x) in enumerate(at):
-                            for q, y in at[i + 1 :]:
-                                if q - p >= span:
+                        for i, (p, x, size) in enumerate(at):
+                            for q, y, _ in at[i + 1 :]:
+                                if q - p >= size:
                                     break
                                 if x != y:
                                     near.add((min(x, y), max(x, y)))
@@ -195,7 +196,7 @@ def runs_of(bands: DataFrame, span: int = 0) -> DataFrame:
             yield packed()
 
     n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bands.select("band", "item", *["owner"] * places).where("band is not null")
+    rows = bands.select("band", "item", *["owner", "size"] * places).where("band is not null")
     return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"band long, items array<{kind}>, beside array<int>, done array<int>")
 
 
@@ -220,7 +221,7 @@ def chosen(items: list, labels: list, beside: set, done: list[int], last: bool)
     return [], done
 
 
-def linked(bands: DataFrame, sets_of, threshold: float, span: int = 0) -> DataFrame:
+def linked(bands: DataFrame, sets_of, threshold: float) -> DataFrame:
     """(id, label) of the components of the pairs that share a band and have Jaccard >= threshold; label is the least id.
 
     The components are those of all such pairs, but not all of them are
@@ -231,7 +232,7 @@ def linked(bands: DataFrame, sets_of, threshold: float, span: int = 0) -> DataFr
     gives (id, grams) for a table of (id).
     """
     kind = dict(bands.dtypes)["item"]
-    runs = written(runs_of(bands, span), "runs")
+    runs = written(runs_of(bands), "runs")
     sets = written(sets_of(written(runs.select(F.explode("items").alias("id")).distinct(), "run-ids")), "run-sets")
     labels = None
     for k in range(STARS + 1):

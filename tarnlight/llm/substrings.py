@@ -82,14 +82,14 @@ def hashed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True) -> DataFrame:
-    """A row for each paragraph and band: (band, item, owner) where banded, else one for each paragraph: (c, doc_id, version, start, end)."""
+    """A row for each paragraph and band: (band, item, owner, size) where banded, else one for each paragraph: (c, doc_id, version, start, end)."""
 
     def run(batches):
         codes = worker_state("codes", WordCodes)
         a, b = multipliers(BANDS * ROWS, 4)
         band = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
         for batch in batches:
-            cs, hs, owners, begin, end = [], [], [], [], []
+            cs, hs, owners, sizes, begin, end = [], [], [], [], [], []
             keys = batch.column(3).to_numpy()
             for k, text in enumerate(batch.column(1).to_pylist()):
                 hashes, starts, ends = paragraphs(text, codes, min_words)
@@ -98,6 +98,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True
                 cs.append(hashed(hashes, starts, ends))
                 if banded:
                     owners.append(int(keys[k]) >> 24 << 24 | starts & 0xFFFFFF)
+                    sizes.append(ends - starts)
                     g = grams(hashes, N)
                     # overlapping [start, end) of grams, a reduction each; the second of each two is thrown away
                     cuts = np.c_[starts, np.minimum(ends - N + 1, len(g))].ravel()
@@ -114,14 +115,14 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             if banded:
                 c = np.repeat(cat(cs, np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.int64)), pa.array(c), pa.array(np.repeat(cat(owners, np.int64), BANDS))], ["band", "item", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.int64)), pa.array(c), pa.array(np.repeat(cat(owners, np.int64), BANDS)), pa.array(np.repeat(cat(sizes, np.int32), BANDS))], ["band", "item", "owner", "size"])
             else:
                 owner = pa.array(cat(owners, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cat(cs, np.int64)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array(cat(begin, np.int32)), pa.array(cat(end, np.int32))], ["c", "doc_id", "version", "start", "end"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.xxhash64("doc_id", "text").alias("key")).where("text is not null")
-    return rows.mapInArrow(run, "band long, item long, owner long" if banded else f"c long, doc_id {kind}, version long, start int, end int")
+    return rows.mapInArrow(run, "band long, item long, owner long, size int" if banded else f"c long, doc_id {kind}, version long, start int, end int")
 
 
 def slid(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -263,7 +264,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
     see equal_spans(), which nothing below restrains.
     Of each cluster of equal or near paragraphs the occurrence with the least
     (doc_id, hash of the text, position) stays, a null doc_id first. Paragraphs
-    less than 4 * min_words words apart in some document are not near each other. Words of
+    that overlap in some document are not near each other: they are alike by the
+    words that they share, and would chain a whole text into one cluster. Words of
     an occurrence that stays are not cut for another cluster. A row loses its
     place only where every word of it is cut. n_chars, if there, is the length
     of the new text in rows that changed. Rows with the same doc_id and text
@@ -277,7 +279,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
         at = found.join(F.broadcast(ids) if few(ids) else ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
         return gram_sets(docs, written(at.select("id", "at.*"), "paragraph-places"))
 
-    near = linked(occurrences(docs, min_words, banded=True), sets_of, threshold, 4 * min_words).withColumnRenamed("id", "c")
+    near = linked(occurrences(docs, min_words, banded=True), sets_of, threshold).withColumnRenamed("id", "c")
     clustered = found.join(F.broadcast(near) if few(near) else near, "c", "left").withColumn("label", F.coalesce("label", "c"))
     place = ("doc_id", "version", "start")
     w = Window.partitionBy("label").orderBy(*place)

@@ -107,3 +107,13 @@ def test_bands_find_pairs_at_the_threshold():
         y = np.r_[x[:28], rng.integers(0, 2**62, 6, dtype=np.uint64)]  # Jaccard 28 / 40
         hit += (minhash(x, a, b) == minhash(y, a, b)).reshape(s.BANDS, s.ROWS).all(axis=1).any()
     assert hit >= 0.95 * 300
+
+
+def test_versions_close_together_in_one_document_do_not_hide_their_copies(spark):
+    lines = [prose(12, 950 + k).split() for k in range(5)]
+    first = [w for x in lines for w in x]
+    second = [*first]
+    second[20] = second[45] = "changed"  # no run of 25 words is left
+    other = prose(45, 970)
+    got = run(spark, [prose(45, 971), " ".join([*first, *second]), other + " " + " ".join(second)])
+    assert len(got[1]["text"].split()) < 120 - 25 and len(got[2]["text"].split()) < 45 + 30
