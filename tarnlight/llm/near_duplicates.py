@@ -1,10 +1,11 @@
 """N-gram Jaccard join of documents by MinHash banding.
 
 Documents are sets of hashed word n-grams. Documents with the same set form a
-class; one signature a class goes through the bands, and pairs of classes that
-share a band are verified on the full sets. At THRESHOLD, BANDS bands of ROWS
-rows find a pair with probability 1 - (1 - THRESHOLD**ROWS)**BANDS, which is
-0.999 for 0.5, 2 and 24, and more for nearer pairs.
+class; the band hashes of a class bring it to the classes that share one, and
+all such pairs are verified on the full sets. BANDS is the least number of
+bands of ROWS rows that find a pair at THRESHOLD with probability RECALL;
+nearer pairs are found with more. ROWS of 3 keeps chance meetings few: a pair
+of similarity s meets by chance about BANDS * s**3 times.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import colliding, few, jaccard_pairs, linked
-from tarnlight.llm.words import WordCodes, codes_of, grams, minhash, mixed, multipliers, worker_state
+from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
+from tarnlight.llm.words import bands_for, bands_of, block_grams, distinct, word_blocks
 from tarnlight.shared import written
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 24, 2
+RECALL, ROWS = 0.999, 3
+BANDS = bands_for(THRESHOLD, ROWS, RECALL)
+SEED = 1
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -29,105 +32,112 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def gram_set(text: str, n: int, codes: WordCodes) -> np.ndarray:
-    return np.unique(grams(codes_of(text, codes) >> np.uint64(2), n))
+def gram_sets(texts: list[str | None], n: int, bands: int, rows: int):
+    """(places, sets, band hashes) of the texts that have words, block by block."""
+    for first, bounds, hashes, _ in word_blocks(texts):
+        g, at = block_grams(hashes, bounds, n)
+        has = np.flatnonzero(np.diff(at))
+        if len(has):
+            yield first + has, [distinct(g[at[k] : at[k + 1]]) for k in has], bands_of(g, at[has], 1, bands, rows, SEED)
 
 
 def signed(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, version, cls, bands) of the rows that have words; version: hash of the text, cls: 128-bit hash of the n-gram set."""
+    """(doc_id, version, cls, id, size, bands) of each row; version: hash of the text, cls: 128-bit hash of the n-gram set, id: half of it, size of the set, bands: packed band hashes. All but doc_id are null where the text has no words."""
 
     def run(batches):
-        codes = worker_state("codes", WordCodes)
-        a, b = multipliers(bands * rows, 1)
-        band = np.arange(1, bands + 1, dtype=np.uint64)
+        names = ["doc_id", "version", "cls", "id", "size", "bands"]
         for batch in batches:
-            ids, versions, classes, hashes = [], [], [], []
-            for doc_id, text, version in zip(*(c.to_pylist() for c in batch.columns)):
-                g = gram_set(text, n, codes)
-                if not len(g):
-                    continue
-                sig = minhash(g, a, b).reshape(bands, rows)
-                h = band
-                for r in range(rows):
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r])
-                ids.append(doc_id)
-                versions.append(version)
-                classes.append(xxhash.xxh3_128_digest(g.tobytes()))
-                hashes.append(h.astype(np.int64))
-            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(versions, pa.int64()), pa.array(classes, pa.binary()), lists], ["doc_id", "version", "cls", "bands"])
+            at, classes, sizes, keys = [], [], [], []
+            for places, sets, hashes in gram_sets(batch.column(1).to_pylist(), n, bands, rows):
+                at.append(places)
+                classes += [xxhash.xxh3_128_digest(s) for s in sets]
+                sizes += map(len, sets)
+                keys += [k.tobytes() for k in hashes]
+            has = np.concatenate(at) if at else np.zeros(0, np.int64)
+            rest = pa.array(np.setdiff1d(np.arange(batch.num_rows), has))
+            own, ids = pa.array(has), np.frombuffer(b"".join(classes), np.int64)[::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(classes, pa.binary()), pa.array(ids), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rest), *(pa.nulls(len(rest), t) for t in kinds)], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where(F.col("text").rlike(r"\S"))
-    return rows_in.mapInArrow(run, f"doc_id {kind}, version long, cls binary, bands array<long>")
+    rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    return rows_in.mapInArrow(run, f"doc_id {kind}, version long, cls binary, id long, size long, bands binary")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, grams) for the classes of wanted (id, doc_id, version): made again from the texts of one document each."""
+def linked(docs: DataFrame, n: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, version, cls, id) of docs and (id, label, links) of the classes that are near others; links: rows of docs in near classes."""
+    members = written(signed(docs, n, bands, rows), "signed")
+    worded = members.where("cls is not null")
+    ways = ways_of(docs.sparkSession, bands)
 
-    def run(batches):
-        codes = worker_state("codes", WordCodes)
+    def pack(batches):
         for batch in batches:
-            sets = [gram_set(t, n, codes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
+            if batch.num_rows:
+                yield packed_bands(batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, bands), ways)
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where(F.col("text").rlike(r"\S"))
-    joined = texts.alias("t").join((F.broadcast(wanted) if few(wanted) else wanted).alias("w"), F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
-    return joined.select("w.id", "t.text").dropDuplicates(["id"]).mapInArrow(run, "id binary, grams binary")
+    found = met(worded.select("id", "bands").mapInArrow(pack, PACKED), ways)
+    classes = worded.groupBy("id").agg(F.min(F.struct("doc_id", "version")).alias("at"), F.count("*").alias("weight"), F.max("size").alias("size"))
+    tiles = placed(found.join(classes.select("id", "size"), "id"))
+    wanted = classes.join(tiles.select("id").distinct(), "id").select(F.col("at.doc_id").alias("w_id"), F.col("at.version").alias("w_version"), "id", "weight")
+    near = near_items(tiles, class_sets(docs, written(wanted, "wanted"), n, bands, rows), threshold)
+    return members.select("doc_id", "version", "cls", "id"), clustered(near)
 
 
-def banded(docs: DataFrame, n: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, version, cls), written, and the bands (band, item) of their classes."""
-    members = written(signed(docs, n, bands, rows), "signed")
-    classes = members.groupBy("cls").agg(F.first("bands").alias("bands"))
-    return members.select("doc_id", "version", "cls"), classes.select(F.explode("bands").alias("band"), F.col("cls").alias("item"))
+def class_sets(docs: DataFrame, wanted: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(id, weight, grams, bands) of the classes wanted (w_id, w_version, id, weight), made again from the text of one document each."""
 
+    def run(batches):
+        for batch in batches:
+            batch = batch.take(pa.array(np.unique(batch.column("id").to_numpy(), return_index=True)[1]))  # repeated rows
+            for places, sets, hashes in gram_sets(batch.column("text").to_pylist(), n, bands, rows):
+                own = pa.array(places)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("weight").take(own), *packed_sets(sets, hashes)], ["id", "weight", "grams", "bands"])
 
-def sets_of(docs: DataFrame, members: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, grams) for the classes ids (id)."""
-    at = members.groupBy(F.col("cls").alias("id")).agg(F.min(F.struct("doc_id", "version")).alias("at"))
-    return class_sets(docs, written(ids.join(at, "id").select("id", "at.doc_id", "at.version"), "wanted"), n)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
+    side = F.broadcast(wanted) if light(wanted, F.lit(48)) else wanted.hint("shuffle_hash")
+    joined = texts.join(side, F.expr("w_id <=> doc_id and w_version = version"))
+    return joined.select("id", "weight", "text").mapInArrow(run, "id long, weight long, grams binary, bands binary")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) for the pairs of rows of docs with n-gram Jaccard >= threshold, doc_id_a < doc_id_b.
-
-    Words are compared in lower case without punctuation at their ends; a text
-    of fewer than n words has one gram, the whole of it. Null, empty and blank
-    texts are in no pair, nor are rows with a null doc_id. Rows that have the
-    same doc_id are not paired with each other, and a pair of ids is given once
-    for each Jaccard value that rows of them have. The result has all pairs of
-    a group of copies, so its size is quadratic in the group; keep_one() works
-    on classes instead. Columns other than doc_id and text are not read.
+    """(doc_id, class_id, links) for each row of docs: its group of near duplicates and how many rows it is linked to.
+
+    Two rows are linked if the Jaccard similarity of their n-gram sets is
+    threshold or more; links counts the other rows that a row is linked to,
+    copies among them, and class_id is the least doc_id of all rows that links
+    join to it, over any number of steps, its own among them (a null one only
+    where all are null). Words are compared in lower case without punctuation
+    at their ends; a text of fewer than n words has one gram, the whole of it.
+    Null, empty and blank texts are linked to nothing. Repeated rows and rows
+    of one doc_id are rows like any other. Columns other than doc_id and text
+    are not read; an empty table gives none.
     """
-    members, shared = banded(docs, n, bands, rows)
-    pairs = written(colliding(shared), "pairs")
-    sets = written(sets_of(docs, members, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), n), "sets")
-    near = written(jaccard_pairs(pairs, sets, threshold), "near")
-    ids = members.where("doc_id is not null").select("doc_id", "cls").distinct()
-    x, y = ids.alias("x"), ids.alias("y")
-    same = x.join(y, F.expr("x.cls = y.cls and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    other = near.join(x, F.expr("a = x.cls")).join(y, F.expr("b = y.cls")).where("x.doc_id <> y.doc_id")
-    other = other.select(F.least("x.doc_id", "y.doc_id").alias("doc_id_a"), F.greatest("x.doc_id", "y.doc_id").alias("doc_id_b"), F.round(F.col("inter") / F.col("total"), 6).alias("jaccard"))
-    return same.union(other).distinct()
+    members, near = linked(docs, n, threshold, bands, rows)
+    classes = members.where("cls is not null").groupBy("cls", "id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = written(classes.join(near, "id", "left"), "classes")
+    groups = classes.where("label is not null").groupBy("label").agg(F.min("least").alias("group_least"))
+    told = classes.join(groups, "label", "left").select("cls", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    joined = members.join(told, "cls", "left")
+    return joined.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows of docs, columns as they are, with one row of each group of near duplicates.
 
-    Groups are the components of the pairs of jaccard_join(). The row with the
-    least (doc_id, hash of the text) stays, a null doc_id first; of rows equal
-    in both, one. Rows whose text has no words all stay.
+    Groups are those of jaccard_join(). The row with the least (doc_id, hash of
+    the text) stays, a null doc_id first; of rows equal in both, one. Rows whose
+    text has no words all stay.
     """
-    members, shared = banded(docs, n, bands, rows)
-    groups = linked(shared, lambda ids: sets_of(docs, members, ids, n), threshold)
-    labelled = members.join(groups, members.cls == groups.id, "left").select("doc_id", "version", F.coalesce("label", "cls").alias("label"))
-    counted = labelled.groupBy("doc_id", "version", "label").agg(F.count("*").alias("n"))
-    kept = counted.groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("kept"))
-    judged = counted.join(kept, "label").select("doc_id", "version", F.struct("doc_id", "version").eqNullSafe(F.col("kept")).alias("first"), "n")
-    verdict = judged.where("not first or n > 1").select(F.col("doc_id").alias("__tl_id"), F.col("version").alias("__tl_version"), F.col("first").alias("__tl_first"))
-    marked = docs.withColumn("__tl_hash", F.xxhash64("text")).join(verdict, F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null"), "left")
+    members, near = linked(docs, n, threshold, bands, rows)
+    counted = members.where("cls is not null").groupBy("cls", "id", "doc_id", "version").agg(F.count("*").alias("n")).join(near.select("id", "label"), "id", "left")
+    counted = written(counted.select("doc_id", "version", "label", F.when(F.col("label").isNull(), F.col("cls")).alias("own"), "n"), "counted")
+    kept = counted.groupBy("label", "own").agg(F.min(F.struct("doc_id", "version")).alias("kept"), F.sum("n").alias("all")).where("all > 1")
+    judged = counted.join(kept.select(F.col("label").alias("l"), F.col("own").alias("o"), "kept"), F.expr("label <=> l and own <=> o"))
+    verdict = judged.select("doc_id", "version", F.struct("doc_id", "version").eqNullSafe(F.col("kept")).alias("first"), "n").where("not first or n > 1")
+    verdict = written(verdict.select(F.col("doc_id").alias("__tl_id"), F.col("version").alias("__tl_version"), F.col("first").alias("__tl_first")), "verdict")
+    side = F.broadcast(verdict) if light(verdict, F.lit(40)) else verdict.hint("shuffle_hash")
+    marked = docs.withColumn("__tl_hash", F.xxhash64("text")).join(side, F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null"), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = marked.where("__tl_version is null").select(*columns)
     repeated = marked.where("__tl_first").dropDuplicates(["doc_id", "__tl_hash"]).select(*columns)
@@ -139,21 +149,27 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = f"""
-WITH words AS (
-  SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''),
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''),
     lambda w: CASE WHEN regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') = '' THEN lower(w)
       ELSE regexp_replace(lower(w), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') END) AS w
-  FROM documents WHERE regexp_matches(text, '\\S')
+  FROM documents
 ), grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS g
   FROM words
-), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r
 ), shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+  SELECT x.r AS a, y.r AS b, count(*) AS i FROM grams x JOIN grams y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2
+), near AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE i >= {THRESHOLD} * (p.n + q.n - i)
+), links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reached(r, s) AS (
+  SELECT r, r FROM words UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = s
+), least AS (SELECT reached.r, min(doc_id) AS class_id FROM reached JOIN words ON words.r = s GROUP BY reached.r
+), counted AS (SELECT a AS r, count(*) AS links FROM links GROUP BY a
 )
-SELECT a AS doc_id_a, b AS doc_id_b, round(i / (p.n + q.n - i), 6) AS jaccard
-FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE i >= {THRESHOLD} * (p.n + q.n - i)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM words JOIN least USING (r) LEFT JOIN counted USING (r)
 """
 QUERIES = {"op7_jaccard_join": op7_jaccard_join}
 SQL = {"op7_jaccard_join": OP7_SQL}

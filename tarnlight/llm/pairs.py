@@ -1,108 +1,226 @@
-"""Candidate pairs from band hashes, exact Jaccard of the pairs, connected components."""
+"""Near pairs of hashed sets: buckets of equal band hashes, tiles around their hubs, exact Jaccard in each tile, components.
+
+Items are sets of 64-bit hashes with a 64-bit id. Those that share a band hash
+form a bucket, whose hub is its least id. All items that a hub has in any of
+its buckets meet in the hub's tile, each with the mask of the bands that brought
+it there, and every two that share a bit are compared on their full sets. Pairs
+are never rows: a tile gives one row an item, so that what is shuffled grows
+with the items and not with their pairs.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.shared import cut, written
 
-TILE = 4096
+#: Bytes of sets and number of items of one block; a tile that has more is split into pairs of blocks.
+BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 1024
+BROADCAST_BYTES = 24 << 20
+DENSE = 1 << 22
 
 
-def colliding(bands: DataFrame) -> DataFrame:
-    """Unordered pairs (a < b) of distinct items that share a band, each pair once; bands has (band, item).
+def few(df: DataFrame, rows: int = 500_000) -> bool:
+    """Whether df, of narrow rows, may be broadcast: counted, not assumed."""
+    return df.limit(rows + 1).count() <= rows
 
-    One shuffle by band; the sorted runs of equal bands are paired in the Python
-    worker as they stream by, so only one run is in memory. Every pair of a run
-    is given, whatever its length.
-    """
-    kind = dict(bands.dtypes)["item"]
 
-    def runs(batches):
-        last, held, kept, out = None, [], None, ([], [])
+def light(df: DataFrame, size, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, of the given size in bytes (an expression, summed over all rows), may be broadcast."""
+    return (df.agg(F.sum(F.expr(size) if isinstance(size, str) else size)).first()[0] or 0) <= most
 
-        def flush(least=0):
-            if len(out[0]) > least:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kept) for x in out], ["a", "b"])
-                out[0].clear(), out[1].clear()
 
-        def paired():
-            items = sorted(set(held))
-            held.clear()
-            for i, x in enumerate(items[:-1]):
-                rest = items[i + 1 :]
-                out[0].extend([x] * len(rest))
-                out[1].extend(rest)
-                yield from flush(50_000)
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            kept = batch.schema.field(1).type
-            if not len(keys):
-                continue
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            for k in np.flatnonzero((sizes > 1) | (starts == 0) | (starts == starts[-1])):  # the first and last may go on in other batches
-                if keys[starts[k]] != last:
-                    if held:
-                        yield from paired()
-                    last = keys[starts[k]]
-                held.extend(batch.column(1).slice(starts[k], sizes[k]).to_pylist())
-        yield from paired()
-        yield from flush()
-
-    n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bands.select("band", "item").where("band is not null")
-    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"a {kind}, b {kind}").distinct()
 
+PACKED = "part int, ids binary, lows binary"
+
+
+def packed_bands(ids: np.ndarray, keys: np.ndarray, ways: int) -> pa.RecordBatch:
+    """A row (PACKED) for each part that the band hashes keys (items x bands) of ids fall in, ways parts a band; ids and the low halves of the hashes are packed."""
+    ids, first = np.unique(ids, return_index=True)
+    keys = keys[first]
+    bands = keys.shape[1]
+    part = ((keys >> np.uint64(32)) % np.uint64(ways)).astype(np.int64) + np.arange(bands) * ways
+    order = np.argsort(part.ravel(), kind="stable")
+    parts, begin = np.unique(part.ravel()[order], return_index=True)
+    bounds = np.r_[begin, len(order)]
+    all_ids, lows = ids[order // bands], keys.ravel()[order].astype(np.uint32)
+    rows = [[x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])] for x in (all_ids, lows)]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["part", "ids", "lows"])
 
-def few(df: DataFrame, rows: int = 500_000) -> bool:
-    """Whether df, of narrow rows, may be broadcast: counted, not assumed."""
-    return df.limit(rows + 1).count() <= rows
 
+def ways_of(spark: SparkSession, bands: int) -> int:
+    return max(1, 4 * partitions(spark) // bands)
 
-def jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, inter, total) for the pairs of which inter / total >= threshold.
 
-    sets has (id, grams): the bytes of a sorted array of distinct uint64. Pairs
-    are tiled by the hub of a, the least id among a and its partners, which all
-    of a dense group share; hubs of more than TILE members are split. So each
-    set of side b travels once for each tile that has partners of it, and not
-    once for each pair.
+def met(packed: DataFrame, ways: int) -> DataFrame:
+    """(hub, id, mask) for the items that share a band hash with another: bit j of mask says that hub is the least id of a bucket of band j in which id is.
+
+    A part, which holds the hashes of one band that are alike in some bits, is
+    the work of a task at a time, at 12 bytes an item.
+    """
+
+    def buckets(key, table):
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        lows = np.frombuffer(b"".join(table.column("lows").to_pylist()), np.uint32)
+        order = np.argsort(lows, kind="stable")
+        sorted_lows = lows[order]
+        same = np.r_[False, sorted_lows[1:] == sorted_lows[:-1], False]
+        order = order[same[1:] | same[:-1]]  # the others are alone
+        order = order[np.lexsort((ids[order], lows[order]))]
+        ids, lows = ids[order], lows[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1])
+        ids, lows = ids[new], lows[new]
+        starts = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]]) if len(ids) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(ids)])
+        hub = np.repeat(ids[starts], sizes)
+        shared = np.repeat(sizes > 1, sizes)
+        band = int(key[0].as_py()) // ways
+        return pa.table({"hub": hub[shared], "id": ids[shared], "mask": np.full(int(shared.sum()), np.array(1 << band, np.uint64).astype(np.int64))})
+
+    found = packed.groupBy("part").applyInArrow(buckets, "hub long, id long, mask long")
+    return found.groupBy("hub", "id").agg(F.bit_or("mask").alias("mask"))
+
+
+TILES = ["tile", "cross", "side", "mask", "id"]
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(tile, cross, side, mask, id), written: the tiles where items of found (hub, id, mask, size) are compared; size: 8-byte hashes of the item's set.
+
+    The items of a hub that has over BLOCK_BYTES or BLOCK_ITEMS are put to
+    blocks by their hash; each block is a tile, and so is each pair of blocks,
+    in which only items of different blocks are compared.
+    """
+    found = written(found, "met")
+    total = found.groupBy("hub").agg(F.sum("size").alias("size"), F.count("*").alias("items"))
+    blocks = F.ceil(F.greatest(F.col("size") * 8 / BLOCK_BYTES, F.col("items") / BLOCK_ITEMS)).cast("int")
+    large = total.select("hub", blocks.alias("blocks")).where("blocks > 1")
+    rows = found.join(F.broadcast(large) if few(large) else large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other"))
+    return written(rows.select(tile.alias("tile"), (F.col("own") != F.col("other")).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "mask", "id"), "tiles")
+
+
+def packed_sets(sets: list[np.ndarray], bands: np.ndarray) -> list[pa.Array]:
+    """Columns grams and bands of sets and of their band hashes (items x bands), of which the low halves will do."""
+    return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b.tobytes() for b in bands.astype(np.uint32)], pa.binary())]
+
+
+def compared(ids: np.ndarray, masks: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the items of a tile that share a bit of masks and have Jaccard >= threshold; with sides, only of different ones."""
+    m = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    maybe = np.triu((masks[:, None] & masks) != 0, 1)
+    if sides is not None:
+        maybe &= sides[:, None] != sides
+    maybe &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes)
+    i, j = np.nonzero(maybe)
+    if not len(i):
+        return i, j
+    if len(i) <= 2 * m and m > 8:  # few of all pairs: each by itself
+        inter = np.array([np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y) for x, y in ((sets[p], sets[q]) for p, q in zip(i, j))])
+    else:
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(m), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        number = np.cumsum(new) - 1
+        count = np.bincount(number)
+        shared = count[number] > 1  # the rest add to no intersection
+        number, owner = np.cumsum(new & shared)[shared] - 1, owner[shared]
+        both = np.zeros((m, m), np.float32)
+        step = max(64, DENSE // m)
+        for begin in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+            lo, hi = np.searchsorted(number, [begin, begin + step])
+            x = np.zeros((m, step), np.float32)
+            x[owner[lo:hi], number[lo:hi] - begin] = 1
+            both += x @ x.T
+        inter = both[i, j].astype(np.int64)
+    near = inter >= threshold * (sizes[i] + sizes[j] - inter)
+    return i[near], j[near]
+
+
+def rooted(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """Least place of each one's component under the pairs i, j."""
+    label = np.arange(m)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_items(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, root, links) of the items of each of the tiles that are near another there; sets has (id, weight, grams, bands).
+
+    root is the least id of those that they are joined to in the tile, links the
+    sum of the weights of their near items; a pair that meets in several tiles
+    is counted in one, that of the first band that it shares.
     """
-    kind = dict(pairs.dtypes)["a"]
-    spark = pairs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    hubs = both.groupBy("id").agg(F.least("id", F.min("other")).alias("hub"))
-    sized = hubs.join(hubs.groupBy("hub").agg(F.count("*").alias("members")), "hub")
-    part = F.pmod(F.hash("id"), F.ceil(F.col("members") / TILE))
-    tiles = written(sized.select("id", F.pmod(F.xxhash64("hub", part), F.lit(n)).cast("int").alias("tile")), "tiles")
-    tiled = pairs.join(tiles, pairs.a == tiles.id).select("a", "b", "tile")
-    left = tiled.select("tile", F.col("a").alias("id")).distinct().join(sets, "id").select("tile", "id", "grams").toDF("tile_a", "id_a", "grams_a")
-    right = tiled.groupBy("tile", F.col("b").alias("id")).agg(F.collect_list("a").alias("partners")).join(sets, "id").select("tile", "id", "grams", "partners").toDF("tile_b", "id_b", "grams_b", "partners")
-
-    def verify(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        held = {i: np.frombuffer(g, np.uint64) for i, g in zip(mine.column("id_a").to_pylist(), mine.column("grams_a").to_pylist())}
-        out = ([], [], [], [])
-        for i, g, partners in zip(*(theirs.column(c).to_pylist() for c in ("id_b", "grams_b", "partners"))):
-            b = np.frombuffer(g, np.uint64)
-            own = [held[p] for p in partners]
-            sizes = np.array([len(x) for x in own])
-            flat = np.concatenate(own)
-            at = np.minimum(np.searchsorted(b, flat), len(b) - 1)
-            inter = np.add.reduceat((b[at] == flat).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-            total = sizes + len(b) - inter
-            for k in np.flatnonzero(inter >= threshold * total):
-                for o, x in zip(out, (partners[k], i, int(inter[k]), int(total[k]))):
-                    o.append(x)
-        t = mine.schema.field("id_a").type
-        return pa.table([pa.array(out[0], t), pa.array(out[1], t), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["a", "b", "inter", "total"])
-
-    return left.groupBy("tile_a").cogroup(right.groupBy("tile_b")).applyInArrow(verify, f"a {kind}, b {kind}, inter long, total long")
+
+    def run(batches):
+        held: pa.RecordBatch | None = None
+
+        def close(rows: pa.RecordBatch):
+            ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
+            if len(ids) < rows.num_rows:  # made from repeated rows
+                rows = rows.take(pa.array(first))
+            ids, masks, weights = (rows.column(c).to_numpy() for c in ("id", "mask", "weight"))
+            cross = rows.column("cross")[0].as_py()
+            sets_ = [np.frombuffer(g.as_buffer(), np.uint64) for g in rows.column("grams")]
+            i, j = compared(ids, masks, rows.column("side").to_numpy() if cross else None, sets_, threshold)
+            if not len(i):
+                return None
+            links = np.zeros(len(ids), np.int64)
+            bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint32).reshape(len(ids), -1)
+            for k in range(0, len(i), 1 << 16):
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                first = (bands[p] == bands[q]).argmax(axis=1)
+                own = (masks[p] & masks[q]) >> first & 1 == 1
+                np.add.at(links, p[own], weights[q[own]])
+                np.add.at(links, q[own], weights[p[own]])
+            root = rooted(i, j, len(ids))
+            at = np.union1d(i, j)
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, ids)
+            return ids[at], least[root[at]], links[at]
+
+        def tiles(rows: pa.RecordBatch, last: bool):
+            """Results of the whole tiles of rows, and the rows of the last, which may go on."""
+            tile = rows.column("tile").to_numpy()
+            starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            bounds = np.r_[starts, len(tile)] if last else starts
+            found = [x for a, b in zip(bounds[:-1], bounds[1:]) if b - a > 1 and (x := close(rows.slice(a, b - a)))]
+            return found, None if last else rows.slice(starts[-1])
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "root", "links"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch if held is None else pa.concat_batches([held, batch])
+                found, held = tiles(rows, False)
+                if found:
+                    yield batch_of(found)
+        if held is not None and (found := tiles(held, True)[0]):
+            yield batch_of(found)
+
+    n = 2 * partitions(sets.sparkSession)
+    rows = sets.join(F.broadcast(tiles) if light(tiles, F.lit(48)) else tiles, "id").select(*TILES, "weight", "grams", "bands")
+    return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "id long, root long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,155 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-STARS = 3
-CHUNK = 100_000
-
-
-def runs_of(bands: DataFrame) -> DataFrame:
-    """(band, items, beside, done): the distinct items, in order, of each band that has two or more, without those that lie beside all others.
-
-    beside has the pairs, as places in items one after the other, of which the
-    words overlap in some document; bands as for colliding(), and owner (document
-    and start) and size (words) where items have places. done is empty.
-    """
-    kind, places = dict(bands.dtypes)["item"], "owner" in bands.columns
-    names = ["band", "items", "beside", "done"]
-
-    def runs(batches):
-        last, held, item_type = None, [], None
-        out: tuple[list, list, list] = ([], [], [])
-
-        def packed():
-            n = len(out[0])
-            rows = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(item_type)), pa.array(out[2], pa.list_(pa.int32())), pa.array([[]] * n, pa.list_(pa.int32()))]
-            batch = pa.RecordBatch.from_arrays(rows, names)
-            for x in out:
-                x.clear()
-            return batch
-
-        def close():
-            items = sorted({h[0] for h in held} if places else set(held))
-            if len(items) > 1:
-                near: set[tuple[int, int]] = set()
-                if places:
-                    number, docs = {x: i for i, x in enumerate(items)}, {}
-                    for item, owner, size in held:
-                        docs.setdefault(owner >> 24, []).append((owner & 0xFFFFFF, number[item], size))
-                    for at in docs.values():
-                        at.sort()
-                        for i, (p, x, size) in enumerate(at):
-                            for q, y, _ in at[i + 1 :]:
-                                if q - p >= size:
-                                    break
-                                if x != y:
-                                    near.add((min(x, y), max(x, y)))
-                taken = [0] * len(items)
-                for pair in near:
-                    for i in pair:
-                        taken[i] += 1
-                kept_at = {i: k for k, i in enumerate(i for i, n in enumerate(taken) if n < len(items) - 1)}  # the rest have no partner here
-                if kept_at:
-                    between = [kept_at[i] for pair in sorted(near) if pair[0] in kept_at and pair[1] in kept_at for i in pair]
-                    for o, x in zip(out, (last, [items[i] for i in kept_at], between)):
-                        o.append(x)
-            held.clear()
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            item_type = batch.schema.field(1).type
-            if not len(keys):
-                continue
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            for k in np.flatnonzero((sizes > 1) | (starts == 0) | (starts == starts[-1])):  # the first and last may go on in other batches
-                if keys[starts[k]] != last:
-                    close()
-                    last = int(keys[starts[k]])
-                run = [c.slice(starts[k], sizes[k]).to_pylist() for c in batch.columns[1:]]
-                held.extend(zip(*run) if places else run[0])
-            if len(out[0]) > 10_000:
-                yield packed()
-        close()
-        if out[0]:
-            yield packed()
-
-    n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bands.select("band", "item", *["owner", "size"] * places).where("band is not null")
-    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(runs, f"band long, items array<{kind}>, beside array<int>, done array<int>")
-
-
-def chosen(items: list, labels: list, beside: set, done: list[int], last: bool) -> tuple[list[tuple], list[int]]:
-    """Pairs of a run that are to be verified next, and its hubs so far.
-
-    A hub goes with all items that have another label, the least item first, of
-    a label that no hub has had if there is one. The last time all pairs that no
-    hub has seen and whose labels differ are given.
-    """
-    live = [i for i in range(len(items)) if i not in set(done)]
-    if last:
-        return [(i, j) for k, i in enumerate(live) for j in live[k + 1 :] if labels[i] != labels[j] and (i, j) not in beside], done
-    while len(live) > 1:
-        seen = {labels[d] for d in done}
-        hub = next((i for i in live if labels[i] not in seen), live[0])
-        live.remove(hub)
-        done = [*done, hub]
-        pairs = [(min(hub, j), max(hub, j)) for j in live if labels[j] != labels[hub]]
-        if pairs := [p for p in pairs if p not in beside]:
-            return pairs, done
-    return [], done
-
-
-def linked(bands: DataFrame, sets_of, threshold: float) -> DataFrame:
-    """(id, label) of the components of the pairs that share a band and have Jaccard >= threshold; label is the least id.
-
-    The components are those of all such pairs, but not all of them are
-    verified: in each of STARS rounds every band verifies one of its items with
-    those that are not in its component yet, so that a group of m near copies
-    costs about m pairs and not their square. What is then left between
-    different components, which is little, is verified pair by pair. sets_of
-    gives (id, grams) for a table of (id).
-    """
-    kind = dict(bands.dtypes)["item"]
-    runs = written(runs_of(bands), "runs")
-    sets = written(sets_of(written(runs.select(F.explode("items").alias("id")).distinct(), "run-ids")), "run-sets")
-    labels = None
-    for k in range(STARS + 1):
-        if labels is None:
-            state = runs.withColumn("labels", F.col("items"))
-        else:
-            flat = runs.select("band", F.posexplode("items").alias("pos", "item")).join(labels, F.col("item") == F.col("id"), "left")
-            own = flat.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("label", "item").alias("label")))).alias("x"))
-            state = runs.join(own.select("band", F.transform("x", lambda x: x["label"]).alias("labels")), "band")
-
-        def step(batches, last=k == STARS):
-            for batch in batches:
-                rows: list[tuple] = []
-                for band, items, beside, done, own in zip(*(c.to_pylist() for c in batch.columns)):
-                    pairs, done = chosen(items, own, set(zip(beside[::2], beside[1::2])), done, last)
-                    for i in range(0, len(pairs), CHUNK):
-                        part = pairs[i : i + CHUNK]
-                        rows.append((band, *((None,) * 3 if i else (items, beside, done)), [items[p] for p, _ in part], [items[q] for _, q in part]))
-                types = [batch.schema.field(j).type for j in (0, 1, 2, 3, 1, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], ["band", "items", "beside", "done", "a", "b"])
-
-        schema = f"band long, items array<{kind}>, beside array<int>, done array<int>, a array<{kind}>, b array<{kind}>"
-        round_ = written(state.select("band", "items", "beside", "done", "labels").mapInArrow(step, schema), f"round-{k}")
-        if round_.isEmpty():
-            break
-        pairs = written(round_.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct(), "round-pairs")
-        near = written(jaccard_pairs(pairs, sets, threshold).select("a", "b"), "round-near")
-        labels = joined_labels(labels, near)
-        runs = round_.where("items is not null").drop("a", "b")
-    return labels if labels is not None else runs.select(F.explode("items").alias("id")).withColumn("label", F.col("id")).limit(0)
-
-
-def joined_labels(labels: DataFrame | None, near: DataFrame) -> DataFrame:
-    """labels (id, label) with the pairs near (a, b) added: the components of the labels that they connect."""
-    if labels is None:
-        return components(near)
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    base = labels.union(ids.select("id", "id")).groupBy("id").agg(F.min("label").alias("label"))
-    x, y = base.toDF("a", "la"), base.toDF("b", "lb")
-    links = near.join(x, "a").join(y, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    above = components(links).toDF("label", "above")
-    return written(base.join(above, "label", "left").select("id", F.coalesce("above", "label").alias("label")), "labels")
+def clustered(near: DataFrame) -> DataFrame:
+    """(id, label, links) from near_items(): label is the least id of the component, links are summed."""
+    near = written(near, "near")
+    labels = components(near.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return labels.join(near.groupBy("id").agg(F.sum("links").alias("links")), "id")

@@ -5,124 +5,56 @@ words, of which each window of MIN_WORDS + 2 has its least hash chosen, so that
 every passage of over 2 * MIN_WORDS words holds one. A seed that repeats is
 extended over all words beside it that the first occurrence has as well.
 
-The unit of edited copies is a paragraph of at least MIN_WORDS words that begins
-at a sentence's start and ends at a later one. One begins at every sentence, so
-paragraphs overlap. Starts depend on the words beside them alone:
-after a word that ends a sentence or a line, at a word with a capital, and, for
-texts without either, at words with one of 32 hashes.
-
-Equal paragraphs have equal 64-bit hashes. Paragraphs that share a band of
-MinHash rows are joined and verified by exact Jaccard of their word n-grams;
-the components of the verified pairs join equal and near paragraphs to one
-cluster. Its first occurrence stays, all others are cut from their texts.
-BANDS bands of ROWS rows find a pair of similarity s with probability
-1 - (1 - s**ROWS)**BANDS: 0.98 at 0.7, 0.998 at 0.8.
+The unit of edited copies is a paragraph: at least MIN_WORDS words that end
+where a sentence or line does. One begins at each place where a sentence or line
+begins (or a word with a capital; for texts without either, one of 32 words)
+that has the least hash among those within BESIDE words at each side, and at
+the start of the text. So their places depend on the words beside them alone, and copied passages have the
+paragraphs of their sources. They overlap, and hold nearly all words.
+
+Paragraphs that share a band of ROWS MinHash values are joined and verified by
+exact Jaccard of their word n-grams; the components of the verified pairs join
+equal and near paragraphs to one cluster. Its first occurrence stays, all others
+are cut from their texts. BANDS is the least number of bands that find a pair at
+THRESHOLD with probability RECALL.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import few, linked
-from tarnlight.llm.words import MULT, WordCodes, codes_of, grams, mixed, multipliers, worker_state
+from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
+from tarnlight.llm.words import ENDS, LINE, MULT, TITLE, bands_for, bands_of, distinct, grams, long_powers, mixed, slices, word_blocks, words_of
 from tarnlight.shared import written
 
-MIN_WORDS = 25
+MIN_WORDS, BESIDE = 25, 8
 N = 3
 THRESHOLD = 0.7
-RECALL, ROWS = 0.98, 2
-#: The fewest bands that find a pair at THRESHOLD with RECALL.
-BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**ROWS))
-WORD = re.compile(r"\S+")
-INVERSE = np.uint64(pow(int(MULT), -1, 2**64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def paragraphs(text: str, codes: WordCodes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the text, and starts and ends (in words) of its paragraphs."""
-    lines = text.split("\n")
-    parts = [line.split() for line in lines] if len(lines) > 1 else [text.split()]
-    words = [w for p in parts for w in p] if len(parts) > 1 else parts[0]
-    n = len(words)
-    packed = np.fromiter(map(codes.__getitem__, words), np.uint64, n)
-    hashes = packed >> np.uint64(2)
-    if n < min_words:
-        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = (packed & np.uint64(2)) > 0
-    starts |= hashes % np.uint64(32) == 0
-    starts[1:] |= (packed[:-1] & np.uint64(1)) > 0
-    for k in np.cumsum([len(p) for p in parts[:-1]]):
-        if k < n:
-            starts[k] = True
-    starts[0] = True
-    at = np.flatnonzero(starts)
-    bounds = np.r_[at, n]
-    at = at[at + min_words <= n]
-    return hashes, at, bounds[np.searchsorted(bounds, at + min_words)]
-
-
-def hashed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each paragraph's words in their order."""
-    n = len(hashes)
-    sums = np.r_[np.uint64(0), np.add.accumulate(mixed(hashes * MULT) * powers(MULT, n), dtype=np.uint64)]
-    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+RECALL, ROWS = 0.99, 4
+BANDS = bands_for(THRESHOLD, ROWS, RECALL)
+SEED = 4
+#: Bytes of hashes that every worker may hold to look up those of its texts; beyond, texts and hashes are joined.
+LOOKUP_BYTES = 32 << 20
+PACK_UNITS = 30_000
+REPEATED = ["c", "first_id", "nulls"]
+SPAN, LEFT, RIGHT, FIRST, NEAR = range(5)
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, banded: bool = True) -> DataFrame:
-    """A row for each paragraph and band: (band, item, owner, size) where banded, else one for each paragraph: (c, doc_id, version, start, end)."""
+def sums_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(hashes)
+    up, down = long_powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(hashes * MULT) * up[:n], out=sums[1:])
+    return sums, down
 
-    def run(batches):
-        codes = worker_state("codes", WordCodes)
-        a, b = multipliers(BANDS * ROWS, 4)
-        band = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
-        for batch in batches:
-            cs, hs, owners, sizes, begin, end = [], [], [], [], [], []
-            keys = batch.column(3).to_numpy()
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                hashes, starts, ends = paragraphs(text, codes, min_words)
-                if not len(starts):
-                    continue
-                cs.append(hashed(hashes, starts, ends))
-                if banded:
-                    owners.append(int(keys[k]) >> 24 << 24 | starts & 0xFFFFFF)
-                    sizes.append(ends - starts)
-                    g = grams(hashes, N)
-                    # overlapping [start, end) of grams, a reduction each; the second of each two is thrown away
-                    cuts = np.c_[starts, np.minimum(ends - N + 1, len(g))].ravel()
-                    padded = np.r_[g, g[-1:]]
-                    h = np.broadcast_to(band, (BANDS, len(starts)))
-                    for r in range(ROWS):
-                        sig = np.stack([np.minimum.reduceat((padded ^ b[j * ROWS + r]) * a[j * ROWS + r], cuts)[::2] for j in range(BANDS)])
-                        h = mixed(h * MULT + sig)
-                    hs.append(h.T.ravel())
-                else:
-                    owners.append(np.full(len(starts), k))
-                    begin.append(starts)
-                    end.append(ends)
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            if banded:
-                c = np.repeat(cat(cs, np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.int64)), pa.array(c), pa.array(np.repeat(cat(owners, np.int64), BANDS)), pa.array(np.repeat(cat(sizes, np.int32), BANDS))], ["band", "item", "owner", "size"])
-            else:
-                owner = pa.array(cat(owners, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cat(cs, np.int64)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array(cat(begin, np.int32)), pa.array(cat(end, np.int32))], ["c", "doc_id", "version", "start", "end"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.xxhash64("doc_id", "text").alias("key")).where("text is not null")
-    return rows.mapInArrow(run, "band long, item long, owner long, size int" if banded else f"c long, doc_id {kind}, version long, start int, end int")
+def hashed(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words from each start to its end, in their order."""
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def slid(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -135,164 +67,427 @@ def slid(x: np.ndarray, width: int, fold) -> np.ndarray:
     return out
 
 
-def seeds(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of min_words words with the least hash in a window of min_words + 2 of them, and their hashes."""
-    size = len(hashes) - min_words + 1
-    if size < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.arange(size)
-    h = hashed(hashes, starts, starts + min_words)
-    width = min(min_words + 2, size)
-    least = slid(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(slid(np.r_[edge, least, edge], width, np.maximum) == h)
-    return at, h[at]
-
-
-def seed_rows(docs: DataFrame, min_words: int, beside: bool) -> DataFrame:
-    """(c) of each seed; where beside, (c, doc_id, version, start, room, around): around has the hashes of the min_words + 2 words before and after it, room is how many of those after it there are."""
-    reach = min_words + 2
+def seeds(bounds: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of min_words words with the least hash in a window of min_words + 2 of them, all in one text, and their hashes."""
+    sums, down = sums_of(hashes)
+    found = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        size = b - a - min_words + 1
+        if size < 1:
+            continue
+        h = mixed((sums[a + min_words : b + 1] - sums[a : b - min_words + 1]) * down[a : a + size])
+        width = min(min_words + 2, size)
+        least = slid(h, width, np.minimum)
+        edge = np.zeros(width - 1, np.uint64)
+        found.append(a + np.flatnonzero(slid(np.concatenate((edge, least, edge)), width, np.maximum) == h))
+    at = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return at, hashed(sums, down, at, at + min_words)
+
+
+def units(bounds: np.ndarray, hashes: np.ndarray, flags: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the paragraphs of a block of texts."""
+    n = len(hashes)
+    opens = (flags & np.uint8(TITLE | LINE) > 0) | (hashes % np.uint64(32) == 0)
+    opens[1:] |= flags[:-1] & np.uint8(ENDS) > 0
+    opens[bounds[:-1][bounds[:-1] < n]] = True
+    at = np.flatnonzero(opens)
+    text = np.searchsorted(bounds, at, side="right")
+    # the hash of what stands at a place, of three words if there are so many
+    h = mixed(hashes * MULT)
+    value = h.copy()
+    for k in (1, 2):
+        value[: n - k] = mixed(value[: n - k] ^ h[k:] * np.uint64(2 * k + 1))
+    value = value[at]
+    low = np.ones(len(at), bool)
+    for step in range(1, BESIDE + 1):
+        if step >= len(at):
+            break
+        near = (at[step:] - at[:-step] <= BESIDE) & (text[step:] == text[:-step])
+        if not near.any():
+            break
+        low[:-step] &= ~near | (value[:-step] < value[step:])
+        low[step:] &= ~near | (value[step:] <= value[:-step])
+    low |= np.append(True, text[1:] != text[:-1])[: len(at)]
+    places = np.append(at, n)
+    starts = at[low & (at + min_words <= bounds[np.minimum(text, len(bounds) - 1)])]
+    ends = places[np.searchsorted(places, starts + min_words)]
+    sums, down = sums_of(hashes)
+    return starts, ends, mixed(hashed(sums, down, starts, ends) + MULT)
+
+
+def marked(texts: list[str | None], min_words: int):
+    """(first text, bounds, starts, ends, hashes, is_unit) of the seeds and paragraphs of texts, block by block."""
+    for first, bounds, hashes, flags in word_blocks(texts):
+        at, c = seeds(bounds, hashes, min_words)
+        starts, ends, own = units(bounds, hashes, flags, min_words)
+        yield first, bounds, np.concatenate((at, starts)), np.concatenate((at + min_words, ends)), np.concatenate((c, own)).view(np.int64), np.arange(len(at) + len(starts)) >= len(at)
+
+
+def rows_in(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
+
+
+def marks(docs: DataFrame, min_words: int) -> DataFrame:
+    """(c, doc_id) of each seed and paragraph."""
 
     def run(batches):
-        codes = worker_state("codes", WordCodes)
         for batch in batches:
-            cs, begin, room, around, owners = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                hashes = codes_of(text, codes) >> np.uint64(2)
-                at, h = seeds(hashes, min_words)
-                if not len(at):
-                    continue
-                cs.append(h)
-                if beside:
-                    padded = np.r_[np.zeros(reach, np.uint32), hashes.astype(np.uint32), np.zeros(reach, np.uint32)]
-                    before = padded[at[:, None] + np.arange(reach - 1, -1, -1)]
-                    after = padded[at[:, None] + reach + min_words + np.arange(reach)]
-                    around += [x.tobytes() for x in np.c_[before, after]]
-                    begin.append(at)
-                    room.append(np.minimum(reach, len(hashes) - min_words - at))
-                    owners.append(np.full(len(at), k))
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            columns = [pa.array(cat(cs, np.int64))]
-            if beside:
-                owner = pa.array(cat(owners, np.int64))
-                columns += [batch.column(0).take(owner), batch.column(2).take(owner), pa.array(cat(begin, np.int32)), pa.array(cat(room, np.int32)), pa.array(around, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["c", "doc_id", "version", "start", "room", "around"][: len(columns)])
+            cs, owners = [], []
+            for first, bounds, starts, _, c, _ in marked(batch.column(1).to_pylist(), min_words):
+                cs.append(c)
+                owners.append(first + np.searchsorted(bounds, starts, side="right") - 1)
+            if cs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cs)), batch.column(0).take(pa.array(np.concatenate(owners)))], ["c", "doc_id"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
-    return rows.mapInArrow(run, f"c long, doc_id {kind}, version long, start int, room int, around binary" if beside else "c long")
+    return rows_in(docs).mapInArrow(run, f"c long, doc_id {dict(docs.dtypes)['doc_id']}")
 
 
-def equal_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, start, end) of the words that an earlier place has too, in passages of which a seed repeats.
+def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int) -> DataFrame:
+    """The band hashes of the paragraphs of docs, packed; of those that repeated has, if every worker can hold it, only in the first document."""
+    table = held_by_all(repeated, REPEATED, 17)
 
-    Of each seed the first occurrence by (doc_id, version, start) stays; every
-    word cut has its like at an earlier place, so that the first of all stays.
-    Seeds are so dense that the words of a common passage beside one of its
-    seeds, min_words + 2 at each side, make up the whole passage.
-    """
-    reach = min_words + 2
-    repeated = written(seed_rows(docs, min_words, False).groupBy("c").count().where("count > 1").select("c"), "repeated-seeds")
-    rows = seed_rows(docs, min_words, True).join(F.broadcast(repeated) if few(repeated) else repeated, "c")
-    w = Window.partitionBy("c").orderBy("doc_id", "version", "start")
-    place = ("doc_id", "version", "start", "room", "around")
-    rows = rows.withColumn("first", F.first(F.struct(*place)).over(w))
-    rows = rows.where("not (doc_id <=> first.doc_id and version = first.version and start = first.start)")
+    def run(batches):
+        known = table and Known(table.value)
+        for batch in batches:
+            cs, keys, held = [], [], 0
+            for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
+                starts, ends, c = units(bounds, hashes, flags, min_words)
+                c = c.view(np.int64)
+                if known and len(c):
+                    k = looked_up(known.c, c)
+                    own = k < 0
+                    own[~own] = known.own(batch.column(0), first + np.searchsorted(bounds, starts[~own], side="right") - 1, k[~own])
+                    starts, ends, c = starts[own], ends[own], c[own]
+                if len(c):
+                    cs.append(c)
+                    keys.append(unit_bands(hashes, starts, ends))
+                    held += len(c)
+                if held > PACK_UNITS:
+                    yield packed_bands(np.concatenate(cs), np.concatenate(keys), ways)
+                    cs, keys, held = [], [], 0
+            if held:
+                yield packed_bands(np.concatenate(cs), np.concatenate(keys), ways)
+
+    return rows_in(docs).mapInArrow(run, PACKED)
+
+
+class Known:
+    """The hashes that repeat, from a table of REPEATED."""
+
+    def __init__(self, table: pa.Table):
+        self.c, self.nulls = table.column("c").to_numpy(), table.column("nulls").to_numpy()
+        self.first_ids = table.column("first_id").combine_chunks()
+
+    def own(self, ids: pa.Array, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the doc_id of each row, of ids, is the first of all that have the hash at a place of the table: the least one, or null where one is null."""
+        x, y = ids.take(pa.array(rows)), self.first_ids.take(pa.array(at))
+        valid = x.is_valid().to_numpy(zero_copy_only=False)
+        same = x.to_numpy(zero_copy_only=False) == y.to_numpy(zero_copy_only=False)
+        return np.where(self.nulls[at], ~valid, valid & same)
+
+
+def unit_bands(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS) band hashes."""
+    g = grams(hashes, N)
+    # overlapping [start, end) of grams, a reduction each; the second of each two is thrown away
+    return bands_of(np.concatenate((g, g[-1:])), np.c_[starts, ends - N + 1].ravel(), 2, BANDS, ROWS, SEED)
+
+
+def looked_up(table: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Place of each c in the sorted table, -1 where it is not there."""
+    if not len(table):
+        return np.full(len(c), -1)
+    at = np.minimum(np.searchsorted(table, c), len(table) - 1)
+    return np.where(table[at] == c, at, -1)
+
+
+def held_by_all(df: DataFrame, columns: list[str], size: int):
+    """df, sorted by its first column, as an Arrow table in a broadcast, or None where rows of size bytes are over LOOKUP_BYTES."""
+    if not light(df, F.lit(size), LOOKUP_BYTES):
+        return None
+    return df.sparkSession.sparkContext.broadcast(df.select(*columns).toArrow().sort_by(columns[0]))
+
+
+def unit_places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(id, at) for the paragraphs wanted (id): at is the first (doc_id, version, start, end)."""
+    table = held_by_all(wanted, ["id"], 8)
+
+    def run(batches):
+        ids = table.value.column("id").to_numpy() if table else None
+        for batch in batches:
+            seen, out = np.zeros(0, np.int64), []
+            for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
+                starts, ends, c = units(bounds, hashes, flags, min_words)
+                c = c.view(np.int64)
+                keep = np.ones(len(c), bool) if ids is None else looked_up(ids, c) >= 0
+                text = np.searchsorted(bounds, starts, side="right") - 1
+                out.append((c[keep], first + text[keep], (starts - bounds[text])[keep], (ends - bounds[text])[keep]))
+            if out:
+                c, owner, start, end = (np.concatenate(x) for x in zip(*out))
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(at), batch.column(2).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "doc_id", "version", "start", "end"])
+
+    found = rows_in(docs).mapInArrow(run, f"id long, doc_id {dict(docs.dtypes)['doc_id']}, version long, start int, end int")
+    if not table:
+        found = found.join(wanted, "id")
+    return found.groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
+
+
+def unit_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, weight, grams, bands) of the paragraphs at places (id, at), from the texts again."""
 
-    def common(around: pd.Series, first: pd.Series) -> pd.DataFrame:
-        x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(-1, 2, reach) for c in (around, first))
-        n = np.cumprod(x == y, axis=2).sum(axis=2)
-        return pd.DataFrame({"left": n[:, 0].astype(np.int32), "right": n[:, 1].astype(np.int32)})
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(1).to_pylist()
+            for first, bounds, hashes, _ in word_blocks(batch.column(0).to_pylist()):
+                ids, sets, starts, ends = [], [], [], []
+                for k in range(len(bounds) - 1):
+                    for s in spans[first + k]:
+                        ids.append(s["id"])
+                        starts.append(bounds[k] + s["start"])
+                        ends.append(bounds[k] + s["end"])
+                        sets.append(distinct(grams(hashes[starts[-1] : ends[-1]], N)))
+                if ids:
+                    columns = packed_sets(sets, unit_bands(hashes, np.array(starts), np.array(ends)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.zeros(len(ids), np.int64)), *columns], ["id", "weight", "grams", "bands"])
+
+    spans = places.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.version").alias("w_version")).agg(F.sort_array(F.collect_list(F.struct("at.start", "at.end", "id"))).alias("spans"))
+    spans = written(spans, "unit-spans")
+    side = F.broadcast(spans) if light(spans, "64 + 40 * size(spans)") else spans.hint("shuffle_hash")
+    joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
+    return joined.select("text", "spans").mapInArrow(run, "id long, weight long, grams binary, bands binary")
+
+
+def near_units(docs: DataFrame, repeated: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """(c, label) of the paragraphs that are near others."""
+    ways = ways_of(docs.sparkSession, BANDS)
+    tiles = placed(met(packed_units(docs, repeated, min_words, ways), ways).withColumn("size", F.lit(2 * min_words)))
+    wanted = written(tiles.select("id").distinct(), "wanted")
+    near = near_items(tiles, unit_sets(docs, unit_places(docs, wanted, min_words)), threshold)
+    return clustered(near).select(F.col("id").alias("c"), "label")
+
+
+HITS = "kind int, doc_id {kind}, version long, start int, end int, c long"
+
+
+def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int) -> DataFrame:
+    """(kind, doc_id, version, start, end, c) of what repeats; repeated has (c, first_id, nulls), near (c, label).
+
+    SPAN: words that an earlier place has. Of seeds in a row, each of which
+    begins before the end of the one before, they are one, with its first seed
+    as LEFT and its last as RIGHT. FIRST: the first place of c in each text of
+    the document that has the first of all. NEAR: a paragraph of a cluster, c is
+    its label.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    tables = held_by_all(repeated, REPEATED, 17), held_by_all(near, ["c", "label"], 16)
+    names = [x.split()[0] for x in HITS.split(", ")]
+
+    def of_texts(batch, found):
+        """Hits of a batch's rows (doc_id, _, version) from (owner, start, end, is_unit, c, is_first_doc, label or None) in the order of owner and start."""
+        owner, start, end, unit, c, own, labels = found
+        out = []
+        give = lambda what, at, a, b, code: out.append((np.full(len(at), what), owner[at], a, b, code))
+        clustered_ = labels.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(clustered_)
+        give(NEAR, at, start[at], end[at], labels.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64))
+        rest = ~clustered_
+        # in the first document, the first place in its text stays
+        at = np.flatnonzero(own & rest)
+        order = at[np.lexsort((start[at], c[at], owner[at]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[order][1:] != owner[order][:-1]) | (c[order][1:] != c[order][:-1])
+        firsts = order[new]
+        give(FIRST, firsts, start[firsts], end[firsts], c[firsts])
+        begin = start.copy()
+        if len(order):
+            first_of = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            begin[order] = np.maximum(start[order], end[first_of])  # what overlaps the first place leaves that whole
+        again = rest.copy()
+        again[firsts] = False
+        again &= begin < end
+        at = np.flatnonzero(again & unit)
+        give(SPAN, at, begin[at], end[at], c[at])
+        at = np.flatnonzero(again & ~unit)
+        if len(at):
+            first = np.r_[True, (owner[at][1:] != owner[at][:-1]) | (begin[at][1:] > end[at][:-1])]
+            left, right = at[first], at[np.r_[first[1:], True]]
+            give(SPAN, left, begin[left], end[right], c[left])
+            give(LEFT, left, start[left], end[left], c[left])
+            give(RIGHT, right, start[right], end[right], c[right])
+        what, who, a, b, code = (np.concatenate(x) for x in zip(*out))
+        who = pa.array(who)
+        return pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), batch.column(0).take(who), batch.column(2).take(who), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(code)], names)
+
+    if all(tables):
+
+        def run(batches):
+            known, labels = Known(tables[0].value), tables[1].value
+            ls = labels.column("c").to_numpy()
+            label_of = labels.column("label").combine_chunks()
+            for batch in batches:
+                parts = []
+                for first, bounds, starts, ends, c, unit in marked(batch.column(1).to_pylist(), min_words):
+                    k, j = looked_up(known.c, c), looked_up(ls, c)
+                    at = np.flatnonzero((k >= 0) | (j >= 0))
+                    at = at[np.argsort(starts[at], kind="stable")]
+                    text = np.searchsorted(bounds, starts[at], side="right") - 1
+                    parts.append((first + text, starts[at] - bounds[text], ends[at] - bounds[text], unit[at], c[at], k[at], j[at]))
+                if not parts:
+                    continue
+                owner, start, end, unit, c, k, j = (np.concatenate(x) for x in zip(*parts))
+                if not len(c):
+                    continue
+                own = k >= 0
+                own[own] = known.own(batch.column(0), owner[own], k[own])
+                yield of_texts(batch, (owner, start, end, unit, c, own, label_of.take(pa.array(j, mask=j < 0))))
 
-    rows = rows.withColumn("n", F.pandas_udf(common, "left int, right int")("around", "first.around"))
-    begin = F.col("start") - F.least("n.left", "start", "first.start")
-    # a run that overlaps its own first occurrence leaves that whole
-    begin = F.when(F.expr("doc_id <=> first.doc_id and version = first.version"), F.greatest(begin, F.col("first.start") + min_words)).otherwise(begin)
-    end = F.col("start") + min_words + F.least("n.right", "room", "first.room")
-    return rows.select("doc_id", "version", begin.cast("int").alias("start"), end.cast("int").alias("end")).where("start < end")
+        return rows_in(docs).mapInArrow(run, HITS.format(kind=kind))
 
+    def every(batches):
+        for batch in batches:
+            for first, bounds, starts, ends, c, unit in marked(batch.column(1).to_pylist(), min_words):
+                text = np.searchsorted(bounds, starts, side="right") - 1
+                at = pa.array(first + text)
+                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(at), batch.column(2).take(at), pa.array(starts - bounds[text], pa.int32()), pa.array(ends - bounds[text], pa.int32()), pa.array(unit)], ["c", "doc_id", "version", "start", "end", "unit"])
 
-def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, grams) of the paragraphs wanted (id, doc_id, version, start, end), from the texts again."""
+    def gathered(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            flat = lists.flatten()
+            sizes = pa.compute.list_value_length(lists).to_numpy()
+            column = lambda name: flat.field(flat.type.get_field_index(name))
+            start, end, c, own = (column(x).to_numpy(zero_copy_only=False) for x in ("start", "end", "c", "own"))
+            yield of_texts(batch, (np.repeat(np.arange(len(lists)), sizes), start.astype(np.int64), end.astype(np.int64), column("unit").to_numpy(zero_copy_only=False), c, own, column("label")))
+
+    rows = rows_in(docs).mapInArrow(every, f"c long, doc_id {kind}, version long, start int, end int, unit boolean")
+    keys = repeated.join(near, "c", "full")
+    own = F.when(F.col("nulls"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    found = rows.join(keys, "c").select("doc_id", "version", F.struct("start", "end", "unit", "c", F.coalesce(own, F.lit(False)).alias("own"), "label").alias("hit"))
+    lists = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
+    return lists.select("doc_id", F.lit(0).alias("none"), "version", "hits").mapInArrow(gathered, HITS.format(kind=kind))
+
+
+def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, place, words): hashes of the min_words + 2 words beside a seed, nearest first; place is twice its start for those before it, and one more for those after it."""
+    reach = min_words + 2
 
     def run(batches):
-        codes = worker_state("codes", WordCodes)
         for batch in batches:
-            ids, sets = [], []
-            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = codes_of(text, codes) >> np.uint64(2)
-                for s in spans:
-                    ids.append(s["id"])
-                    sets.append(np.unique(grams(hashes[s["start"] : s["end"]], N)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
+            lists = batch.column(3).to_pylist()
+            owners, kept, words = [], [], []
+            for first, bounds, hashes, _ in word_blocks(batch.column(1).to_pylist()):
+                for k in range(len(bounds) - 1):
+                    own = hashes[bounds[k] : bounds[k + 1]].astype(np.uint32)
+                    for place in lists[first + k]:
+                        at = place >> 1
+                        beside = own[at + min_words :][:reach] if place & 1 else own[max(0, at - reach) : at][::-1]
+                        owners.append(first + k)
+                        kept.append(place)
+                        words.append(beside.tobytes())
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(kept, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "version", "place", "words"])
 
-    spans = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null").alias("t")
-    side = (F.broadcast(spans) if few(wanted) else spans.hint("shuffle_hash")).alias("w")
-    joined = texts.join(side, F.expr("w.doc_id <=> t.doc_id and w.version = t.version"))
-    return joined.select("t.text", "w.spans").mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
+    kind = dict(docs.dtypes)["doc_id"]
+    lists = written(places.groupBy("w_id", "w_version").agg(F.collect_set("place").alias("places")), "places")
+    side = F.broadcast(lists) if light(lists, "64 + 8 * size(places)") else lists.hint("shuffle_hash")
+    joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
+    # rows that stand twice have the same words
+    return joined.select("doc_id", "text", "version", "places").mapInArrow(run, f"doc_id {kind}, version long, place long, words binary").dropDuplicates(["doc_id", "version", "place"])
+
+
+def extended(docs: DataFrame, found: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, start, end) of the words beside the LEFT and RIGHT seeds of found that the first place (firsts: c, at) has too."""
+    right = F.col("kind") == RIGHT
+    edges = found.where(F.col("kind").isin(LEFT, RIGHT)).join(firsts, "c")
+    edges = edges.select("doc_id", "version", "start", (F.col("start").cast("long") * 2 + right.cast("long")).alias("place"), F.col("at.doc_id").alias("f_id"), F.col("at.version").alias("f_version"), F.col("at.start").alias("f_start"), (F.col("at.start").cast("long") * 2 + right.cast("long")).alias("f_place"))
+    edges = written(edges, "edges")
+    places = edges.select(F.col("doc_id").alias("w_id"), F.col("version").alias("w_version"), "place").union(edges.select("f_id", "f_version", "f_place"))
+    beside = written(contexts(docs, places, min_words), "contexts")
+    own, first = beside.toDF("o_id", "o_version", "o_place", "words"), beside.toDF("p_id", "p_version", "p_place", "first_words")
+    both = edges.join(own, F.expr("doc_id <=> o_id and version = o_version and place = o_place")).join(first, F.expr("f_id <=> p_id and f_version = p_version and f_place = p_place"))
+
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), np.int32)
+        for k, (x, y) in enumerate(zip(a, b)):
+            n = min(len(x), len(y)) // 4
+            same = np.frombuffer(x, np.uint32, n) == np.frombuffer(y, np.uint32, n)
+            out[k] = n if same.all() else same.argmin()
+        return pd.Series(out)
+
+    both = both.withColumn("n", F.pandas_udf(common, "int")("words", "first_words"))
+    within = F.expr("doc_id <=> f_id and version = f_version")  # what the first place has stays whole
+    start, end = F.col("start"), F.col("start") + min_words
+    before = F.when(within, F.greatest(start - F.col("n"), F.col("f_start") + min_words)).otherwise(start - F.col("n"))
+    after = F.col("place") % 2 == 1
+    return both.select("doc_id", "version", F.when(after, end).otherwise(before).cast("int").alias("start"), F.when(after, end + F.col("n")).otherwise(start).cast("int").alias("end")).where("start < end")
 
 
 def cut_spans(text: str, spans: list) -> str:
-    """text without the words of the spans that no kept span has, and without those of the spans of which kept is null; the white space after a cut word goes with it."""
-    at = [m.span() for m in WORD.finditer(text)]
+    """text without the words of the spans (start, end, kept) that no kept span has, and without those of the spans of which kept is null; the white space after a cut word goes with it."""
+    parts, done = [], 0
+    for part in slices(text, 1 << 20):
+        parts.append(words_of(part)[0] + done)
+        done += len(part)
+    at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     gone = np.zeros(len(at), bool)
-    for s in spans:
-        if s["kept"] is False:
-            gone[s["start"] : s["end"]] = True
-    for s in spans:
-        if s["kept"]:
-            gone[s["start"] : s["end"]] = False
-    for s in spans:
-        if s["kept"] is None:
-            gone[s["start"] : s["end"]] = True
+    for value, kept in ((True, False), (False, True), (True, None)):
+        for start, end, own in spans:
+            if own is kept:
+                gone[start:end] = value
     if not gone.any():
         return text
     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
     out, last = [], 0
     for i, j in zip(edges[::2], edges[1::2]):
-        out.append(text[last : at[i][0]])
-        last = at[j][0] if j < len(at) else len(text)
+        out.append(text[last : at[i]])
+        last = at[j] if j < len(at) else len(text)
     out.append(text[last:])
     return "".join(out)
 
 
+def repeated_spans(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """(doc_id, version, start, end, kept) of the words to cut (kept false, or null: whatever else is kept there) and to keep."""
+    counted = marks(docs, min_words).groupBy("c").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("nulls"))
+    repeated = written(counted.where("n > 1").select(*REPEATED), "repeated")
+    near = written(near_units(docs, repeated, min_words, threshold), "near-units")
+    found = written(hits(docs, repeated, near, min_words), "hits")
+    place = ("doc_id", "version", "start", "end")
+    own = found.where(F.col("kind") == FIRST).select("c", *place).distinct()
+    firsts = written(own.groupBy("c").agg(F.min(F.struct(*place)).alias("at")), "firsts")
+    # of texts under the same doc_id, one has the first place
+    later = own.join(firsts, "c").where("version <> at.version").select(*place)
+    equal = found.where(F.col("kind") == SPAN).select(*place).union(later).union(extended(docs, found, firsts, min_words))
+    cluster = found.where(F.col("kind") == NEAR).select(F.col("c").alias("label"), *place).distinct()
+    first_of = cluster.groupBy("label").agg(F.min(F.struct(*place)).alias("at"))
+    judged = cluster.join(first_of, "label").select(*place, F.struct(*place).eqNullSafe(F.col("at")).alias("kept"))
+    return equal.select(*place, F.lit(None).cast("boolean").alias("kept")).union(judged)
+
+
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, columns as they are, with the repeated passages cut from text.
 
-    Equal passages are cut to their full length, but for the first occurrence:
-    see equal_spans(), which nothing below restrains.
-    Of each cluster of equal or near paragraphs the occurrence with the least
-    (doc_id, hash of the text, position) stays, a null doc_id first. Paragraphs
-    that overlap in some document are not near each other: they are alike by the
-    words that they share, and would chain a whole text into one cluster. Words of
-    an occurrence that stays are not cut for another cluster. A row loses its
-    place only where every word of it is cut. n_chars, if there, is the length
-    of the new text in rows that changed. Rows with the same doc_id and text
-    are one document and fare alike. Null, empty and short texts (fewer than
-    min_words words) stay as they are.
+    Equal passages are cut to their full length, but for the first occurrence by
+    (doc_id, hash of the text, position), a null doc_id first: every word cut
+    has its like at an earlier place, so that the first of all stays. Of each
+    cluster of near paragraphs the first occurrence stays too, and its words are
+    not cut for another cluster. A row loses its place only where every word of
+    it is cut. n_chars, if there, is the length of the new text in rows that
+    changed. Rows with the same doc_id and text are one document and fare alike.
+    Null, empty and short texts (fewer than min_words words) stay as they are.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    found = occurrences(docs, min_words, banded=False)
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        at = found.join(F.broadcast(ids) if few(ids) else ids, found.c == ids.id).groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
-        return gram_sets(docs, written(at.select("id", "at.*"), "paragraph-places"))
-
-    near = linked(occurrences(docs, min_words, banded=True), sets_of, threshold).withColumnRenamed("id", "c")
-    clustered = found.join(F.broadcast(near) if few(near) else near, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    place = ("doc_id", "version", "start")
-    w = Window.partitionBy("label").orderBy(*place)
-    ranked = clustered.select(*place, "end", F.row_number().over(w).alias("n"), F.lead("start").over(w).isNotNull().alias("more"))
-    near_spans = ranked.where("n > 1 or more").select(*place, "end", "n", (F.col("n") == 1).alias("kept"))
-    equal = equal_spans(docs, min_words).select(*place, "end", F.lit(2).alias("n"), F.lit(None).cast("boolean").alias("kept"))
-    spans = near_spans.union(equal).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", "kept")).alias("__tl_spans"), F.max("n").alias("most"))
-    spans = spans.where("most > 1").select(F.col("doc_id").alias("__tl_id"), F.col("version").alias("__tl_version"), "__tl_spans")
+    code = F.when(F.col("kept").isNull(), 0).when(F.col("kept"), 1).otherwise(2)
+    spans = repeated_spans(docs, min_words, threshold).withColumn("span", F.shiftleft(F.col("start").cast("long"), 33) + F.shiftleft(F.col("end").cast("long"), 2) + code)
+    lists = spans.groupBy("doc_id", "version").agg(F.collect_list("span").alias("__tl_spans"), F.max(code).alias("most"), F.min(code).alias("least"))
+    lists = written(lists.where("most <> 1 or least <> 1").select(F.col("doc_id").alias("__tl_id"), F.col("version").alias("__tl_version"), "__tl_spans"), "spans")
 
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut_spans(t, s) for t, s in zip(texts, lists)], dtype=object)
+        kept = (None, True, False)
+        return pd.Series([None if t is None else cut_spans(t, [(s >> 33, s >> 2 & 0x7FFFFFFF, kept[s & 3]) for s in map(int, spans)]) for t, spans in zip(texts, lists)], dtype=object)
 
-    joined = docs.withColumn("__tl_hash", F.xxhash64("text")).join(spans.hint("shuffle_hash"), F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null"), "left")
+    side = F.broadcast(lists) if light(lists, "64 + 8 * size(__tl_spans)") else lists.hint("shuffle_hash")
+    joined = docs.withColumn("__tl_hash", F.xxhash64("text")).join(side, F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null"), "left")
     touched = F.when(F.col("__tl_spans").isNotNull(), F.col("text"))
     joined = joined.withColumn("__tl_new", F.pandas_udf(cut, "string")(touched, "__tl_spans"))
     new = joined.where(F.expr(r"__tl_new is null or __tl_new = text or __tl_new rlike '\\S'"))
@@ -303,6 +498,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without the passages that an earlier place has already: deduplicated() on the whole table."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

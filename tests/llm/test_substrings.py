@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from tarnlight.llm import substrings as s
-from tarnlight.llm.words import minhash, multipliers
+from tarnlight.llm.words import bands_of, word_blocks
 
 from .cases import awkward, prose, table
 
@@ -44,7 +45,7 @@ def test_near_passages_are_cut_too(spark):
 
 def test_cut_spans_keeps_words_of_kept_spans():
     text = "a b  c\nd e f"
-    span = lambda i, j, kept: {"start": i, "end": j, "kept": kept}
+    span = lambda *x: x
     assert s.cut_spans(text, [span(1, 3, False)]) == "a d e f"
     assert s.cut_spans(text, [span(1, 4, False), span(2, 3, True)]) == "a c\ne f"
     assert s.cut_spans(text, [span(0, 6, False)]) == "" and s.cut_spans(text, [span(0, 6, True)]) == text
@@ -77,7 +78,7 @@ def test_passages_cut_at_any_word_are_removed_whole(spark):
     left = [len(got[4 + k]["text"].split()) for k in range(40)]
     assert max(left) <= 90  # near paragraphs may take words of the sentences that the passage cuts into
     gone = [set() for _ in range(40)]
-    for r in s.equal_spans(table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).where("doc_id >= 4").collect():
+    for r in s.repeated_spans(table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]), s.MIN_WORDS, s.THRESHOLD).where("doc_id >= 4 and kept is null").collect():
         gone[r["doc_id"] - 4] |= set(range(r["start"], r["end"]))
     for k, (text, words) in enumerate(zip(texts[4:], gone)):
         want = set(range(45, len(text.split()) - 45))
@@ -86,11 +87,14 @@ def test_passages_cut_at_any_word_are_removed_whole(spark):
 
 def test_seeds_lie_in_every_passage():
     hashes = np.random.default_rng(1).integers(0, 2**62, 2000, dtype=np.uint64)
-    at, _ = s.seeds(hashes, s.MIN_WORDS)
+    seeds = lambda h: s.seeds(np.array([0, len(h)]), h, s.MIN_WORDS)
+    at, c = seeds(hashes)
     assert np.diff(at).max() <= s.MIN_WORDS + 2 and at[0] <= s.MIN_WORDS + 1
-    inner, _ = s.seeds(hashes[700:751], s.MIN_WORDS)
-    assert len(inner) and set(inner + 700) <= set(at)
-    assert [len(s.seeds(hashes[:n], 25)[0]) for n in (0, 24, 25, 30)] == [0, 0, 1, 1]
+    inner, own = seeds(hashes[700:751])
+    assert len(inner) and set(zip(inner + 700, own)) <= set(zip(at, c))
+    assert [len(seeds(hashes[:n])[0]) for n in (0, 24, 25, 30)] == [0, 0, 1, 1]
+    both, _ = s.seeds(np.array([0, 700, 751, 751]), hashes[:751], s.MIN_WORDS)  # texts of a block, each by itself
+    assert sorted(both) == sorted([*seeds(hashes[:700])[0], *(inner + 700)])
 
 
 def test_a_repeating_run_leaves_its_first_occurrence(spark):
@@ -99,14 +103,43 @@ def test_a_repeating_run_leaves_its_first_occurrence(spark):
 
 
 def test_bands_find_pairs_at_the_threshold():
-    assert s.BANDS == 6 and 1 - (1 - s.THRESHOLD**s.ROWS) ** s.BANDS >= s.RECALL
+    assert 1 - (1 - s.THRESHOLD**s.ROWS) ** s.BANDS >= s.RECALL >= 0.99
     rng, hit = np.random.default_rng(2), 0
-    a, b = multipliers(s.BANDS * s.ROWS, 4)
-    base = rng.integers(0, 2**62, (300, 34), dtype=np.uint64)
-    for x in base:
+    cuts = np.array([0])
+    for x in rng.integers(0, 2**62, (300, 34), dtype=np.uint64):
         y = np.r_[x[:28], rng.integers(0, 2**62, 6, dtype=np.uint64)]  # Jaccard 28 / 40
-        hit += (minhash(x, a, b) == minhash(y, a, b)).reshape(s.BANDS, s.ROWS).all(axis=1).any()
-    assert hit >= 0.95 * 300
+        hit += (bands_of(x, cuts, 1, s.BANDS, s.ROWS, s.SEED) == bands_of(y, cuts, 1, s.BANDS, s.ROWS, s.SEED)).any()
+    assert hit >= 0.97 * 300
+
+
+def test_paragraphs_depend_on_the_words_beside_them_alone():
+    def of(text):
+        words = text.split()
+        (_, bounds, hashes, flags), = word_blocks([text])
+        return {" ".join(words[a:b]) for a, b in zip(*s.units(bounds, hashes, flags, s.MIN_WORDS)[:2])}
+
+    text = prose(900, 41)
+    whole = of(text)
+    assert len(whole) > 10 and sum(len(x.split()) for x in whole) > 800 and min(len(x.split()) for x in whole) >= s.MIN_WORDS
+    part = " ".join(text.split()[200:700])
+    inner = of("other words before it " + part + " and after it")
+    assert len(whole & inner) >= len(inner) - 6
+    assert of("") == set() and of(prose(24, 1)) == set() and len(of(prose(25, 1))) == 1
+
+
+@pytest.mark.parametrize("light", [True, False])
+def test_lookups_and_joins_find_the_same(spark, monkeypatch, light):
+    """Hashes too many to be held by every worker are joined, with the same result."""
+    texts = [prose(120, 860 + i) for i in range(8)]
+    texts[3] += " " + PASSAGE + " " + prose(40, 50)
+    texts[5] = " ".join([*texts[3].split()[:100], "other", *texts[3].split()[101:]])
+    texts[6] = PASSAGE + " " + PASSAGE
+    want = {i: r["text"] for i, r in run(spark, texts).items()}
+    if not light:
+        monkeypatch.setattr(s, "LOOKUP_BYTES", -1)
+    assert {i: r["text"] for i, r in run(spark, texts).items()} == want
+    assert 5 not in want or len(want[5].split()) < 80
+    assert len(want[6].split()) < 10 if 6 in want else True
 
 
 def test_versions_close_together_in_one_document_do_not_hide_their_copies(spark):
