@@ -51,6 +51,20 @@ def test_turns_become_trees(spark):
     assert (best["leaf_id"], best["score"], best["n_messages"]) == (3, 6, 3)
 
 
+def test_awkward_turns(spark):
+    """Nulls, repeats, empty and very long texts; the score counts every word."""
+    long = "word " * 30_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long + "more"), (1, 2, "assistant", long), (1, 2, "user", "the same turn"), (1, 3, None, None), (1, 3, None, None), (1, 4, None, "")]
+    turns += [(None, 0, "user", "x"), (2, None, "user", "x"), (3, 5, None, None)]
+    df = chats.replies(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n", "2 AS tree_id", "3 AS score"))
+    got = {(r["tree_id"], r["node_id"]): (r["parent_id"], r["score"]) for r in df.collect()}
+    assert got == {(1, 0): (None, 30_000), (1, 1): (0, 30_001), (1, 2): (0, 30_000), (1, 3): (2, 0), (1, 4): (2, 0), (3, 5): (None, 0)}
+    best = {(r["tree_id"], r["branch"]): (r["leaf_id"], r["score"], len(r["text"])) for r in chats.conversations(df).collect()}
+    assert best[1, 1][:2] == (1, 60_001) and best[1, 2][:2] == (3, 60_000) and best[3, 1][:2] == (5, 0) and len(best) == 4
+    rows = [(*r,) for r in df.collect()]
+    assert {tuple(r) for r in chats.conversations(df).collect()} == brute(rows)
+
+
 def test_empty_table(spark):
     assert chats.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert chats.conversations(chats.replies(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
