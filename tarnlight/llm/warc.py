@@ -4,7 +4,8 @@ The reader takes a file as a chain of records: gzip members (.gz) or plain
 records. Where a record fails its checks (version line, headers, length, gzip
 CRC, block digest), it searches on for the next member magic or version line
 that begins a record which passes all of them, and logs the bytes between as a
-gap. Files are read through a window, never whole.
+gap. Files are read through a window, never whole; a record is held whole, with
+headers of any length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from tarnlight.shared import new_path, written
 
 FILE_BYTES = 16 << 20
 CHUNK = 1 << 18
-MAX_HEADER = 1 << 16
+#: Tasks at most for each shuffle partition of the session.
+TASKS = 4
+HEAD = 1 << 16
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 
@@ -39,6 +43,15 @@ def block_digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def differs(said: str, block: bytes) -> bool:
+    """Whether a digest, in base 32 or 16, is not that of block; those of other kinds than DIGESTS are not checked."""
+    kind, _, value = said.partition(":")
+    if (kind := kind.strip().lower().replace("-", "")) not in DIGESTS:
+        return False
+    own = hashlib.new(kind, block).digest()
+    return value.strip().upper().rstrip("=") not in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
 def record_bytes(record_id: str, url: str | None, block: bytes) -> bytes:
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
@@ -47,15 +60,15 @@ def record_bytes(record_id: str, url: str | None, block: bytes) -> bytes:
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and size of the record at the start of data; with whole, data must hold nothing else."""
-    if not VERSION.match(data):
+def parse_record(data: bytes, whole: bool, begin: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and size of the record that begins at a place of data; with whole, data must hold nothing after it."""
+    if not VERSION.match(data, begin):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n", begin)
     if end < 0:
         raise Bad("no end of headers")
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[begin:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Bad("malformed header")
@@ -64,15 +77,14 @@ def parse_record(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
         raise Bad("no content length")
     size = int(headers["content-length"])
     block = data[end + 4 : end + 4 + size]
-    total = end + 8 + size
-    if data[end + 4 + size : total] != b"\r\n\r\n":
+    after = end + 8 + size
+    if data[end + 4 + size : after] != b"\r\n\r\n":
         raise Bad("truncated or wrong length")
-    if whole and len(data) != total:
+    if whole and len(data) != after:
         raise Bad("bytes after the record")
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest != block_digest(block):
+    if differs(headers.get("warc-block-digest", ""), block):
         raise Bad("block digest differs")
-    return headers, block, total
+    return headers, block, after - begin
 
 
 class Salvage:
@@ -81,29 +93,40 @@ class Salvage:
     def __init__(self, read_at, size: int, zipped: bool):
         self.read_at, self.size, self.zipped = read_at, size, zipped
         self.window, self.window_at = b"", 0
+        self.no_end_from = size  # no headers end at this place or later
 
     def bytes_at(self, at: int, size: int) -> bytes:
         if not (self.window_at <= at and at + size <= self.window_at + len(self.window)):
             self.window, self.window_at = self.read_at(at, max(size, 4 * CHUNK)), at
         return self.window[at - self.window_at : at - self.window_at + size]
 
-    def record(self, at: int) -> tuple[dict[str, str], bytes, int]:
+    def records(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+        """Headers and blocks of what begins at a place, a member or a record, and its size."""
         return self.member(at) if self.zipped else self.plain(at)
 
-    def plain(self, at: int) -> tuple[dict[str, str], bytes, int]:
-        head = self.bytes_at(at, min(MAX_HEADER, self.size - at))
-        if not VERSION.match(head):
-            raise Bad("no version line")
-        end = head.find(b"\r\n\r\n")
-        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*(?:\r\n|\Z)", head[:end]) if end >= 0 else None
+    def plain(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+        if at >= self.no_end_from:
+            raise Bad("no end of headers")
+        size, end = HEAD, -1
+        while end < 0:
+            head = self.bytes_at(at, min(size, self.size - at))
+            if not VERSION.match(head):
+                raise Bad("no version line")
+            end = head.find(b"\r\n\r\n")
+            if end < 0 and size >= self.size - at:
+                self.no_end_from = at
+                raise Bad("no end of headers")
+            size *= 4
+        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*(?:\r\n|\Z)", head[:end])
         if not length:
             raise Bad("no content length")
         total = end + 8 + int(length[1])
         if at + total > self.size:
             raise Bad("truncated or wrong length")
-        return parse_record(self.bytes_at(at, total), True)
+        headers, block, _ = parse_record(self.bytes_at(at, total), True)
+        return [(headers, block)], total
 
-    def member(self, at: int) -> tuple[dict[str, str], bytes, int]:
+    def member(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
         if self.bytes_at(at, min(3, self.size - at)) != MAGIC:
             raise Bad("no member magic")
         inflate, parts, pos, step = zlib.decompressobj(31), [], at, 1 << 13
@@ -119,8 +142,12 @@ class Salvage:
                 pos += len(chunk)
         except zlib.error as e:
             raise Bad("damaged member") from e
-        headers, block, _ = parse_record(b"".join(parts), True)
-        return headers, block, pos - len(inflate.unused_data) - at
+        data, found, begin = b"".join(parts), [], 0
+        while begin < len(data) or not found:
+            headers, block, total = parse_record(data, False, begin)
+            found.append((headers, block))
+            begin += total
+        return found, pos - len(inflate.unused_data) - at
 
     def candidates(self, at: int):
         """Places >= at where a record may begin, in order."""
@@ -144,13 +171,13 @@ class Salvage:
         at = 0
         while at < self.size:
             try:
-                headers, block, total = self.record(at)
+                found, total = self.records(at)
             except Bad as bad:
                 reason, start = str(bad), at
                 at, found = self.size, None
                 for place in self.candidates(start + 1):
                     try:
-                        found = self.record(place)
+                        found, total = self.records(place)
                     except Bad:
                         continue
                     at = place
@@ -158,8 +185,8 @@ class Salvage:
                 yield "gap", start, at - start, reason
                 if found is None:
                     return
-                headers, block, total = found
-            yield "record", at, total, headers, block
+            for headers, block in found:
+                yield "record", at, total, headers, block
             at += total
 
 
@@ -174,9 +201,12 @@ def salvaged(paths: DataFrame) -> DataFrame:
     """(file, kind, start, length, reason, record_id, url, block) from (path): a row for each record and each gap.
 
     Records have a null reason; gaps have null record_id, url and block. An
-    empty file has neither; a file of damage alone is one gap. Null paths are
-    passed over; a path that is listed twice is read twice. A missing file is
-    an error. Each file is one task's work; other columns are not read.
+    empty file has neither; a file of damage alone is one gap. Records of one
+    gzip member have its start and length; a member is taken whole or not at
+    all. Headers may have any length. Block digests of the kinds DIGESTS, in
+    base 32 or 16, are checked, others are not. Null paths are passed over; a
+    path that is listed twice is read twice. A missing file is an error. A file
+    is read by one task, which may read several; other columns are not read.
     """
 
     def run(batches):
@@ -204,7 +234,8 @@ def salvaged(paths: DataFrame) -> DataFrame:
                     yield packed(rows)
 
     listed = paths.select("path").where("path is not null")
-    return listed.repartition(max(1, listed.count()), F.xxhash64("path")).mapInArrow(run, FIELDS)
+    tasks = min(listed.count(), TASKS * int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return listed.repartition(max(1, tasks)).mapInArrow(run, FIELDS)
 
 
 def damaged(data: bytes, key: str) -> bytes:
@@ -262,6 +293,7 @@ def archived(pages: DataFrame, harm: bool = False, file_bytes: int = FILE_BYTES)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC files of which some are damaged, and what salvaged() reads of them."""
     files = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), harm=True)
     found = salvaged(files)
     page = F.expr("try_cast(substring(record_id, length('urn:page:') + 1) as bigint)").alias("page_id")

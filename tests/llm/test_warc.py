@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import random
 from collections import Counter
 
@@ -53,6 +55,27 @@ def test_version_lines_inside_of_a_block_are_no_records():
     assert read(b"WARC/1.1\r\nbroken\r\n\r\n" + outer, False)[0] == [b"before " + inner + b" after"]
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_headers_may_be_long(zipped):
+    parts = [warc.record_bytes(f"urn:page:{i}", "http://x/" + "y" * n, b) for i, (n, b) in enumerate(zip((70_000, 10, 300_000, 5), BLOCKS))]
+    data = b"".join(gzip.compress(p, mtime=0) if zipped else p for p in parts)
+    assert read(data, zipped) == (BLOCKS[:4], [])
+    assert read(b"WARC/1.1\r\n" + b"no end " * 30_000 + data, zipped) == (BLOCKS[:4], [("gap", 0, 210_010, "no member magic" if zipped else "malformed header")])
+
+
+def test_members_of_several_records_and_other_digests():
+    parts = built(False)
+    member = gzip.compress(b"".join(parts[:3]), mtime=0)
+    found = list(warc.Salvage(lambda at, n: member[at : at + n], len(member), True).run())
+    assert [f[4] for f in found] == BLOCKS[:3] and {f[1:3] for f in found} == {(0, len(member))}
+    block = b"some bytes"
+    for kind in warc.DIGESTS:
+        own = hashlib.new(kind, block)
+        for value in (own.hexdigest(), base64.b32encode(own.digest()).decode(), base64.b32encode(own.digest()).decode().lower().rstrip("=")):
+            assert not warc.differs(f"{kind}:{value}", block) and warc.differs(f"{kind}:{value}", block + b"x")
+    assert not warc.differs("crc32:0", block) and not warc.differs("", block)
+
+
 PAGES = [(i, f"http://x/{i}", f"<html>{'é' * i}</html>") for i in range(60)] + [(None, None, None), (60, None, "h"), (61, "http://y", None), (62, "u", ""), (62, "u", "")] + [(63, "long", "z" * 3_000_000)]
 
 
