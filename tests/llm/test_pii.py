@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 from tarnlight.llm import pii
 
@@ -35,7 +36,7 @@ def test_surrogates_keep_type_format_gender_and_coreference(spark):
 
 
 def test_distinct_entities_stay_distinct_and_never_become_an_original(spark):
-    names = [f"Mr {s}" for s in pii.SURNAMES["Latin"]]
+    names = [f"Mr {s}" for s in pii.SURNAMES["Latin", "n"]]
     numbers = [f"+1 555 010 {n:04d}" for n in range(300)]
     out = run(spark, names + numbers)
     assert len({t.casefold() for t in out}) == len(out)
@@ -52,3 +53,81 @@ def test_clean_and_awkward_rows_stay_as_they_are(spark):
     changed = out.where("doc_id = 30").first()
     assert "bob@" not in changed["text"] and changed["n_chars"] == len(changed["text"])
     assert pii.pseudonymised(table(spark, [])).count() == 0
+
+
+def replaced(text, key="k"):
+    out, last = [], 0
+    for start, end, kind, cls, value in pii.mentions(text):
+        out += [text[last:start], pii.rendered(kind, text[start:end], pii.surrogate(key, kind, cls, value, 1))]
+        last = end
+    return "".join([*out, text[last:]])
+
+
+def test_names_keep_gender_script_and_all_their_parts():
+    woman, man = re.fullmatch(r"госпожа (\S+) и г-н (\S+)", replaced("госпожа Петрова и г-н Петров")).groups()
+    assert woman == man + "а"  # one family, two forms
+    assert replaced("г-жа Вишневская").endswith("ая")
+    assert replaced("Κύριος Παππάς")[-1] == "ς"
+    assert re.fullmatch(r"Mr [A-ZÀ-Ý][a-zà-ÿ]+ met", replaced("Mr McDonald met")) and "Connor" not in replaced("Mrs O'Connor met")
+    ana, maria, ruiz = replaced("Dr. Ana María Ruiz").split(" ")[1:]
+    assert {ana, maria} <= set(pii.GIVEN["Latin", "f"]) and ruiz in pii.SURNAMES["Latin", "n"]
+    for text, gone in (("met Wei Zhang", "Wei Zhang"), ("met Maria Lopez-Garcia", "Maria Lopez Garcia"), ("Mr SMITH", "SMITH"), ("Herr Ludwig van Beethoven", "Ludwig Beethoven")):
+        new = replaced(text)
+        assert not set(re.findall(r"\w+", gone)) & set(re.findall(r"\w+", new)), new
+    assert replaced("Mr SMITH").isupper() or replaced("Mr SMITH")[3:].isupper()
+    assert " van " in replaced("Herr Ludwig van Beethoven")
+    assert replaced("Robin Hood and the Jordan River") == "Robin Hood and the Jordan River"
+
+
+def test_letters_of_any_script_become_letters_of_it():
+    new = replaced("李小龙@例子.com, محمد@مثال.com, たろう@例え.com")
+    scripts = lambda t: [unicodedata.name(c).split()[0] if ord(c) > 127 else c for c in t]
+    assert scripts(new) == scripts("李小龙@例子.com, محمد@مثال.com, たろう@例え.com") and "李小龙" not in new
+
+
+def test_national_numbers():
+    text = "06 12 34 56 78, 030 1234567, 555 123 4567, 612 345 678 or 555-0199"
+    new = replaced(text)
+    assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    assert not set(re.split(", | or ", text)) & set(re.split(", | or ", new)) and new.startswith("0")
+    plain = "In 2020 1990 2010 the 100 200 300 or 12.5, 3 000 000"
+    assert replaced(plain) == plain
+
+
+def brute(texts, key):
+    """Surrogates drawn round by round from dictionaries, and put into the texts."""
+    found = [pii.mentions(t or "") for t in texts]
+    classes = {}
+    for kind, cls, value in (m[2:] for ms in found for m in ms):
+        classes[kind, value] = min(cls, classes.get((kind, value), cls))
+    done, attempt = {}, 0
+    while len(done) < len(classes):
+        drawn, taken = {}, {(k, s) for (k, _), s in done.items()} | set(classes)
+        for (kind, value), cls in sorted(classes.items()):
+            if (kind, value) not in done:
+                new = (kind, pii.surrogate(key, kind, cls, value, attempt))
+                if new not in taken:
+                    drawn.setdefault(new, value)
+        done |= {(kind, value): new for (kind, new), value in drawn.items()}
+        attempt += 1
+    out = []
+    for text, ms in zip(texts, found):
+        parts, last = [], 0
+        for start, end, kind, _, value in ms:
+            parts += [text[last:start], pii.rendered(kind, text[start:end], done[kind, value])]
+            last = end
+        out.append(text if text is None else "".join([*parts, text[last:]]))
+    return out
+
+
+def test_against_a_brute_force_version(spark):
+    surnames = [n for ns in pii.SURNAMES.values() for n in ns]
+    texts = [None, "", "no entity"]
+    for k in range(120):
+        name = surnames[k % len(surnames)]
+        texts.append(f"{['Mr', 'Frau', 'Dr', 'г-жа'][k % 4]} {name} (a{k % 26}@x.com, +1 555 010 {k:04d}, 10.0.{k % 7}.{k % 5}) {prose(5, k)}")
+    texts += [f"{c}@y.de" for c in "abcdefghijklmnopqrstuvwxyz"]  # more than there are surrogates of one letter
+    got = run(spark, texts, key="k")
+    assert got == brute(texts, "k")
+    letters = got[-26:]
+    assert len(set(letters)) == 26 and not set(letters) & set(texts)
