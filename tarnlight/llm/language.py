@@ -26,7 +26,7 @@ TRAIN_WORDS = 60_000
 LEXICON_WORDS = 400
 SLOTS = 1 << 16
 BLOCK = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_CHARS = 150_000, 2_000_000
 MIN_CONFIDENCE = 0.6
 MIN_LETTERS = 0.5
 
@@ -39,7 +39,8 @@ class Model:
     transitions: np.ndarray  # languages x languages, log scores
 
 
-LONG_WORD = 40
+#: Characters of words that are scored together, and feature slots whose weights are summed together.
+SCORE_CHARS, SCORE_SLOTS = 1 << 18, 1 << 16
 #: Of more languages than this, caches and groups of texts are made smaller, so that they take no more memory.
 WIDE = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -54,10 +55,8 @@ def features(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray
     """Features of words in normal form, kind by kind: (words that have one, slots, starts of each word's slots or None for one a word).
 
     Kinds: bias, prefixes of 1-3, suffixes of 1-4, whole words up to 4, n-grams
-    of 2-3 with edges, lexicons. A word of more than LONG_WORD characters counts
-    as its first ones and its last four.
+    of 2-3 with edges, lexicons. All n-grams of a word count, however long it is.
     """
-    words = [w if len(w) <= LONG_WORD else w[: LONG_WORD - 4] + w[-4:] for w in words]
     n = len(words)
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, n)
@@ -99,11 +98,23 @@ def features(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray
 
 
 def scores(words: list[str], model: Model) -> np.ndarray:
-    """Sums of the weights of each word's features."""
+    """Sums of the weights of each word's features; long lists and long words go in parts."""
     total = np.zeros((len(words), len(model.languages)))
-    for has, slots, begin in features(words, model.lexicon):
-        w = model.weights[slots]
-        total[has] += w if begin is None else np.add.reduceat(w, begin, axis=0)
+    ends = np.cumsum([len(w) + 2 for w in words])
+    begin = 0
+    while begin < len(words):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + SCORE_CHARS, side="right")))
+        for has, slots, starts in features(words[begin:end], model.lexicon):
+            if starts is None:
+                total[begin + has] += model.weights[slots]
+                continue
+            for k in range(0, len(slots), SCORE_SLOTS):
+                part = slots[k : k + SCORE_SLOTS]
+                i, j = np.searchsorted(starts, k, side="right") - 1, np.searchsorted(starts, k + len(part))
+                own = np.maximum(starts[i:j] - k, 0)
+                total[begin + has[i:j]] += np.add.reduceat(model.weights[part], own, axis=0)
+        begin = end
     return total
 
 
@@ -207,16 +218,20 @@ class Unary(dict):
         size = max(1, CACHE_WORDS * WIDE // max(WIDE, len(model.languages)))
         self.table = np.ones((size, len(model.languages)))
         self.letters = np.zeros(size, bool)
+        self.chars = 0
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of the words, valid until the next call; those that are new are scored together."""
         asked = set(words)
         new = asked - self.keys()
-        if len(self) + len(new) > len(self.table):
+        chars = sum(map(len, new))
+        if len(self) + len(new) > len(self.table) or self.chars + chars > CACHE_CHARS:
             self.clear()
-            new = asked
+            self.chars, new = 0, asked
+            chars = sum(map(len, new))
             if len(new) > len(self.table):
                 self.table, self.letters = np.ones((len(new), self.table.shape[1])), np.zeros(len(new), bool)
+        self.chars += chars
         if new:
             at = len(self)
             self.update(zip(new, range(at, at + len(new))))
@@ -313,13 +328,14 @@ def label_texts(texts: list[str | None], unary: Unary) -> list[pa.Array]:
     runs: list[tuple | None] = [None] * n
     i = 0
     while i < n:
-        chosen, group = [], []
-        while i < n and len(group) < max(1, group_words):
+        chosen, group, laid = [], [], 0
+        while i < n and laid < max(1, group_words):
             parts = texts[i].split() if texts[i] else []
             if parts:
                 chosen.append(i)
                 group += parts
                 words[i] = len(parts)
+                laid += -(-len(parts) // BLOCK) * BLOCK  # texts are laid out in whole blocks
             i += 1
         if not group:
             continue
@@ -422,6 +438,7 @@ def identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lett
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labelled() of all documents."""
     return labelled(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
