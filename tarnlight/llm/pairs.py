@@ -40,17 +40,24 @@ def partitions(spark: SparkSession) -> int:
 PACKED = "part int, ids binary, lows binary"
 
 
-def packed_bands(ids: np.ndarray, keys: np.ndarray, ways: int) -> pa.RecordBatch:
-    """A row (PACKED) for each part that the band hashes keys (items x bands) of ids fall in, ways parts a band; ids and the low halves of the hashes are packed."""
-    ids, first = np.unique(ids, return_index=True)
-    keys = keys[first]
+def packed_bands(ids: np.ndarray, keys: np.ndarray, ways: int, follows: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row (PACKED) for each part that the band hashes keys (items x bands) of ids fall in, ways parts a band.
+
+    ids and 31 bits of the hashes are packed, with follows (items x bands) as
+    the lowest bit: whether an item has the hash from another beside it.
+    """
+    ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
     bands = keys.shape[1]
-    part = ((keys >> np.uint64(32)) % np.uint64(ways)).astype(np.int64) + np.arange(bands) * ways
+    lows = keys[first].astype(np.uint32) << np.uint32(1)
+    if follows is not None:
+        leads = np.zeros(lows.shape, bool)
+        np.logical_or.at(leads, place, ~follows)
+        lows |= (~leads).astype(np.uint32)
+    part = ((keys[first] >> np.uint64(32)) % np.uint64(ways)).astype(np.int64) + np.arange(bands) * ways
     order = np.argsort(part.ravel(), kind="stable")
     parts, begin = np.unique(part.ravel()[order], return_index=True)
     bounds = np.r_[begin, len(order)]
-    all_ids, lows = ids[order // bands], keys.ravel()[order].astype(np.uint32)
-    rows = [[x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])] for x in (all_ids, lows)]
+    rows = [[x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])] for x in (ids[order // bands], lows.ravel()[order])]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["part", "ids", "lows"])
 
 
@@ -61,26 +68,29 @@ def ways_of(spark: SparkSession, bands: int) -> int:
 def met(packed: DataFrame, ways: int) -> DataFrame:
     """(hub, id, mask) for the items that share a band hash with another: bit j of mask says that hub is the least id of a bucket of band j in which id is.
 
-    A part, which holds the hashes of one band that are alike in some bits, is
-    the work of a task at a time, at 12 bytes an item.
+    A bucket of one item and one that only follows is none. A part, which holds
+    the hashes of one band that are alike in some bits, is the work of a task at
+    a time, at 12 bytes an item.
     """
 
     def buckets(key, table):
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         lows = np.frombuffer(b"".join(table.column("lows").to_pylist()), np.uint32)
         order = np.argsort(lows, kind="stable")
-        sorted_lows = lows[order]
-        same = np.r_[False, sorted_lows[1:] == sorted_lows[:-1], False]
+        same = lows[order] >> np.uint32(1)
+        same = np.r_[False, same[1:] == same[:-1], False]
         order = order[same[1:] | same[:-1]]  # the others are alone
-        order = order[np.lexsort((ids[order], lows[order]))]
-        ids, lows = ids[order], lows[order]
+        ids, follows, lows = ids[order], lows[order] & np.uint32(1), lows[order] >> np.uint32(1)
+        order = np.lexsort((follows, ids, lows))
+        ids, follows, lows = ids[order], follows[order], lows[order]
         new = np.ones(len(ids), bool)
         new[1:] = (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1])
-        ids, lows = ids[new], lows[new]
+        ids, follows, lows = ids[new], follows[new].astype(np.int64), lows[new]
         starts = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]]) if len(ids) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[starts, len(ids)])
+        after = np.add.reduceat(follows, starts) if len(ids) else sizes
+        shared = np.repeat((sizes - after > 1) | (after > 1), sizes)
         hub = np.repeat(ids[starts], sizes)
-        shared = np.repeat(sizes > 1, sizes)
         band = int(key[0].as_py()) // ways
         return pa.table({"hub": hub[shared], "id": ids[shared], "mask": np.full(int(shared.sum()), np.array(1 << band, np.uint64).astype(np.int64))})
 

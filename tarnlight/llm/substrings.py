@@ -10,7 +10,8 @@ where a sentence or line does. One begins at each place where a sentence or line
 begins (or a word with a capital; for texts without either, one of 32 words)
 that has the least hash among those within BESIDE words at each side, and at
 the start of the text. So their places depend on the words beside them alone, and copied passages have the
-paragraphs of their sources. They overlap, and hold nearly all words.
+paragraphs of their sources. They overlap, and hold nearly all words; overlapping
+ones are not taken for copies of each other.
 
 Paragraphs that share a band of ROWS MinHash values are joined and verified by
 exact Jaccard of their word n-grams; the components of the verified pairs join
@@ -24,14 +25,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
 from tarnlight.llm.words import ENDS, LINE, MULT, TITLE, bands_for, bands_of, distinct, grams, long_powers, mixed, slices, word_blocks, words_of
 from tarnlight.shared import written
 
-MIN_WORDS, BESIDE = 25, 8
+MIN_WORDS, BESIDE = 25, 12
 N = 3
 THRESHOLD = 0.7
 RECALL, ROWS = 0.99, 4
@@ -149,7 +150,7 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
     def run(batches):
         known = table and Known(table.value)
         for batch in batches:
-            cs, keys, held = [], [], 0
+            held = []
             for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
                 starts, ends, c = units(bounds, hashes, flags, min_words)
                 c = c.view(np.int64)
@@ -159,18 +160,32 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
                     own[~own] = known.own(batch.column(0), first + np.searchsorted(bounds, starts[~own], side="right") - 1, k[~own])
                     starts, ends, c = starts[own], ends[own], c[own]
                 if len(c):
-                    cs.append(c)
-                    keys.append(unit_bands(hashes, starts, ends))
-                    held += len(c)
-                if held > PACK_UNITS:
-                    yield packed_bands(np.concatenate(cs), np.concatenate(keys), ways)
-                    cs, keys, held = [], [], 0
+                    keys = unit_bands(hashes, starts, ends)
+                    held.append((c, keys, followed(starts, ends, keys)))
+                if sum(len(x[0]) for x in held) > PACK_UNITS:
+                    yield packed(held)
+                    held = []
             if held:
-                yield packed_bands(np.concatenate(cs), np.concatenate(keys), ways)
+                yield packed(held)
+
+    def packed(held):
+        c, keys, follows = (np.concatenate(x) for x in zip(*held))
+        return packed_bands(c, keys, ways, follows)
 
     return rows_in(docs).mapInArrow(run, PACKED)
 
 
+def followed(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """(paragraphs, bands): whether a paragraph has a band hash from an earlier one of its text, which it overlaps."""
+    follows = np.zeros(keys.shape, bool)
+    for step in range(1, len(starts)):
+        over = starts[step:] < ends[:-step]
+        if not over.any():
+            break
+        follows[step:] |= over[:, None] & (keys[step:] == keys[:-step])
+    return follows
+
+
 class Known:
     """The hashes that repeat, from a table of REPEATED."""
 
@@ -459,6 +474,9 @@ def repeated_spans(docs: DataFrame, min_words: int, threshold: float) -> DataFra
     later = own.join(firsts, "c").where("version <> at.version").select(*place)
     equal = found.where(F.col("kind") == SPAN).select(*place).union(later).union(extended(docs, found, firsts, min_words))
     cluster = found.where(F.col("kind") == NEAR).select(F.col("c").alias("label"), *place).distinct()
+    # a paragraph that overlaps one of its cluster is alike by the words that they share, and stays
+    before = F.lag("end").over(Window.partitionBy("label", "doc_id", "version").orderBy("start"))
+    cluster = written(cluster.withColumn("before", before).where("before is null or before <= start").drop("before"), "cluster")
     first_of = cluster.groupBy("label").agg(F.min(F.struct(*place)).alias("at"))
     judged = cluster.join(first_of, "label").select(*place, F.struct(*place).eqNullSafe(F.col("at")).alias("kept"))
     return equal.select(*place, F.lit(None).cast("boolean").alias("kept")).union(judged)
