@@ -135,7 +135,7 @@ def compared(ids: np.ndarray, masks: np.ndarray, sides: np.ndarray | None, sets:
     i, j = np.nonzero(maybe)
     if not len(i):
         return i, j
-    if len(i) <= 2 * m and m > 8:  # few of all pairs: each by itself
+    if len(i) <= 2 * m or m <= 4:  # few pairs: each by itself
         inter = np.array([np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y) for x, y in ((sets[p], sets[q]) for p, q in zip(i, j))])
     else:
         flat = np.concatenate(sets)
@@ -148,10 +148,10 @@ def compared(ids: np.ndarray, masks: np.ndarray, sides: np.ndarray | None, sets:
         shared = count[number] > 1  # the rest add to no intersection
         number, owner = np.cumsum(new & shared)[shared] - 1, owner[shared]
         both = np.zeros((m, m), np.float32)
-        step = max(64, DENSE // m)
-        for begin in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        step, width = max(64, DENSE // m), int(number[-1]) + 1 if len(number) else 0
+        for begin in range(0, width, step):
             lo, hi = np.searchsorted(number, [begin, begin + step])
-            x = np.zeros((m, step), np.float32)
+            x = np.zeros((m, min(step, width - begin)), np.float32)
             x[owner[lo:hi], number[lo:hi] - begin] = 1
             both += x @ x.T
         inter = both[i, j].astype(np.int64)
