@@ -22,7 +22,7 @@ from tarnlight.sources.files import build_mode, chunked, scan, to_index
 
 
 def embedder(name: str) -> Callable:
-    """A function by module:name that turns a list of texts into vectors."""
+    """A function by module:name, such as one that turns a list of texts into vectors."""
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
@@ -55,11 +55,25 @@ def run_index(spark: SparkSession, config: Config, embed: Callable, mode: str =
     return out
 
 
-def run_query(spark: SparkSession, config: Config, embed: Callable, text: str, names: list[str] | None = None, top: int = 10, concise: bool = True, brief_chars: int = 300) -> list[dict]:
+def text_index_of(spark: SparkSession, lookups: list[Lookup]) -> tuple[DataFrame, DataFrame] | None:
+    """The full-text index of the lookups that have chunks; None if one of them has none."""
+    stores = [s for s in (store_of(spark, x) for x in lookups) if s.chunks() is not None]
+    found = [s.text_index() for s in stores]
+    if not found or None in found:
+        return None
+    return reduce(DataFrame.unionByName, [x for x, _ in found]), reduce(DataFrame.unionByName, [x for _, x in found])
+
+
+def run_query(spark: SparkSession, config: Config, embed: Callable, text: str, names: list[str] | None = None, top: int = 10, concise: bool = True, brief_chars: int = 300, chat: Callable | None = None) -> list[dict]:
+    """Files for a query over the lookups' chunks and full-text indexes; with chat, a function from a prompt to a reply, the query is expanded."""
     lookups = resolve_lookups(config, names)
-    thresholds = {x.name: x.threshold for x in lookups}
-    found = retrieval.retrieve_q(chunks_of(spark, lookups), text, retrieval.EmbedCache(lambda t: embed([t])[0]), top, lookups=[x.name for x in lookups], thresholds=thresholds).files
-    return [r.asDict(recursive=True) for r in (retrieval.compact(found, brief_chars) if concise else found).collect()]
+    options = {"lookups": [x.name for x in lookups], "thresholds": {x.name: x.threshold for x in lookups}, "index": text_index_of(spark, lookups)}
+    chunks, cache = chunks_of(spark, lookups), retrieval.EmbedCache(lambda t: embed([t])[0])
+    if chat is None:
+        found = retrieval.retrieve_q(chunks, text, cache, top, **options)
+    else:
+        found = retrieval.retrieve_q_plus(chunks, text, cache, lambda q: chat(f"Say this search query in other words, in one line:\n{q}"), lambda q: chat(f"Keywords for this search query, with commas between them:\n{q}"), top, **options)
+    return [r.asDict(recursive=True) for r in (retrieval.compact(found.files, brief_chars) if concise else found.files).collect()]
 
 
 def shown(rows: list[dict], form: str) -> str:
@@ -84,6 +98,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("-f", "--format", choices=["json", "jsonl", "text"], default="text")
     query.add_argument("--full", action="store_true")
     query.add_argument("--brief-chars", type=int, default=300)
+    query.add_argument("--plus", metavar="CHAT", help="expand the query by module:function from a prompt to a reply")
     chart = sub.add_parser("map")
     chart.add_argument("--include", default=None)
     chart.add_argument("--stage", choices=mapping.STAGES, default="all")
@@ -108,7 +123,7 @@ def main(words: Sequence[str] | None = None) -> int:
             return int(any(r["errors"] for r in rows))
         if args.command == "query":
             names = [n for n in args.paths.split(",") if n.strip()]
-            print(shown(run_query(spark, config, embedder(args.embedder), args.text, names, args.limit, not args.full, args.brief_chars), args.format))
+            print(shown(run_query(spark, config, embedder(args.embedder), args.text, names, args.limit, not args.full, args.brief_chars, embedder(args.plus) if args.plus else None), args.format))
             return 0
         settings = config.settings.get("map") or {}
         options = mapping.MapOptions.of(settings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,20 @@ from tarnlight.functions.patterns import EMPHASIS, EXCERPT, HEADING_MARK, LINK,
 BUDGET_TOKEN = r"\p{IsHan}|[\p{L}\p{N}]+|\S"
 PLAN_TOKEN = r"[\p{L}\p{N}_]+"
 INDEX_TERM = r"[\p{L}\p{N}]+"
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters in lower case that are another one with marks, and those; then the marks themselves, which stand for nothing."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if c == c.lower() and len(bare) == 1 and bare != c and unicodedata.category(c)[0] == "L":
+            pairs.append((c, bare))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def lit(x: str) -> Column:

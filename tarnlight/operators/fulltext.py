@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import ACCENTED, PLAIN, index_terms
+from tarnlight.shared import written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 KEY = ["lookup", "path", "chunk"]
 _TERM = re.compile(r"[^\W_]+")
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
 
 def terms(text: str) -> list[str]:
@@ -32,24 +35,51 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select(*KEY, F.posexplode(index_terms(F.col("text"))).alias("pos", "term"))
 
 
+def repeats_itself(phrase: list[str]) -> bool:
+    """Whether two occurrences of the phrase can overlap."""
+    return any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase)))
+
+
 def occurrences(flat: Column, phrase: list[str]) -> Column:
-    """Occurrences of the phrase, overlapping ones too, in a text of terms with a space before and after each."""
-    return F.regexp_count(flat, F.lit(f"(?= {' '.join(phrase)} )"))
+    """Occurrences of the phrase, overlapping ones too, in a text of terms with a space of its own before and after each."""
+    said = f" {'  '.join(phrase)} "
+    if repeats_itself(phrase):
+        return F.when(F.contains(flat, F.lit(said)), F.regexp_count(flat, F.lit(f"(?={said})"))).otherwise(0)
+    gone = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(said), F.lit("")))
+    return (gone / len(said.encode("utf-8"))).cast("int")
 
 
 def counted(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """chunks with len, their number of terms, and f, the occurrences of each phrase."""
     found = index_terms(F.col("text"))
-    flat = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+    flat = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
     return chunks.withColumns({"len": F.size(found), "f": F.array(*[occurrences(flat, p) for p in phrases])})
 
 
+def counts(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(lookup, path, chunk, len, f), written: one pass over the texts for all phrases of any number of lists, one narrow row a chunk."""
+    return written(counted(chunks.select(*KEY, "text"), phrases).drop("text"), "phrase-counts")
+
+
 def statistics(counts: DataFrame, phrases: int) -> DataFrame:
     """(lookup, n, avgdl, df): one narrow row for each lookup, made with map-side combine."""
     dfs = F.array(*[F.count_if(F.col("f")[i] > 0) for i in range(phrases)])
     return counts.groupBy("lookup").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), dfs.alias("df"))
 
 
+def weighed(counts: DataFrame, stats: DataFrame, at: list[int]) -> DataFrame:
+    """Rows of counts that have one of the phrases at the places at of f, with their score, rounded to 12 places; stats is joined and left out."""
+    total = F.lit(0.0)
+    for i in at:
+        d = F.col("df")[i]
+        idf = F.log((F.col("n") - d + 0.5) / (d + 0.5))
+        f = F.col("f")[i]
+        weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+        total = total + weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    hits = counts.where(reduce(or_, [F.col("f")[i] > 0 for i in at]))
+    return hits.join(F.broadcast(stats), "lookup").withColumn("score", F.round(total, 12)).drop("n", "avgdl", "df")
+
+
 def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """chunks that have one of the phrases, with their score, rounded to 12 places.
 
@@ -58,28 +88,11 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """
     if not phrases:
         return chunks.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    counts = counted(chunks.select(*KEY, "text"), phrases)
-    stats = statistics(counts, len(phrases))
-    total = F.lit(0.0)
-    for i in range(len(phrases)):
-        d = F.col("df")[i]
-        idf = F.log((F.col("n") - d + 0.5) / (d + 0.5))
-        f = F.col("f")[i]
-        weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        total = total + weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = counted(chunks, phrases).where(F.exists("f", lambda x: x > 0))
-    return hits.join(F.broadcast(stats), "lookup").withColumn("score", F.round(total, 12)).select(*chunks.columns, "score")
+    stats = statistics(counted(chunks.select(*KEY, "text"), phrases), len(phrases))
+    return weighed(counted(chunks, phrases), stats, list(range(len(phrases)))).select(*chunks.columns, "score")
 
 
 def ranked(scored: DataFrame, depth: int) -> DataFrame:
     """The depth best of each lookup with their rank there, ties by path and chunk."""
     w = Window.partitionBy("lookup").orderBy(F.desc("score"), "path", "chunk")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
-
-
-def phrase_hits(posted: DataFrame, phrase: list[str]) -> DataFrame:
-    """(lookup, path, chunk, f) of a phrase from postings(): terms that the phrase has not are pruned before the one aggregation by place."""
-    wanted = F.create_map(*[x for t in dict.fromkeys(phrase) for x in (F.lit(t), F.array(*[F.lit(i) for i, p in enumerate(phrase) if p == t]))])
-    starts = posted.where(F.col("term").isin(phrase)).select(*KEY, (F.col("pos") - F.explode(wanted[F.col("term")])).alias("start"))
-    whole = starts.groupBy(*KEY, "start").agg(F.count("*").alias("n")).where(F.col("n") == len(phrase))
-    return whole.groupBy(*KEY).agg(F.count("*").alias("f"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions.vectors import bucket_key
+from tarnlight.operators import text_index
 from tarnlight.shared import remove
 
 KEY = ["lookup", "path", "chunk"]
@@ -63,7 +64,7 @@ def summary(matched: DataFrame, classes: DataFrame, errors: DataFrame) -> DataFr
 
 
 class Store:
-    """Chunks and scan state of one lookup in a folder; each write is a new version that a small file then points to."""
+    """Chunks, their full-text index and scan state of one lookup in a folder; each write is a new version that a small file then points to."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -92,19 +93,41 @@ class Store:
         version = self.state().get("version")
         return None if version is None else self.spark.read.parquet(f"{self.folder}/v{version}")
 
+    def text_index(self) -> tuple[DataFrame, DataFrame] | None:
+        """Lengths and postings of the current chunks; None where they have none."""
+        folder = f"{self.folder}/t{self.state().get('version')}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return text_index.read(self.spark, folder) if there else None
+
+    def row_count(self) -> int:
+        """Rows of the current chunks, 0 without any."""
+        chunks = self.chunks()
+        return 0 if chunks is None else chunks.count()
+
+    def vectors_ready(self, dimensions: int | None = None) -> bool:
+        """Whether there are vectors, and all have the same number of dimensions, that given if one is."""
+        chunks = self.chunks()
+        if chunks is None:
+            return False
+        low, high = chunks.where("embedding is not null").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        return low is not None and low == high and (dimensions is None or low == dimensions)
+
     def last_scan(self) -> dt.datetime | None:
         at = self.state().get("scanned_at")
         return None if at is None else dt.datetime.fromisoformat(at)
 
     def replace(self, chunks: DataFrame, scanned_at: dt.datetime | None) -> None:
-        """Writes the next version, makes it current, then drops the one before; the scan time is kept if None."""
+        """Writes the next version and its full-text index, makes them current, then drops those before; the scan time is kept if None."""
         state = self.state()
         before = state.get("version")
         version = (before or 0) + 1
         chunks.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        text_index.write(text_index.updated(self.text_index(), self.spark.read.parquet(f"{self.folder}/v{version}")), f"{self.folder}/t{version}")
         self._set_state({"version": version, "scanned_at": scanned_at.isoformat() if scanned_at else state.get("scanned_at")})
         if before is not None:
-            remove(self.spark, f"{self.folder}/v{before}")
+            for kind in "vt":
+                remove(self.spark, f"{self.folder}/{kind}{before}")
 
 
 def index(store: Store, matched: DataFrame, chunked: DataFrame, embed_fn, started: dt.datetime, allow_empty_prune: bool = False) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.functions.text import brief, note_url, path_id
-from tarnlight.operators.fulltext import bm25, phrases_of, ranked
+from tarnlight.operators import text_index
+from tarnlight.operators.fulltext import counts, phrases_of, ranked, statistics, weighed
 from tarnlight.operators.fusion import files, fused
 from tarnlight.operators.vector_search import global_rank, per_lookup
 
@@ -148,18 +149,33 @@ def of_thresholds(thresholds: dict[str, float] | float) -> Column | float:
     return out
 
 
-def candidates(chunks: DataFrame, plan: QueryPlan, embed: Embed, vector_depth: int, text_depth: int, thresholds: dict[str, float] | float = 0.0) -> DataFrame:
-    """Candidates of all lists of the plan: vector lists ranked over all lookups, text lists in each of them."""
+def candidates(chunks: DataFrame, plan: QueryPlan, embed: Embed, vector_depth: int, text_depth: int, thresholds: dict[str, float] | float = 0.0, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Candidates of all lists of the plan: vector lists ranked over all lookups, text lists in each of them.
+
+    Chunks without a vector are in text lists alone. All text lists are served
+    by the index of the chunks, or by one pass over their texts; texts are then
+    read for the candidates only.
+    """
+    lists = {s.name: phrases_of(list(s.queries), s.phrase) for s in plan.lists if s.backend == "bm25"}
+    phrases = [list(p) for p in dict.fromkeys(tuple(p) for ps in lists.values() for p in ps)]
+    if phrases and index:
+        counted, stats = text_index.found(index, phrases)
+    elif phrases:
+        counted = counts(chunks, phrases)
+        stats = statistics(counted, len(phrases))
     found = []
     for s in plan.lists:
         if s.backend == "vector":
-            near = per_lookup(chunks.select("lookup", "path", "chunk", "text", "embedding"), checked_vector(embed(s.queries[0])), vector_depth, of_thresholds(thresholds))
+            near = per_lookup(chunks.select("lookup", "path", "chunk", "embedding"), checked_vector(embed(s.queries[0])), vector_depth, of_thresholds(thresholds))
             hits = global_rank(near, vector_depth).withColumn("source_list", F.lit(s.name))
-        else:
-            hits = ranked(bm25(chunks.select("lookup", "path", "chunk", "text"), phrases_of(list(s.queries), s.phrase)), text_depth)
+        elif lists[s.name]:
+            hits = ranked(weighed(counted, stats, [phrases.index(p) for p in lists[s.name]]), text_depth)
             hits = hits.withColumn("source_list", F.concat(F.lit(f"{s.name}:"), "lookup"))
-        found.append(hits.select("source_list", F.lit(s.backend).alias("backend"), F.lit(s.query_type).alias("query_type"), F.lit(s.weight).alias("weight"), "lookup", "path", "chunk", "text", "score", "rank"))
-    return reduce(DataFrame.unionByName, found)
+        else:
+            continue
+        found.append(hits.select("source_list", F.lit(s.backend).alias("backend"), F.lit(s.query_type).alias("query_type"), F.lit(s.weight).alias("weight"), "lookup", "path", "chunk", "score", "rank"))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.join(chunks.select("lookup", "path", "chunk", "text"), ["lookup", "path", "chunk"]).select(*rows.columns[:4], "lookup", "path", "chunk", "text", "score", "rank")
 
 
 @dataclass
@@ -173,11 +189,12 @@ class Result:
     fallback: dict | None = field(default=None)
 
 
-def retrieve(chunks: DataFrame, plan: QueryPlan, embed: Embed, top_n: int, lookups: list[str] | None = None, thresholds: dict[str, float] | float = 0.0, vector_depth: int | None = None, text_depth: int | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, plan: QueryPlan, embed: Embed, top_n: int, lookups: list[str] | None = None, thresholds: dict[str, float] | float = 0.0, vector_depth: int | None = None, text_depth: int | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Files for a plan; index, if given, must be that of chunks."""
     validate(plan.query, top_n, lookups)
     v, t = depths(top_n, vector_depth, text_depth)
-    chosen = chunks if lookups is None else chunks.where(F.col("lookup").isin(lookups))
-    return files(fused(candidates(chosen, plan, embed, v, t, thresholds)), top_n)
+    chosen = lambda df: df if lookups is None else df.where(F.col("lookup").isin(lookups))
+    return files(fused(candidates(chosen(chunks), plan, embed, v, t, thresholds, index and tuple(map(chosen, index)))), top_n)
 
 
 def retrieve_q(chunks: DataFrame, query: str, embed: Embed, top_n: int = 20, **options) -> Result:

@@ -13,19 +13,21 @@ from tarnlight.functions import patterns as P
 from tarnlight.functions import text as T
 from tarnlight.functions.chunking import journal_chunks, markdown_chunks, text_chunks
 from tarnlight.functions.vectors import bucket_key, doubles, neighbour_keys
-from tarnlight.operators import communities, duplicates, evaluation, graph, ingest, layout, profiles, terrain, vector_search
+from tarnlight.operators import communities, duplicates, evaluation, graph, ingest, layout, profiles, terrain, text_index, vector_search
 from tarnlight.operators.components import components
-from tarnlight.operators.fulltext import bm25, phrases_of, postings, ranked
+from tarnlight.operators.fulltext import counts, phrases_of, postings, ranked, statistics, weighed
 from tarnlight.operators.fusion import EXTRA_CAP, EXTRA_LIST, MULTI_BOOST, STRONG, fused, global_depth
 from tarnlight.plans import mapping, retrieval
 from tarnlight.plans.mapping import MapOptions
 from tarnlight.shared import new_path
 from tarnlight.sources.files import chunked
-from tarnlight.sources.notes import notes, query_vector, table, vector_notes
+from tarnlight.sources.notes import all_notes, notes, query_vector, table, vector_notes
 
 QUERY = "the thatin of hehely and ononst"
 REWRITE = 3
 VARIANTS = ("thatin", "of the", "la que")
+#: What the full-text lists look for in the queries above, written out for the SQL.
+TOKENS, WHOLE, VARIANT_TERMS = [["the"], ["thatin"], ["of"], ["hehely"], ["and"], ["ononst"]], [["the", "thatin", "of", "hehely", "and", "ononst"]], [["thatin"], ["of", "the"], ["la", "que"]]
 VEC, TOP, THRESHOLD = 7, 20, 0.05
 DUP, KNN, POINT_SEED = 0.35, 10, 42
 SINCE = "2024-01-20 00:00:00"
@@ -282,7 +284,7 @@ def _bm25(source: str, phrases: list[list[str]]) -> str:
 def _text_list(name: str, weight: float, phrases: list[list[str]], kind: str) -> str:
     return f"""{name} AS (
   SELECT * FROM (SELECT '{name.replace("_", ":")}:' || lookup AS source_list, 'bm25' AS backend, '{kind}' AS query_type, {weight} AS weight, lookup, path, chunk, text, score,
-    row_number() OVER (PARTITION BY lookup ORDER BY score DESC, path, chunk) AS rank FROM {_bm25("vectors", phrases)}) WHERE rank <= 200
+    row_number() OVER (PARTITION BY lookup ORDER BY score DESC, path, chunk) AS rank FROM {_bm25("notes", phrases)}) WHERE rank <= 200
 )"""
 
 
@@ -293,7 +295,9 @@ def vec_topk_threshold_global_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked_bm25(spark: SparkSession, sf: str, queries: list[str], phrase: bool) -> DataFrame:
-    hits = ranked(bm25(notes(spark, sf).select("lookup", "path", "chunk", "text"), phrases_of(queries, phrase)), 100)
+    phrases = phrases_of(queries, phrase)
+    counted = counts(notes(spark, sf), phrases)
+    hits = ranked(weighed(counted, statistics(counted, len(phrases)), list(range(len(phrases)))), 100)
     return hits.select("lookup", "path", F.round("score", 10).alias("score"), "rank")
 
 
@@ -302,7 +306,7 @@ def _ranked_sql(phrases: list[list[str]]) -> str:
   SELECT *, row_number() OVER (PARTITION BY lookup ORDER BY score DESC, path, chunk) AS rank FROM {_bm25("notes", phrases)}) WHERE rank <= 100"""
 
 
-@query(_ranked_sql(phrases_of([QUERY], False)))
+@query(_ranked_sql(TOKENS))
 def bm25_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_bm25(spark, sf, [QUERY], False)
 
@@ -312,17 +316,29 @@ def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_bm25(spark, sf, ["Of the"], True)
 
 
-@query(_ranked_sql(phrases_of(list(VARIANTS), True)))
+@query(_ranked_sql(VARIANT_TERMS))
 def bm25_multi_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_bm25(spark, sf, list(VARIANTS), True)
 
 
+@query(_ranked_sql([*TOKENS, ["of", "the"]]))
+def text_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of older notes, brought up to all of them and read again from its files; then a search in it."""
+    chunks, folder = notes(spark, sf), new_path(spark, "text-index")
+    older = chunks.where("doc_id % 3 > 0").withColumn("hash", F.when(F.col("doc_id") % 3 == 1, F.lit("changed since")).otherwise(F.col("hash")))
+    text_index.write(text_index.updated(None, older), f"{folder}/1")
+    text_index.write(text_index.updated(text_index.read(spark, f"{folder}/1"), chunks), f"{folder}/2")
+    phrases = [*TOKENS, ["of", "the"]]
+    counted, stats = text_index.found(text_index.read(spark, f"{folder}/2"), phrases)
+    return ranked(weighed(counted, stats, list(range(len(phrases)))), 100).select("lookup", "path", F.round("score", 10).alias("score"), "rank")
+
+
 # Fusion
 
 LISTS = ["vec_original", "bm25_original", "bm25_phrase"]
 Q_LISTS = f"""{VECTORS}, {_vector_list("vec_original", 1.2, str(VEC), "original")},
-{_text_list("bm25_original", 1.1, phrases_of([QUERY], False), "original")}, {_text_list("bm25_phrase", 1.2, phrases_of([QUERY], True), "original")}"""
-PLUS_LISTS = f"""{Q_LISTS}, {_vector_list("vec_expanded", 0.7, str(REWRITE), "expanded")}, {_text_list("bm25_variants", 0.6, phrases_of(list(VARIANTS), True), "expanded")}"""
+{_text_list("bm25_original", 1.1, TOKENS, "original")}, {_text_list("bm25_phrase", 1.2, WHOLE, "original")}"""
+PLUS_LISTS = f"""{Q_LISTS}, {_vector_list("vec_expanded", 0.7, str(REWRITE), "expanded")}, {_text_list("bm25_variants", 0.6, VARIANT_TERMS, "expanded")}"""
 
 
 def _fused(lists: list[str]) -> str:
@@ -361,7 +377,7 @@ def _embed(spark: SparkSession, sf: str):
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.candidates(vector_notes(spark, sf), retrieval.plan_q(QUERY), _embed(spark, sf), 120, 200, THRESHOLD)
+    return retrieval.candidates(all_notes(spark, sf), retrieval.plan_q(QUERY), _embed(spark, sf), 120, 200, THRESHOLD)
 
 
 @query(f"WITH {Q_LISTS}, {_fused(LISTS)} SELECT lookup, path, round(rrf, 9) AS rrf, round(signal, 9) AS signal, round(normalized_rrf, 9) AS normalized_rrf, round(normalized_signal, 9) AS normalized_score_signal FROM fused")
@@ -385,11 +401,11 @@ FLAT = "SELECT lookup, path, round(score, 9) AS score, round(anchor, 9) AS ancho
 
 @query(f"WITH {Q_LISTS}, {_files(LISTS, TOP)} {FLAT}")
 def hybrid_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(retrieval.retrieve_q(vector_notes(spark, sf), QUERY, _embed(spark, sf), TOP, thresholds=THRESHOLD, vector_depth=120, text_depth=200).files)
+    return _flat(retrieval.retrieve_q(all_notes(spark, sf), QUERY, _embed(spark, sf), TOP, thresholds=THRESHOLD, vector_depth=120, text_depth=200).files)
 
 
 def _plus(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.retrieve_q_plus(vector_notes(spark, sf), QUERY, _embed(spark, sf), lambda _: "another wording", lambda _: ", ".join(VARIANTS), TOP, thresholds=THRESHOLD, vector_depth=120, text_depth=200).files
+    return retrieval.retrieve_q_plus(all_notes(spark, sf), QUERY, _embed(spark, sf), lambda _: "another wording", lambda _: ", ".join(VARIANTS), TOP, thresholds=THRESHOLD, vector_depth=120, text_depth=200).files
 
 
 PLUS = [*LISTS, "vec_expanded", "bm25_variants"]

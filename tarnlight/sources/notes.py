@@ -28,6 +28,12 @@ def vector_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).join(vectors, "doc_id")
 
 
+def all_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes, with a null embedding where they have no vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), doubles(F.col("embedding")).alias("embedding"))
+    return notes(spark, sf_dir).join(vectors, "doc_id", "left")
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     """One stored vector, by a filter that reaches the scan."""
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select(doubles(F.col("embedding")).alias("v")).first()

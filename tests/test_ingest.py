@@ -1,7 +1,7 @@
 import datetime as dt
 
 from tarnlight import cli
-from tarnlight.operators import ingest
+from tarnlight.operators import fulltext, ingest, text_index
 from tarnlight.sources import config, files
 from tarnlight.streaming.ingest import watch
 
@@ -58,6 +58,31 @@ def test_an_empty_scan_prunes_nothing(spark, tmp_path):
     assert store.chunks().count() == 0 and store.last_scan() == WHEN[2]
 
 
+def test_the_text_index_follows_the_chunks(spark, tmp_path):
+    """After additions, changes and prunes the index counts what a pass over the texts counts."""
+    notes, store = tmp_path / "notes", ingest.Store(spark, str(tmp_path / "store"))
+    assert store.text_index() is None and store.row_count() == 0 and not store.vectors_ready()
+    phrases = [["a1"], ["b2", "b3"], ["a1", "a1"], ["nowhere"]]
+    for step in range(3):
+        if step == 0:
+            for name in ("a.md", "b.md", "c.md"):
+                write(notes, name, 30)
+        elif step == 1:
+            (notes / "a.md").write_text("# a\n" + "a1 á1 A1, b2 b3 b2 b3 " + "x y " * 20, encoding="utf-8")
+            (notes / "c.md").unlink()
+        else:
+            write(notes, "d.md", 50)
+            (notes / "b.md").unlink()
+        run(spark, store, notes, WHEN[step])
+        counted, stats = text_index.found(store.text_index(), phrases)
+        want = fulltext.counts(store.chunks(), phrases)
+        rows = lambda df: sorted((*r[:4], tuple(r["f"])) for r in df.where("exists(f, x -> x > 0)").collect())
+        assert rows(counted) == rows(want)
+        assert [tuple(r) for r in stats.collect()] == [tuple(r) for r in fulltext.statistics(want, len(phrases)).select(*stats.columns).collect()]
+        assert {r["path"] for r in store.text_index()[1].select("path").distinct().collect()} == {r["path"] for r in store.chunks().collect()}
+    assert store.row_count() == store.chunks().count() and store.vectors_ready(2) and not store.vectors_ready(3)
+
+
 def test_modes():
     assert files.build_mode("full", True, WHEN[0]) == files.build_mode("delta", False, None) == files.build_mode("delta", True, None) == "full"
     assert files.build_mode("delta", True, WHEN[0]) == "delta"
@@ -96,4 +121,6 @@ def test_command_line_functions(spark, tmp_path):
     assert cli.run_index(spark, c, embed)[0]["created"] == 0
     rows = cli.run_query(spark, c, embed, "a1 a2", top=5)
     assert rows[0]["file"].endswith("a.md") and cli.shown(rows, "jsonl").count("\n") == 1 and cli.shown(rows, "text").startswith("1. ")
+    plus = cli.run_query(spark, c, embed, "a1 a2", top=5, chat=lambda prompt: "b1, b2" if "Keywords" in prompt else "other words")
+    assert {r["file"].rsplit("/", 1)[1] for r in plus} == {"a.md", "b.md"}
     assert cli.main(["query", "x", "-c", str(tmp_path / "none.json"), "--embedder", "json:loads"]) == 2
