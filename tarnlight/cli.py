@@ -8,6 +8,7 @@ import importlib
 import json
 import sys
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 
@@ -41,18 +42,20 @@ def chunks_of(spark: SparkSession, lookups: list[Lookup]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def run_index(spark: SparkSession, config: Config, embed: Callable, mode: str = "delta", allow_empty_prune: bool = False) -> list[dict]:
-    """Indexes each lookup; gives their summaries."""
-    out = []
-    for lookup in config.lookups:
+def run_index(spark: SparkSession, config: Config, embed: Callable, mode: str = "delta", allow_empty_prune: bool = False, workers: int = 4) -> list[dict]:
+    """Indexes the lookups, so many at once; gives their summaries in the configuration's order."""
+
+    def one(lookup: Lookup) -> list[dict]:
         started = dt.datetime.now(dt.timezone.utc)
         store = store_of(spark, lookup)
         files = scan(spark, lookup.dir, lookup.name_match)
         full = build_mode(mode, store.chunks() is not None, store.last_scan()) == "full"
         read = chunked(to_index(files, None if full else store.last_scan()), lookup.name, lookup.reader)
         matched = files.select(F.lit(lookup.name).alias("lookup"), "path")
-        out += [r.asDict() for r in ingest.index(store, matched, read, embed, started, allow_empty_prune).collect()]
-    return out
+        return [r.asDict() for r in ingest.index(store, matched, read, embed, started, allow_empty_prune).collect()]
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        return [row for rows in pool.map(one, config.lookups) for row in rows]
 
 
 def text_index_of(spark: SparkSession, lookups: list[Lookup]) -> tuple[DataFrame, DataFrame] | None:

@@ -143,3 +143,33 @@ def hard_pieces(text: Column, limit: int) -> Column:
     parts = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, (i - 1) * limit + 1, F.lit(limit)), ""))
     chars = F.regexp_extract_all(text, lit(rf"(?s).{{1,{limit}}}"), F.lit(0))
     return F.when(F.size(tokens) > 0, parts).otherwise(chars)
+
+
+def chunk_at(chunks: Column, at: Column) -> Column:
+    """A chunk of a list by its place from 0, or from the end for a negative one; null place: the first, out of range: null."""
+    i = F.coalesce(at, F.lit(0))
+    return F.try_element_at(chunks, F.when(i < 0, i).otherwise(i + 1).cast("int"))
+
+
+def index_text(title: Column, body: Column) -> Column:
+    """A note's title over its body without marks, or the one that there is."""
+    clean = strip_markdown(body)
+    has = title.isNotNull() & (title != "")
+    return F.when(has & (clean == ""), title).when(has, F.concat(title, lit("\n\n"), clean)).otherwise(clean)
+
+
+def concise_path(path: Column, folder: str) -> Column:
+    """An absolute path with slashes, without the folder if it lies there."""
+    slashes = F.translate(path, "\\", "/")
+    prefix = folder.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(slashes, lit(prefix)), F.substring(slashes, len(prefix) + 1, 2**31 - 1)).otherwise(slashes)
+
+
+def light_color(text: Column) -> Column:
+    """A light colour, #rrggbb, by a 32-bit polynomial hash of the UTF-16 units."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    number = lambda i: F.conv(F.substr(units, i * 4 + 1, lit(4)), 16, 10).cast("long")
+    at = F.when(F.length(units) > 0, F.sequence(lit(0), (F.length(units) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(at, lit(0).cast("long"), lambda s, i: (s * 31 + number(i)).bitwiseAND(lit(0xFFFFFFFF)))
+    part = lambda shift: F.lower(F.hex(F.shiftright(h, shift).bitwiseAND(lit(63)) + 192))
+    return F.concat(lit("#"), part(0), part(8), part(16))

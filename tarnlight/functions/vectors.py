@@ -46,3 +46,13 @@ def neighbour_keys(key: Column, bits: int = BUCKET_BITS) -> Column:
     """The key and those that differ from it in one bit."""
     flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: key.bitwiseXOR(F.pow(F.lit(2), i).cast("int")))
     return F.concat(F.array(key), flips)
+
+
+def parsed(text: Column) -> Column:
+    """A vector from its JSON; null for what is none."""
+    return F.from_json(text, "array<double>")
+
+
+def dumped(vector: Column) -> Column:
+    """A vector as JSON."""
+    return F.to_json(vector)

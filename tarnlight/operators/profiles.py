@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,30 +129,48 @@ def parsed_label(reply: str, words: list[str]) -> dict:
     return {"label": name, "subtitle": clean_label(found.get("subtitle") or "")[:60], "chips": chips[:3], "source": "llm"}
 
 
-def assigned_labels(profiles: list[dict], chat_fn: Callable[[dict, list[str]], str] | None = None, cache: Path | None = None, retries: int = 2) -> list[dict]:
-    """A label for each profile (keywords, signature), all distinct: from the cache, from chat_fn(profile, used labels), else a keyword."""
+def assigned_labels(profiles: list[dict], chat_fn: Callable[[dict, list[str]], str] | None = None, cache: Path | None = None, retries: int = 2, workers: int = 4) -> list[dict]:
+    """A label for each profile (keywords, signature), all distinct: from the cache, from chat_fn(profile, used labels), else a keyword.
+
+    First replies are asked for by so many workers at once, before any other
+    label than those of the cache is known; a label that was given meanwhile is
+    asked for again, in the order of the profiles.
+    """
     held: dict = {}
     if cache and cache.exists():
         try:
             held = json.loads(cache.read_text(encoding="utf-8"))
         except json.JSONDecodeError:
             held = {}
+    kept: dict[int, dict] = {}
     used: set[str] = set()
-    out: list[dict] = []
-    for number, p in enumerate(profiles, 1):
+    for i, p in enumerate(profiles):
         label = held.get(p["signature"])
-        if not label or label.get("source") != "llm" or label_key(label["label"]) in used:
-            label = None
-            for _ in range(1 + retries if chat_fn else 0):
-                try:
-                    made = parsed_label(chat_fn(p, sorted(used)), p["keywords"])
-                except Exception:  # a failed call is a failed try
-                    continue
-                if label_key(made["label"]) not in used:
-                    label = made
+        if label and label.get("source") == "llm" and label_key(label["label"]) not in used:
+            kept[i] = label
+            used.add(label_key(label["label"]))
+    known = sorted(used)
+
+    def asked(p: dict, taken: list[str]) -> dict | None:
+        try:
+            return parsed_label(chat_fn(p, taken), p["keywords"])
+        except Exception:  # a failed call is a failed try
+            return None
+
+    open_ = [i for i in range(len(profiles)) if i not in kept] if chat_fn else []
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        first = dict(zip(open_, pool.map(lambda i: asked(profiles[i], known), open_)))
+    out: list[dict] = []
+    for i, p in enumerate(profiles):
+        label = kept.get(i)
+        if label is None:
+            made = first.get(i)
+            for _ in range(retries if chat_fn else 0):
+                if made and label_key(made["label"]) not in used:
                     break
-            label = label or fallback_label(p["keywords"], number, used)
-        used.add(label_key(label["label"]))
+                made = asked(p, sorted(used))
+            label = made if made and label_key(made["label"]) not in used else fallback_label(p["keywords"], i + 1, used)
+            used.add(label_key(label["label"]))
         held[p["signature"]] = label
         out.append(label)
     if cache and profiles:

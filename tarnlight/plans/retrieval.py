@@ -250,3 +250,10 @@ def discuss(note: str, chat_fn: Chat, query: str = "") -> str:
         return ""
     about = f"\nThe reader asked: {query.strip()}\n" if query.strip() else ""
     return chat_fn(f"Discuss the main points of this note.{about}\n{note}")
+
+
+def extract_article(text: str, chat_fn: Chat) -> str:
+    """An article as Markdown bullet points, in groups by theme with an empty line between them (see extraction_groups()); none for a blank one."""
+    if not text.strip():
+        return ""
+    return chat_fn(f"Write the main points of this article as short Markdown bullet points. Put an empty line between groups of points on different themes.\n\n{text}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnlight.functions import patterns as P
 from tarnlight.functions import text as T
 from tarnlight.functions.chunking import journal_chunks, markdown_chunks, text_chunks
-from tarnlight.functions.vectors import bucket_key, doubles, neighbour_keys
+from tarnlight.functions.vectors import bucket_key, doubles, dumped, neighbour_keys, parsed
 from tarnlight.operators import communities, duplicates, evaluation, graph, ingest, layout, profiles, terrain, text_index, vector_search
 from tarnlight.operators.components import components
 from tarnlight.operators.fulltext import counts, phrases_of, postings, ranked, statistics, weighed
@@ -78,6 +78,33 @@ def extract_id_url(spark: SparkSession, sf: str) -> DataFrame:
     return notes(spark, sf).select("doc_id", T.path_id(path).alias("id"), T.note_url(path, F.lit("https://notes.example/")).alias("url"), T.note_url(path, F.lit(None).cast("string")).alias("file_url"))
 
 
+@query(r"""
+SELECT doc_id, list_extract(string_split(text, chr(10)), CASE WHEN doc_id % 7 < 3 THEN doc_id % 7 + 1 ELSE doc_id % 7 - 7 END) AS chunk FROM documents""")
+def chunk_at(spark: SparkSession, sf: str) -> DataFrame:
+    """A line of each document by its place, from the start or from the end."""
+    place = F.when(F.col("doc_id") % 7 < 3, F.col("doc_id") % 7).otherwise(F.col("doc_id") % 7 - 7)
+    return table(spark, sf, "documents").select("doc_id", T.chunk_at(F.split("text", "\n"), place).alias("chunk"))
+
+
+@query(f"WITH {NOTES} SELECT doc_id, CASE WHEN starts_with(path, '/notes/src1/') THEN path[13:] ELSE path END AS short FROM notes")
+def concise_path(spark: SparkSession, sf: str) -> DataFrame:
+    return notes(spark, sf).select("doc_id", T.concise_path(F.translate("path", "/", "\\"), "/notes/src1/").alias("short"))
+
+
+@query(r"""
+WITH h AS (SELECT source, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source, ''), lambda c: unicode(c)::BIGINT)), lambda s, c: (s * 31 + c) & 4294967295) AS h FROM (SELECT DISTINCT source FROM documents))
+SELECT source, '#' || lower(printf('%02x%02x%02x', (h & 63) + 192, ((h >> 8) & 63) + 192, ((h >> 16) & 63) + 192)) AS color FROM h""")
+def light_color(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("source").distinct().select("source", T.light_color(F.col("source")).alias("color"))
+
+
+@query("SELECT vec_id, CAST(embedding AS DOUBLE[])[1] AS first, len(embedding) AS dimensions FROM embeddings")
+def vector_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors to JSON and back."""
+    v = parsed(dumped(doubles(F.col("embedding"))))
+    return table(spark, sf, "embeddings").select("vec_id", v[0].alias("first"), F.size(v).alias("dimensions"))
+
+
 def _with_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("n_chars") > 2000, "evergreen").when(F.col("n_chars") > 800, "'growing'").when(F.col("n_chars") > 300, "Seed").otherwise("")
     head = F.concat(F.lit('---\ntitle: "Note '), F.col("doc_id").cast("string"), F.lit('"\nstatus: '), status, F.lit("\n---\n# Part of "), "source", F.lit("\n"))
@@ -739,11 +766,20 @@ def latency_percentile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH {NOTES}, t AS (SELECT *, len(regexp_extract_all(text, '{BUDGET}')) AS tokens, row_number() OVER (PARTITION BY lookup, hash ORDER BY path) AS n FROM notes)
-SELECT lookup, count(DISTINCT path) AS files, count(*) AS chunks, count(*) FILTER (WHERE tokens < 50) AS small, count(*) FILTER (WHERE tokens > 1000) AS oversized, count(*) FILTER (WHERE n > 1) AS duplicates FROM t GROUP BY lookup""")
+SELECT lookup, count(DISTINCT path) AS files, count(DISTINCT path) AS indexed, 0::BIGINT AS empty, count(*) AS chunks, count(*) FILTER (WHERE tokens < 50) AS small, count(*) FILTER (WHERE tokens > 1000) AS oversized, count(*) FILTER (WHERE n > 1) AS duplicates FROM t GROUP BY lookup""")
 def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.chunk_report(notes(spark, sf))
 
 
+@query(rf"""WITH {NOTES}, t AS (SELECT *, len(regexp_extract_all(text, '{BUDGET}')) AS tokens, row_number() OVER (PARTITION BY lookup, hash ORDER BY path) AS n FROM notes),
+bad AS (SELECT lookup, unnest(list_filter([CASE WHEN tokens < 50 THEN 'small' END, CASE WHEN tokens > 1000 THEN 'oversized' END, CASE WHEN n > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS issue, path, chunk, tokens FROM t),
+good AS (SELECT lookup, 'ok' AS issue, path, chunk, tokens, row_number() OVER (PARTITION BY lookup ORDER BY path) - 1 AS place, count(*) OVER (PARTITION BY lookup) AS n FROM t WHERE n = 1 AND tokens BETWEEN 50 AND 1000)
+SELECT lookup, issue, path, CAST(tokens AS INT) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY lookup, issue ORDER BY path) AS place FROM bad) WHERE place <= 5
+UNION ALL SELECT lookup, issue, path, CAST(tokens AS INT) FROM good WHERE n <= 5 OR place IN (0, n // 4, n // 2, n * 3 // 4, n - 1)""")
+def chunk_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.samples(notes(spark, sf)).select("lookup", "issue", "path", "tokens")
+
+
 @query(r"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def prompt_assembly(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
@@ -92,3 +93,10 @@ def selected_for_map(config: Config, given: str | None) -> list[Lookup]:
 def lookup_table(spark: SparkSession, lookups: list[Lookup]) -> DataFrame:
     schema = "lookup string, reader string, threshold double, url string, search_default boolean, dir string, name_match string"
     return spark.createDataFrame([(x.name, x.reader, x.threshold, x.url, x.search_default, x.dir, x.name_match) for x in lookups], schema)
+
+
+def health(path: str | Path) -> dict:
+    """That a configuration can be read, where it is and the digest of its bytes."""
+    data = Path(path).read_bytes()
+    parse_config(json.loads(data))
+    return {"status": "ok", "config": str(path), "configDigest": hashlib.sha256(data).hexdigest()}
