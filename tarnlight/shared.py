@@ -37,11 +37,21 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch in the steps that are written: whole texts go to Python, and the default of 10,000 of them takes much memory.
+BATCH_ROWS = 1_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage."""
+    """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage; in Arrow batches of BATCH_ROWS at most."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
