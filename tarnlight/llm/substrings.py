@@ -148,9 +148,8 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
     table = held_by_all(repeated, REPEATED, 17)
 
     def run(batches):
-        known = table and Known(table.value)
+        known, held = table and Known(table.value), []
         for batch in batches:
-            held = []
             for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
                 starts, ends, c = units(bounds, hashes, flags, min_words)
                 c = c.view(np.int64)
@@ -165,8 +164,8 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
                 if sum(len(x[0]) for x in held) > PACK_UNITS:
                     yield packed(held)
                     held = []
-            if held:
-                yield packed(held)
+        if held:
+            yield packed(held)
 
     def packed(held):
         c, keys, follows = (np.concatenate(x) for x in zip(*held))
@@ -273,12 +272,37 @@ def unit_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("text", "spans").mapInArrow(run, "id long, weight long, grams binary, bands binary")
 
 
+def sets_by_lookup(docs: DataFrame, wanted, repeated, min_words: int) -> DataFrame:
+    """As unit_sets() of unit_places(), in one pass, where every worker holds what is wanted and what repeats; a paragraph comes from each text of its first document."""
+
+    def run(batches):
+        ids, known = wanted.value.column("id").to_numpy(), Known(repeated.value)
+        for batch in batches:
+            for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
+                starts, ends, c = units(bounds, hashes, flags, min_words)
+                keep = np.flatnonzero(looked_up(ids, c.view(np.int64)) >= 0)
+                if len(keep):
+                    k = looked_up(known.c, c.view(np.int64)[keep])
+                    own = k < 0
+                    own[~own] = known.own(batch.column(0), first + np.searchsorted(bounds, starts[keep[~own]], side="right") - 1, k[~own])
+                    keep = keep[own]
+                if len(keep):
+                    keep = keep[np.unique(c[keep], return_index=True)[1]]
+                    keep.sort()
+                    columns = packed_sets([distinct(grams(hashes[a:b], N)) for a, b in zip(starts[keep], ends[keep])], unit_bands(hashes, starts[keep], ends[keep]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)[keep]), pa.array(np.zeros(len(keep), np.int64)), *columns], ["id", "weight", "grams", "bands"])
+
+    return rows_in(docs).mapInArrow(run, "id long, weight long, grams binary, bands binary")
+
+
 def near_units(docs: DataFrame, repeated: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """(c, label) of the paragraphs that are near others."""
     ways = ways_of(docs.sparkSession, BANDS)
     tiles = placed(met(packed_units(docs, repeated, min_words, ways), ways).withColumn("size", F.lit(2 * min_words)))
     wanted = written(tiles.select("id").distinct(), "wanted")
-    near = near_items(tiles, unit_sets(docs, unit_places(docs, wanted, min_words)), threshold)
+    held = held_by_all(wanted, ["id"], 8), held_by_all(repeated, REPEATED, 17)
+    sets = sets_by_lookup(docs, *held, min_words) if all(held) else unit_sets(docs, unit_places(docs, wanted, min_words))
+    near = near_items(tiles, sets, threshold)
     return clustered(near).select(F.col("id").alias("c"), "label")
 
 
