@@ -20,7 +20,7 @@ def brute(data: bytes) -> str:
 
 
 def test_digests_match_brute_force_and_take_awkward_rows(spark):
-    rows = [r for r in awkward() if r[0] != 6] + [(20, prose(300, 9), "en", "s", 1)]
+    rows = [*awkward(), (20, prose(300, 9), "en", "s", 1)]
     got = fp.with_digest(table(spark, rows, extra=True)).collect()
     want = Counter((r[0], None if r[1] is None else len(r[1].encode()), None if r[1] is None else brute(r[1].encode())) for r in rows)
     assert Counter(map(tuple, got)) == want
@@ -37,35 +37,53 @@ def test_difference_is_bounded_and_grows_with_edits(spark):
     assert all(got[i, j] == got[j, i] for i in range(4) for j in range(4))
 
 
-def test_neighbours_compare_each_digest_with_the_one_before(spark):
-    text = prose(200, 1)
-    got = {r["doc_id"]: r for r in fp.neighbours(fp.with_digest(table(spark, [(1, text, "", "", 1), (2, text, "", "", 1), (3, None, "", "", 1)]))).collect()}
-    assert (got[1]["prev_id"], got[2]["prev_id"], got[2]["diff_prev"], got[3]["prev_id"]) == (None, 1, 0, None)
+def linked(rows, raw, near=fp.NEAR):
+    """(doc_id, class_id, links) of rows (doc_id, n_bytes or None), raw having the bytes of their digests."""
+    label, links, pairs, table = list(range(len(rows))), [0] * len(rows), [], fp.body_table()
+    has = [k for k, r in enumerate(rows) if (r[1] or 0) >= fp.LEAST_BYTES]
+    for x, i in enumerate(has[:-1]):
+        rest = has[x + 1 :]
+        total = fp.score_of(np.broadcast_to(raw[i], (len(rest), 34)), raw[rest], table)
+        pairs += [(i, rest[j]) for j in np.flatnonzero(total <= near)]
+    for i, j in pairs:
+        links[i] += 1
+        links[j] += 1
+    for _ in rows:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    least = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[label[k]] = min(r[0], least.get(label[k], r[0]))
+    return [(r[0], least.get(label[k]), links[k]) for k, r in enumerate(rows)], pairs
+
+
+def checked(spark, df):
+    """The rows of fingerprinted(), equal to what all pairs give."""
+    rows = fp.with_digest(df).collect()
+    raw = np.array([list(bytes.fromhex(r["digest"] or "00" * 34)) for r in rows], np.uint8).reshape(-1, 34)
+    want, pairs = linked(rows, raw)
+    got = fp.fingerprinted(df).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["class_id"], r["links"]) for r in got))) == sorted(map(repr, want))
+    assert Counter(tuple(r)[:3] for r in got) == Counter(map(tuple, rows))
+    return rows, pairs
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rows, pairs = checked(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert len(pairs) > 100
+    assert any(rows[i]["digest"][:4] != rows[j]["digest"][:4] for i, j in pairs)  # headers that differ
+    found = 1 - (1 - (1 - fp.NEAR / 384) ** fp.BITS) ** fp.TABLES_OF_BITS
+    assert found > 0.999
+
+
+def test_links_of_awkward_rows(spark):
+    checked(spark, table(spark, [*awkward(), (30, "abcd", "en", "s", 4), (31, "abce", "en", "s", 4)], extra=True))
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)]])
 def test_tables_without_texts(spark, rows):
-    assert fp.neighbours(fp.with_digest(table(spark, rows))).count() == len(rows)
-
-
-def test_near_pairs_find_what_all_pairs_find(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1000)
-    digests = fp.with_digest(docs).cache()
-    rows = digests.where("digest is not null").select("doc_id", "digest").distinct().collect()
-    raw = np.array([list(bytes.fromhex(r["digest"])) for r in rows], np.uint8)
-    ids, score_table, want = np.array([r["doc_id"] for r in rows]), fp.body_table(), {}
-    for i in range(len(rows) - 1):
-        total = fp.score_of(np.broadcast_to(raw[i], raw[i + 1 :].shape), raw[i + 1 :], score_table)
-        for j in np.flatnonzero(total <= fp.NEAR):
-            want[tuple(sorted((int(ids[i]), int(ids[i + 1 + j]))))] = int(total[j])
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["diff"] for r in fp.near_pairs(digests).collect()}
-    assert got.items() <= want.items() and len(got) >= 0.98 * len(want)
-    by_id = {r["doc_id"]: r["digest"] for r in rows}
-    other_header = {p for p in want if by_id[p[0]][:4] != by_id[p[1]][:4]}
-    assert other_header and len(other_header & got.keys()) >= 0.95 * len(other_header)
-
-
-def test_near_pairs_take_awkward_rows(spark):
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["diff"] for r in fp.near_pairs(fp.with_digest(table(spark, awkward()))).collect()}
-    assert got[10, 11] == 0 and all(a is not None and a < b for a, b in got)
-    assert fp.near_pairs(fp.with_digest(table(spark, []))).count() == 0
+    assert fp.fingerprinted(table(spark, rows)).count() == len(rows)
