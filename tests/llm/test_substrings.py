@@ -85,6 +85,40 @@ def test_passages_cut_at_any_word_are_removed_whole(spark):
         assert want <= words and len(words - want) <= 2, k  # a word beside the passage may be the same by chance
 
 
+def test_equal_passages_against_all_pairs_of_places(spark):
+    """Of what an earlier place has too, all words of runs of over 50 are cut, and none outside of runs of 25."""
+    rng, vocabulary = random.Random(9), [prose(1, 9000 + k).strip(".") + str(k) for k in range(400)]
+    pool = [[rng.choice(vocabulary) for _ in range(rng.randint(26, 120))] for _ in range(6)]
+    texts = []
+    for _ in range(14):
+        parts = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 40))] for _ in range(3)]
+        for at in (1, 2):
+            source = rng.choice(pool)
+            begin = rng.randrange(len(source) // 3)
+            parts.insert(at, source[begin : rng.randint(len(source) * 2 // 3, len(source))])
+        texts.append([w for p in parts for w in p])
+    docs = table(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])
+    gone = [set() for _ in texts]
+    for r in s.repeated_spans(docs, s.MIN_WORDS, s.THRESHOLD).where("kept is null").collect():
+        gone[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    must, may = [set() for _ in texts], [set() for _ in texts]
+    for k, text in enumerate(texts):
+        for other in texts[: k + 1]:
+            run = [0] * (len(other) + 1)
+            for i, w in enumerate(text):
+                new = [0] * (len(other) + 1)
+                for j, x in enumerate(other[:i] if other is text else other):
+                    if w == x:
+                        new[j + 1] = run[j] + 1
+                        for least, words in ((2 * s.MIN_WORDS + 1, must), (s.MIN_WORDS, may)):
+                            if new[j + 1] >= least:
+                                words[k] |= set(range(i + 1 - new[j + 1], i + 1))
+                run = new
+    assert sum(map(len, must)) > 200
+    for k in range(len(texts)):
+        assert must[k] <= gone[k] <= may[k], k
+
+
 def test_seeds_lie_in_every_passage():
     hashes = np.random.default_rng(1).integers(0, 2**62, 2000, dtype=np.uint64)
     seeds = lambda h: s.seeds(np.array([0, len(h)]), h, s.MIN_WORDS)

@@ -55,6 +55,38 @@ def test_version_lines_inside_of_a_block_are_no_records():
     assert read(b"WARC/1.1\r\nbroken\r\n\r\n" + outer, False)[0] == [b"before " + inner + b" after"]
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_against_a_search_at_every_byte(zipped):
+    """What the reader finds is what trying each byte in turn finds."""
+
+    def brute(data):
+        reader = warc.Salvage(lambda at, n: data[at : at + n], len(data), zipped)
+        at, gap, out = 0, None, []
+        while at < len(data):
+            try:
+                found, total = reader.records(at)
+            except warc.Bad:
+                gap = at if gap is None else gap
+                at += 1
+                continue
+            if gap is not None:
+                out.append(("gap", gap, at - gap))
+                gap = None
+            out += [("record", at, total, block) for _, block in found]
+            at += total
+        return out + ([("gap", gap, at - gap)] if gap is not None else [])
+
+    rng, parts = random.Random(3), built(zipped)[:5]
+    for _ in range(12):
+        data = bytearray(b"".join(parts))
+        for _ in range(rng.randint(1, 3)):
+            at, size = rng.randrange(len(data)), rng.randint(1, 400)
+            harm = rng.choice(["cut", "zero", "insert"])
+            data[at : at + size] = b"" if harm == "cut" else bytes(min(size, len(data) - at)) if harm == "zero" else data[at : at + size] + b"WARC/1.0\r\nx"
+        got = [(k, start, length, *rest[1:]) if k == "record" else (k, start, length) for k, start, length, *rest in warc.Salvage(lambda at, n, data=bytes(data): data[at : at + n], len(data), zipped).run()]
+        assert got == brute(bytes(data))
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_headers_may_be_long(zipped):
     parts = [warc.record_bytes(f"urn:page:{i}", "http://x/" + "y" * n, b) for i, (n, b) in enumerate(zip((70_000, 10, 300_000, 5), BLOCKS))]
