@@ -3,7 +3,9 @@
 Equal passages are found by seeds, wherever they begin and end: runs of MIN_WORDS
 words, of which each window of MIN_WORDS + 2 has its least hash chosen, so that
 every passage of over 2 * MIN_WORDS words holds one. A seed that repeats is
-extended over all words beside it that the first occurrence has as well.
+extended over all words beside it that the first occurrence has as well. Where
+another earlier place has more of them, these have seeds of their own if they
+are over 2 * MIN_WORDS, else they stay.
 
 The unit of edited copies is a paragraph: at least MIN_WORDS words that end
 where a sentence or line does. One begins at each place where a sentence or line
