@@ -9,31 +9,41 @@ from tarnlight.llm.near_duplicates import keep_one
 from tarnlight.llm.packing import packed
 from tarnlight.llm.pii import pseudonymised
 from tarnlight.llm.substrings import deduplicated
-from tarnlight.shared import written
+from tarnlight.shared import ARROW_ROWS, BATCH_ROWS, written
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in most stages: Arrow batches of BATCH_ROWS rows from here on, in this session."""
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    small_batches(spark)
     return identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that another one has already."""
+    small_batches(spark)
     return deduplicated(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in the place of personal data."""
+    small_batches(spark)
     return pseudonymised(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of documents for training."""
+    small_batches(spark)
     return packed(docs)
 
 

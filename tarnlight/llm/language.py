@@ -313,7 +313,9 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str, list[s
 
 
 SPAN = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string()), ("p", pa.float64())])
-GROUP_WORDS = 200_000
+GROUP_WORDS = 50_000
+#: Rows whose texts are in Python at a time.
+SLICE = 500
 
 
 def label_texts(texts: list[str | None], unary: Unary) -> list[pa.Array]:
@@ -381,6 +383,12 @@ LABELS = ["lang", "n_words", "share", "letters", "confidence", "spans"]
 LABEL_TYPES = "lang string, n_words int, share double, letters double, confidence double, spans array<struct<start:int,length:int,lang:string,p:double>>"
 
 
+def sliced(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def labelled(docs: DataFrame, model: Model | None = None, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, lang, n_words, share, letters, confidence, spans) for each row of docs.
 
@@ -397,7 +405,7 @@ def labelled(docs: DataFrame, model: Model | None = None, per_language: int = SA
 
     def run(batches):
         unary = Unary(model)
-        for batch in batches:
+        for batch in sliced(batches):
             columns = label_texts(batch.column(1).to_pylist(), unary)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *LABELS])
 
@@ -426,7 +434,7 @@ def identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lett
 
     def run(batches):
         unary = Unary(model)
-        for batch in batches:
+        for batch in sliced(batches):
             lang, _, _, letters, confidence, _ = label_texts(batch.column(at).to_pylist(), unary)
             sure = letters.to_numpy(zero_copy_only=False) >= min_letters
             if len(model.languages) > 1:
