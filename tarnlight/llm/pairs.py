@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.shared import cut, written
+from tarnlight.operators.components import components
+from tarnlight.shared import written
 
 #: Bytes of sets and number of items of one block; a tile that has more is split into pairs of blocks.
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 1024
@@ -233,26 +234,8 @@ def near_items(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "id long, root long, links long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): label is the least id of the component; edges has (a, b).
-
-    Least-neighbour labels with pointer jumping, so the number of rounds grows
-    with the logarithm of a component's diameter. Each round is checkpointed.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        new = cut(low.join(up, "label", "left").select("id", F.least("label", "above").alias("label"), "was"))
-        if new.where("label <> was").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
-
 def clustered(near: DataFrame) -> DataFrame:
     """(id, label, links) from near_items(): label is the least id of the component, links are summed."""
     near = written(near, "near")
-    labels = components(near.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    labels = components(near.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "label")
     return labels.join(near.groupBy("id").agg(F.sum("links").alias("links")), "id")

@@ -93,7 +93,7 @@ def test_large_group_in_one_band(spark, monkeypatch, items):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101)], "a long, b long")
-    got = {r["id"]: r["label"] for r in p.components(edges).collect()}
+    got = {r["id"]: r["component"] for r in p.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
 
 
