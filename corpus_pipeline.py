@@ -9,7 +9,7 @@ from tarnlight.llm.near_duplicates import keep_one
 from tarnlight.llm.packing import packed
 from tarnlight.llm.pii import pseudonymised
 from tarnlight.llm.substrings import deduplicated
-from tarnlight.shared import ARROW_ROWS, BATCH_ROWS, written
+from tarnlight.shared import ARROW_ROWS, BATCH_ROWS, spread, written
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, each written as Parquet and read again; gives the windows of the last."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlight.llm.words import worker_state
+from tarnlight.shared import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -196,7 +197,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) ->
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op10_bpe": op10_bpe}

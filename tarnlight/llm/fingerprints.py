@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import clustered, partitions, rooted
-from tarnlight.shared import written
+from tarnlight.shared import spread, written
 
 BUCKETS = 128
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
@@ -261,7 +261,7 @@ def fingerprinted(docs: DataFrame, near: int = NEAR) -> DataFrame:
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fingerprinted() of all documents."""
-    return fingerprinted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprinted(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _listed(x) -> str:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.words import mixed, normal
+from tarnlight.llm.words import mixed, normal, trimmed
+from tarnlight.shared import spread
 
 SAMPLE_DOCS = 120
 TRAIN_WORDS = 60_000
@@ -410,7 +411,7 @@ def labelled(docs: DataFrame, model: Model | None = None, per_language: int = SA
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *LABELS])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {LABEL_TYPES}")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, {LABEL_TYPES}")
 
 
 def learned(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
@@ -442,12 +443,12 @@ def identified(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lett
             yield batch.filter(pa.array(sure & lang.is_valid().to_numpy(zero_copy_only=False)))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the names are
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(trimmed(run), plain.schema).toDF(*docs.columns)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled() of all documents."""
-    return labelled(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return labelled(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op6_language": op6_language}

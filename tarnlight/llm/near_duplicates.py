@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
-from tarnlight.llm.words import bands_for, bands_of, block_grams, distinct, word_blocks
-from tarnlight.shared import written
+from tarnlight.llm.words import bands_for, bands_of, block_grams, distinct, trimmed, word_blocks
+from tarnlight.shared import spread, written
 
 N = 3
 THRESHOLD = 0.5
@@ -62,7 +62,7 @@ def signed(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) ->
 
     kind = dict(docs.dtypes)["doc_id"]
     rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    return rows_in.mapInArrow(run, f"doc_id {kind}, version long, cls binary, id long, size long, bands binary")
+    return rows_in.mapInArrow(trimmed(run), f"doc_id {kind}, version long, cls binary, id long, size long, bands binary")
 
 
 def linked(docs: DataFrame, n: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +76,7 @@ def linked(docs: DataFrame, n: int, threshold: float, bands: int, rows: int) ->
             if batch.num_rows:
                 yield packed_bands(batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, bands), ways)
 
-    found = met(worded.select("id", "bands").mapInArrow(pack, PACKED), ways)
+    found = met(worded.select("id", "bands").mapInArrow(trimmed(pack), PACKED), ways)
     classes = worded.groupBy("id").agg(F.min(F.struct("doc_id", "version")).alias("at"), F.count("*").alias("weight"), F.max("size").alias("size"))
     tiles = placed(found.join(classes.select("id", "size"), "id"))
     wanted = classes.join(tiles.select("id").distinct(), "id").select(F.col("at.doc_id").alias("w_id"), F.col("at.version").alias("w_version"), "id", "weight")
@@ -97,7 +97,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int, bands: int, rows: int
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
     side = F.broadcast(wanted) if light(wanted, F.lit(48)) else wanted.hint("shuffle_hash")
     joined = texts.join(side, F.expr("w_id <=> doc_id and w_version = version"))
-    return joined.select("id", "weight", "text").mapInArrow(run, "id long, weight long, grams binary, bands binary")
+    return joined.select("id", "weight", "text").mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: i
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 OP7_SQL = f"""

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.shared import spread
+
 CAPACITY = 2048
 SHARD_WORDS = 400_000
 WORD = re.compile(r"\S+")
@@ -132,7 +134,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_words: int = SHARD_W
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op9_pack": op9_pack}

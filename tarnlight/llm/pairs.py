@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.llm.words import trimmed
 from tarnlight.operators.components import components
 from tarnlight.shared import written
 
@@ -231,7 +232,7 @@ def near_items(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     n = 2 * partitions(sets.sparkSession)
     rows = sets.join(F.broadcast(tiles) if light(tiles, F.lit(48)) else tiles, "id").select(*TILES, "weight", "grams", "bands")
-    return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "id long, root long, links long")
+    return rows.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(trimmed(run), "id long, root long, links long")
 
 
 def clustered(near: DataFrame) -> DataFrame:

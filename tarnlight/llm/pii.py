@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import light
-from tarnlight.shared import cut, written
+from tarnlight.shared import cut, spread, written
 
 KEY = "tarnlight-demonstration-key"
 
@@ -434,7 +434,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pseudonymised() documents, all of them."""
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymised(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op2_pii": op2_pii}

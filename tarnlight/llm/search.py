@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.shared import written
+from tarnlight.shared import spread, written
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -242,7 +242,7 @@ def _search_batch(spark: SparkSession, shards: DataFrame, wanted: list[tuple], k
 
 
 def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(index(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return search(index(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP3_SQL = f"""

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
-from tarnlight.llm.words import ENDS, LINE, MULT, TITLE, bands_for, bands_of, distinct, grams, long_powers, mixed, slices, word_blocks, words_of
-from tarnlight.shared import written
+from tarnlight.llm.words import ENDS, LINE, MULT, TITLE, bands_for, bands_of, distinct, grams, long_powers, mixed, slices, trimmed, word_blocks, words_of
+from tarnlight.shared import spread, written
 
 MIN_WORDS, BESIDE = 25, 12
 N = 3
@@ -42,7 +42,7 @@ BANDS = bands_for(THRESHOLD, ROWS, RECALL)
 SEED = 4
 #: Bytes of hashes that every worker may hold to look up those of its texts; beyond, texts and hashes are joined.
 LOOKUP_BYTES = 32 << 20
-PACK_UNITS = 30_000
+PACK_UNITS = 12_000
 REPEATED = ["c", "first_id", "nulls"]
 SPAN, LEFT, RIGHT, FIRST, NEAR = range(5)
 
@@ -142,7 +142,7 @@ def marks(docs: DataFrame, min_words: int) -> DataFrame:
             if cs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cs)), batch.column(0).take(pa.array(np.concatenate(owners)))], ["c", "doc_id"])
 
-    return rows_in(docs).mapInArrow(run, f"c long, doc_id {dict(docs.dtypes)['doc_id']}")
+    return rows_in(docs).mapInArrow(trimmed(run), f"c long, doc_id {dict(docs.dtypes)['doc_id']}")
 
 
 def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int) -> DataFrame:
@@ -173,7 +173,7 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
         c, keys, follows = (np.concatenate(x) for x in zip(*held))
         return packed_bands(c, keys, ways, follows)
 
-    return rows_in(docs).mapInArrow(run, PACKED)
+    return rows_in(docs).mapInArrow(trimmed(run), PACKED)
 
 
 def followed(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -243,7 +243,7 @@ def unit_places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(at), batch.column(2).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "doc_id", "version", "start", "end"])
 
-    found = rows_in(docs).mapInArrow(run, f"id long, doc_id {dict(docs.dtypes)['doc_id']}, version long, start int, end int")
+    found = rows_in(docs).mapInArrow(trimmed(run), f"id long, doc_id {dict(docs.dtypes)['doc_id']}, version long, start int, end int")
     if not table:
         found = found.join(wanted, "id")
     return found.groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
@@ -271,7 +271,7 @@ def unit_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     spans = written(spans, "unit-spans")
     side = F.broadcast(spans) if light(spans, "64 + 40 * size(spans)") else spans.hint("shuffle_hash")
     joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
-    return joined.select("text", "spans").mapInArrow(run, "id long, weight long, grams binary, bands binary")
+    return joined.select("text", "spans").mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary")
 
 
 def sets_by_lookup(docs: DataFrame, wanted, repeated, min_words: int) -> DataFrame:
@@ -294,7 +294,7 @@ def sets_by_lookup(docs: DataFrame, wanted, repeated, min_words: int) -> DataFra
                     columns = packed_sets([distinct(grams(hashes[a:b], N)) for a, b in zip(starts[keep], ends[keep])], unit_bands(hashes, starts[keep], ends[keep]))
                     yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)[keep]), pa.array(np.zeros(len(keep), np.int64)), *columns], ["id", "weight", "grams", "bands"])
 
-    return rows_in(docs).mapInArrow(run, "id long, weight long, grams binary, bands binary")
+    return rows_in(docs).mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary")
 
 
 def near_units(docs: DataFrame, repeated: DataFrame, min_words: int, threshold: float) -> DataFrame:
@@ -383,7 +383,7 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
                 own[own] = known.own(batch.column(0), owner[own], k[own])
                 yield of_texts(batch, (owner, start, end, unit, c, own, label_of.take(pa.array(j, mask=j < 0))))
 
-        return rows_in(docs).mapInArrow(run, HITS.format(kind=kind))
+        return rows_in(docs).mapInArrow(trimmed(run), HITS.format(kind=kind))
 
     def every(batches):
         for batch in batches:
@@ -401,12 +401,12 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
             start, end, c, own = (column(x).to_numpy(zero_copy_only=False) for x in ("start", "end", "c", "own"))
             yield of_texts(batch, (np.repeat(np.arange(len(lists)), sizes), start.astype(np.int64), end.astype(np.int64), column("unit").to_numpy(zero_copy_only=False), c, own, column("label")))
 
-    rows = rows_in(docs).mapInArrow(every, f"c long, doc_id {kind}, version long, start int, end int, unit boolean")
+    rows = rows_in(docs).mapInArrow(trimmed(every), f"c long, doc_id {kind}, version long, start int, end int, unit boolean")
     keys = repeated.join(near, "c", "full")
     own = F.when(F.col("nulls"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
     found = rows.join(keys, "c").select("doc_id", "version", F.struct("start", "end", "unit", "c", F.coalesce(own, F.lit(False)).alias("own"), "label").alias("hit"))
     lists = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
-    return lists.select("doc_id", F.lit(0).alias("none"), "version", "hits").mapInArrow(gathered, HITS.format(kind=kind))
+    return lists.select("doc_id", F.lit(0).alias("none"), "version", "hits").mapInArrow(trimmed(gathered), HITS.format(kind=kind))
 
 
 def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
@@ -434,7 +434,7 @@ def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
     side = F.broadcast(lists) if light(lists, "64 + 8 * size(places)") else lists.hint("shuffle_hash")
     joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
     # rows that stand twice have the same words
-    return joined.select("doc_id", "text", "version", "places").mapInArrow(run, f"doc_id {kind}, version long, place long, words binary").dropDuplicates(["doc_id", "version", "place"])
+    return joined.select("doc_id", "text", "version", "places").mapInArrow(trimmed(run), f"doc_id {kind}, version long, place long, words binary").dropDuplicates(["doc_id", "version", "place"])
 
 
 def extended(docs: DataFrame, found: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
@@ -543,7 +543,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the passages that an earlier place has already: deduplicated() on the whole table."""
-    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return deduplicated(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES = {"op4_substrings": op4_substrings}

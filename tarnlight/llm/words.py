@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SPACE = re.compile(r"\s")
@@ -16,7 +18,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 INVERSE = np.uint64(pow(int(MULT), -1, 2**64))
 ENDS, TITLE, LINE = 1, 2, 4
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 
 
 def worker_state(key, build):
@@ -27,6 +29,20 @@ def worker_state(key, build):
     return held[key]
 
 
+def trimmed(run):
+    """run for mapInArrow, after which the worker gives back what memory it has freed: workers are reused, and idle ones keep theirs."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def normal(word: str) -> str:
     """Lower case without punctuation at its ends; a word of punctuation alone stays as it is."""
     low = word.lower()
