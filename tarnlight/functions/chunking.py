@@ -29,7 +29,8 @@ HEADING_MARK = re.compile(patterns.HEADING_MARK, re.A)
 
 
 def count_tokens(text: str | None) -> int:
-    return sum(1 for _ in TOKEN.finditer(text)) if text else 0
+    """Tokens of the budget; none crosses a line feed, so that those of parts between line feeds add up."""
+    return sum(len(TOKEN.findall(line)) for line in text.split("\n")) if text else 0
 
 
 def strip_markdown(text: str | None, keep_headings: bool = False, compact: bool = True) -> str:
@@ -301,26 +302,29 @@ def split_text_section(section: str, limit: int) -> list[str]:
 
 
 def text_body(text: str, limit: int, repeated: str) -> list[str]:
-    def room(chunk: str) -> int:
-        return limit if not repeated or chunk.startswith(repeated) else max(limit - count_tokens(repeated), 1)
+    shorter = max(limit - count_tokens(repeated), 1)
+
+    def room(first: str) -> int:
+        return limit if not repeated or first.startswith(repeated) else shorter
 
     sections = text_sections(text)
     if len(sections) < 2:
         return split_text_section(sections[0], room(sections[0])) if sections else []
     out: list[str] = []
     held: list[str] = []
+    tokens = 0  # of the sections held
     for section in sections:
-        if count_tokens(section) > room(section):
+        n = count_tokens(section)
+        if n > room(section):
             out += ["\n\n".join(held)] if held else []
-            held = []
+            held, tokens = [], 0
             out += split_text_section(section, room(section))
-            continue
-        both = "\n\n".join([*held, section])
-        if held and count_tokens(both) > room(both):
+        elif held and tokens + n > room(held[0]):
             out.append("\n\n".join(held))
-            held = [section]
+            held, tokens = [section], n
         else:
             held.append(section)
+            tokens += n
     out += ["\n\n".join(held)] if held else []
     return drop_small_tail(out, limit)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.operators.components import components
-from tarnlight.operators.vector_search import all_pairs
+from tarnlight.operators import vector_search
 
 MUTUAL_FACTOR, LEAST_WEIGHT = 1.15, 0.05
 
@@ -21,7 +21,7 @@ def vector_stats(vectors: DataFrame) -> DataFrame:
 
 def knn(vectors: DataFrame, k: int) -> DataFrame:
     """(source, target, sim, rank): the k nearest of each id by cosine, within [0, 1]."""
-    found = all_pairs(vectors, k=k)
+    found = vector_search.neighbours(vectors, k)
     return found.select(F.col("id").alias("source"), F.col("other").alias("target"), F.least(F.greatest("sim", F.lit(0.0)), F.lit(1.0)).alias("sim"), "rank")
 
 

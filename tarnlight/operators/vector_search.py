@@ -1,7 +1,9 @@
-"""Exact nearest neighbours by cosine."""
+"""Nearest neighbours by cosine: exact, or by the cells of an inverted file."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -94,3 +96,110 @@ def all_pairs(vectors: DataFrame, k: int | None = None, threshold: float | None
         return found
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Vectors that cells are fitted on, queries that their probes are counted by, and the part of the true neighbours that these must find.
+SAMPLE, QUERIES, RECALL = 20_000, 256, 0.95
+#: Up to so many vectors all pairs of blocks are multiplied; beyond, those of cells.
+EXACT_ROWS = 200_000
+
+
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    m = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+@dataclass
+class Cells:
+    """Centroids of an inverted file and how many cells a query looks in."""
+
+    centroids: np.ndarray
+    probes: int
+
+    def nearest(self, m: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(m @ self.centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def fitted(vectors: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL) -> Cells:
+    """Cells by spherical k-means on at most sample vectors, the first by a hash of their id.
+
+    There are about as many cells as the root of the number of vectors. probes is
+    the least number of cells in which QUERIES of the sample find the part recall
+    of their k nearest in the sample.
+    """
+    n = vectors.count()
+    m = unit_rows(vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow().column(0))
+    count = max(1, min(int(n**0.5), len(m) // 4))
+    centroids = m[np.linspace(0, max(0, len(m) - 1), count).astype(int)] if len(m) else np.zeros((1, 1))
+    for _ in range(10):
+        if not len(m):
+            break
+        home = (m @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, home, m)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centroids = np.where(norm > 0, np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0), centroids)
+    cells = Cells(centroids, count)
+    asked = m[:QUERIES]
+    sims = asked @ m.T
+    np.fill_diagonal(sims, -np.inf)
+    true = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, max(1, len(m) - 1))]
+    home, order = (m @ centroids.T).argmax(axis=1), cells.nearest(asked, count)
+    place = np.argsort(order, axis=1)  # of each cell in each query's order
+    found = np.sort(np.take_along_axis(place, home[true], axis=1).ravel())
+    if len(found):
+        cells.probes = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
+    return cells
+
+
+def by_cells(vectors: DataFrame, k: int, cells: Cells) -> DataFrame:
+    """(id, other, sim, rank) as all_pairs(k=k), from the cells that each vector probes; every vector lies in one.
+
+    A cell of more than BLOCK vectors, or one that more probe, is split into
+    blocks, so that no task holds more than two.
+    """
+    kind = dict(vectors.dtypes)["id"]
+    held = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def placed(probes: int):
+        def run(batches):
+            for batch in batches:
+                m = unit_rows(batch.column(1))
+                at = held.value.nearest(m, probes)
+                own = pa.array(np.repeat(np.arange(len(m)), at.shape[1]))
+                vecs = pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), batch.column(0).take(own), vecs.take(own)], ["cell", "id", "v"])
+
+        return vectors.select("id", "embedding").mapInArrow(run, f"cell int, id {kind}, v binary")
+
+    base, asked = written(placed(1), "cells"), written(placed(cells.probes), "probes")
+    sizes = [t.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)) for t, name in ((base, "m"), (asked, "n"))]
+    blocks_of = F.broadcast(written(sizes[0].join(sizes[1], "cell"), "cell-blocks"))  # a row a cell
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.join(blocks_of, "cell").select("cell", own("m").alias("x"), every("n").alias("y"), "id", "v")
+    right = asked.join(blocks_of, "cell").select("cell", every("m").alias("x"), own("n").alias("y"), "id", "v")
+
+    def best(key, theirs, mine):
+        ids, others = np.array(mine.column("id").to_pylist(), object), np.array(theirs.column("id").to_pylist(), object)
+        if not len(ids) or not len(others):
+            return pa.table({"id": mine.column("id").slice(0, 0), "other": theirs.column("id").slice(0, 0), "sim": pa.array([], pa.float64())})
+        a, b = (np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1) for t in (mine, theirs))
+        order = np.argsort(others, kind="stable")
+        sims = np.round(a @ b[order].T, 12)
+        sims[ids[:, None] == others[order]] = -np.inf
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows, s = np.repeat(np.arange(len(ids)), top.shape[1]), np.take_along_axis(sims, top, axis=1).ravel()
+        ok = np.isfinite(s)
+        kinds = mine.schema.field("id").type
+        return pa.table({"id": pa.array(ids[rows[ok]], kinds), "other": pa.array(others[order][top.ravel()[ok]], kinds), "sim": s[ok]})
+
+    found = left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInArrow(best, f"id {kind}, other {kind}, sim double")
+    w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def neighbours(vectors: DataFrame, k: int, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """The k nearest of each vector: of all up to exact_rows vectors, beyond that by cells, which find RECALL of them."""
+    return all_pairs(vectors, k=k) if vectors.count() <= exact_rows else by_cells(vectors, k, fitted(vectors, k))

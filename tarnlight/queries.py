@@ -19,7 +19,7 @@ from tarnlight.operators.fulltext import counts, phrases_of, postings, ranked, s
 from tarnlight.operators.fusion import EXTRA_CAP, EXTRA_LIST, MULTI_BOOST, STRONG, fused, global_depth
 from tarnlight.plans import mapping, retrieval
 from tarnlight.plans.mapping import MapOptions
-from tarnlight.shared import new_path
+from tarnlight.shared import new_path, spread
 from tarnlight.sources.files import chunked
 from tarnlight.sources.notes import all_notes, notes, query_vector, table, vector_notes
 
@@ -156,7 +156,7 @@ def _chunks_by(docs: DataFrame, split) -> DataFrame:
     def parts(texts: pd.Series) -> pd.Series:
         return pd.Series([split(t) for t in texts], dtype=object)
 
-    return docs.select("doc_id", F.posexplode(parts("text")).alias("chunk", "text"))
+    return spread(docs).select("doc_id", F.posexplode(parts("text")).alias("chunk", "text"))
 
 
 @query()
@@ -323,7 +323,7 @@ def vec_topk_threshold_global_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked_bm25(spark: SparkSession, sf: str, queries: list[str], phrase: bool) -> DataFrame:
     phrases = phrases_of(queries, phrase)
-    counted = counts(notes(spark, sf), phrases)
+    counted = counts(spread(notes(spark, sf)), phrases)
     hits = ranked(weighed(counted, statistics(counted, len(phrases)), list(range(len(phrases)))), 100)
     return hits.select("lookup", "path", F.round("score", 10).alias("score"), "rank")
 

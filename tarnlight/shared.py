@@ -37,6 +37,15 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with its rows spread over all cores where it has no more partitions than these, so for small tables, whose file may be one row group; else as it is.
+
+    For steps whose work on a row costs far more than its way through a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 #: Rows of an Arrow batch in the steps that are written: whole texts go to Python, and the default of 10,000 of them takes much memory.
 BATCH_ROWS = 1_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions.text import content_hash
 from tarnlight.functions.vectors import doubles
+from tarnlight.shared import spread
 
 CHUNKS = "lookup string, path string, chunk int, hash string, embedding array<double>, bucket int, text string"
 
@@ -31,7 +32,7 @@ def vector_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All notes, with a null embedding where they have no vector."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), doubles(F.col("embedding")).alias("embedding"))
-    return notes(spark, sf_dir).join(vectors, "doc_id", "left")
+    return spread(notes(spark, sf_dir)).join(vectors, "doc_id", "left")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
