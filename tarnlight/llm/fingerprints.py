@@ -13,13 +13,16 @@ word 3-gram Jaccard of 0.5 or more, of those from 24 to 31 23 %, of those from
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.pairs import clustered, partitions, rooted
+from tarnlight.llm.pairs import clustered, rooted, ways_of
+from tarnlight.llm.words import MULT, mixed, trimmed
 from tarnlight.shared import spread, written
 
 BUCKETS = 128
@@ -30,6 +33,10 @@ NEAR = 24
 TABLES_OF_BITS, BITS = 32, 24
 LEAST_BYTES = 5
 PAIR_BLOCK = 500_000
+#: Rows of a run that are compared at once, with so many others; words of the bits that are compared for all of them.
+BLOCK_ROWS, BLOCK_COLUMNS, DENSE = 64, 4096, 4
+SCORED = 1 << 15
+PACKED_ROWS = 12_000
 
 
 def byte_table(k: int) -> list[int]:
@@ -148,94 +155,170 @@ def planes(raw: np.ndarray) -> np.ndarray:
     return np.c_[hi << np.uint64(1) | hi | lo, three[:, :2] << np.uint64(1) | three[:, 2:]]
 
 
+@cache
 def samples() -> np.ndarray:
     """(TABLES_OF_BITS, BITS) places of bits in planes(), drawn once and for all."""
     rng = np.random.Generator(np.random.PCG64(11))
     return np.stack([rng.choice(3 * BUCKETS, BITS, replace=False) for _ in range(TABLES_OF_BITS)])
 
 
-def bit_bands(raw: np.ndarray) -> np.ndarray:
-    """(n, TABLES_OF_BITS) keys: the bits of each sample with its number."""
-    bits, at = np.unpackbits(planes(raw).view(np.uint8), axis=1), samples()
-    keys = np.zeros((len(raw), TABLES_OF_BITS), np.int64)
+def bit_bands(raw: np.ndarray, chosen: slice = slice(None)) -> np.ndarray:
+    """(n, TABLES_OF_BITS) keys: the bits of each sample, or of those chosen, with its number."""
+    bits, at = np.unpackbits(planes(raw).view(np.uint8), axis=1), samples()[chosen]
+    keys = np.zeros((len(raw), len(at)), np.int64)
     for k in range(BITS):
         keys |= bits[:, at[:, k]].astype(np.int64) << k
-    return keys | np.arange(TABLES_OF_BITS) << BITS
+    return keys | np.arange(TABLES_OF_BITS)[chosen] << BITS
+
+
+class Pairs:
+    """Pairs that wait until there are enough for a step."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.parts.append((i, j))
+            self.size += len(i)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2
+        self.parts, self.size = [], 0
+        return i, j
+
+
+class Near:
+    """Links of rows of a sample that are sorted by its bits and their length code, and labels of what they join."""
+
+    def __init__(self, sample: int, rows: np.ndarray, weights: np.ndarray, near: int):
+        self.sample, self.rows, self.weights, self.near = sample, rows, weights, near
+        self.words = np.ascontiguousarray(planes(rows).T)
+        self.head = np.stack([rows[:, 0], rows[:, 1] >> 4, rows[:, 1] & 15]).astype(np.int16)
+        self.links, self.label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        self.keys, self.known = np.zeros((0, TABLES_OF_BITS), np.int32), np.zeros(len(rows), bool)
+        self.maybe, self.held = Pairs(), Pairs()
+
+    def compare(self, ends: np.ndarray) -> None:
+        """Each row with those after it up to ends, which ascend: in blocks, by most words of the bits first."""
+        n = len(ends)
+        for a in range(0, n, BLOCK_ROWS):
+            b = min(a + BLOCK_ROWS, n)
+            for c in range(a + 1, int(ends[b - 1]), BLOCK_COLUMNS):
+                d = min(c + BLOCK_COLUMNS, int(ends[b - 1]))
+                body = np.zeros((b - a, d - c), np.uint16)
+                for w in self.words[:DENSE]:
+                    body += np.bitwise_count(w[a:b, None] ^ w[c:d])
+                i, j = np.divmod(np.flatnonzero(body <= self.near), d - c)
+                i, j = i + a, j + c
+                ok = (i < j) & (j < ends[i])
+                self.maybe.add(i[ok], j[ok])
+                if self.maybe.size > SCORED:
+                    self.score_all()
+        self.score_all()
+        self.join(*self.held.taken())
+
+    def score_all(self) -> None:
+        i, j = self.maybe.taken()
+        for k in range(0, len(i), SCORED):
+            self.score(i[k : k + SCORED], j[k : k + SCORED])
+
+    def score(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Counts the pairs i, j whose score is near or less and that share no earlier sample."""
+        differ = [w[i] ^ w[j] for w in self.words]
+        total = np.zeros(len(i), np.int64)
+        for x in differ:
+            total += np.bitwise_count(x)
+        low = np.uint64(0x5555555555555555)
+        for c in range(4):  # codes 0 and 3: their bits of 1 and of 3 differ
+            threes = differ[4 + c % 2] >> np.uint64(c < 2)
+            total += 3 * np.bitwise_count(differ[c] & threes & low).astype(np.int64)
+        for h in self.head:
+            d = np.abs(h[i] - h[j])
+            total += np.where(d <= 1, d, (d - 1) * 12)
+        i, j = i[total <= self.near], j[total <= self.near]
+        if not len(i):
+            return
+        if not len(self.keys):
+            self.keys = np.zeros((len(self.rows), TABLES_OF_BITS), np.int32)
+        need = np.concatenate((i, j))
+        need = np.unique(need[~self.known[need]])
+        if len(need):
+            self.keys[need] = bit_bands(self.rows[need])
+            self.known[need] = True
+        new = (self.keys[i] == self.keys[j]).argmax(axis=1) == self.sample
+        i, j = i[new], j[new]
+        np.add.at(self.links, i, self.weights[j])
+        np.add.at(self.links, j, self.weights[i])
+        p, q = self.label[i], self.label[j]
+        self.held.add(p[p != q], q[p != q])
+        if self.held.size > PAIR_BLOCK:
+            self.join(*self.held.taken())
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Joins the labels p, q of pairs."""
+        if len(p):
+            self.label = rooted(p, q, len(self.label))[self.label]
 
 
 def near_digests(classes: DataFrame, near: int = NEAR) -> DataFrame:
-    """(id, root, links) of the digests (digest binary, weight) that have others within the score near, for pairs.clustered().
+    """(id, root, links) of the digests (id long, digest binary, weight) that have others within the score near, for pairs.clustered().
 
     Candidates are the digests that share one of TABLES_OF_BITS samples of BITS
     body bits and whose length codes are no further apart than the score allows;
     all are scored, whatever their header and order. Those of d body points are
     found with probability 1 - (1 - (1 - d / 384)**BITS)**TABLES_OF_BITS: 0.9995
     at 24. A pair counts at the first sample that it shares; links are sums of
-    weights, and pairs are never rows.
+    weights, and pairs are never rows, nor are all of a run held at once.
     """
     reach = 1 + near // 12  # of length codes
+    ways = ways_of(classes.sparkSession, TABLES_OF_BITS)
 
     def banded(batches):
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if batch.num_rows:
-                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 34)
-                owner = pa.array(np.repeat(np.arange(len(raw)), TABLES_OF_BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(bit_bands(raw).ravel()), *(c.take(owner) for c in batch.columns)], ["band", "digest", "weight"])
-
-    def scored(batches):
-        table, at = body_table(), samples()
-        chosen = np.zeros((TABLES_OF_BITS, 3 * BUCKETS), np.uint8)
-        np.put_along_axis(chosen, at, 1, axis=1)
-        masks = np.packbits(chosen, axis=1).view(np.uint64)
-        bands, rows, weights = np.zeros(0, np.int64), np.zeros((0, 34), np.uint8), np.zeros(0, np.int64)
-
-        def close(bands, rows, weights):
-            order = bands * 256 + rows[:, 0]  # ascends: sorted by band, then digest
-            words = planes(rows)
-            n = len(bands)
-            ends = np.searchsorted(order, np.minimum(order + reach, bands * 256 + 255), side="right")
-            done = np.r_[0, np.cumsum(ends - np.arange(n) - 1)]
-            links, pairs = np.zeros(n, np.int64), []
-            for begin in range(0, int(done[-1]), PAIR_BLOCK):
-                k = np.arange(begin, min(begin + PAIR_BLOCK, int(done[-1])))
-                i = np.searchsorted(done, k, side="right") - 1
-                j = i + 1 + k - done[i]
-                body = np.zeros(len(k), np.int64)
-                for c in range(words.shape[1]):
-                    body += np.bitwise_count(words[i, c] ^ words[j, c])
-                i, j = i[body <= near], j[body <= near]
-                new = score_of(rows[i], rows[j], table) <= near
-                i, j = i[new], j[new]
-                differ, number, new = words[i] ^ words[j], bands[i] >> BITS, np.ones(len(i), bool)
-                for t in range(TABLES_OF_BITS):
-                    new[new] = (number[new] <= t) | ((differ[new] & masks[t]) != 0).any(axis=1)
-                i, j = i[new], j[new]
-                np.add.at(links, i, weights[j])
-                np.add.at(links, j, weights[i])
-                pairs.append((i, j))
-            if not links.any():
-                return
-            i, j = (np.concatenate(x) for x in zip(*pairs))
-            root = rooted(i, j, n)
-            has = np.flatnonzero(links)
-            keys = rows.tobytes()
-            key = lambda at: pa.array([keys[34 * k : 34 * k + 34] for k in at], pa.binary())
-            yield pa.RecordBatch.from_arrays([key(has), key(root[has]), pa.array(links[has])], ["id", "root", "links"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bands = np.r_[bands, batch.column(0).to_numpy()]
-            rows = np.r_[rows, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 34)]
-            weights = np.r_[weights, batch.column(2).to_numpy()]
-            whole = int(np.searchsorted(bands, bands[-1]))  # the last run may go on
-            yield from close(bands[:whole], rows[:whole], weights[:whole])
-            bands, rows, weights = bands[whole:], rows[whole:], weights[whole:]
-        yield from close(bands, rows, weights)
-
-    n = partitions(classes.sparkSession)
-    bands = classes.mapInArrow(banded, "band long, digest binary, weight long").repartition(n, "band").sortWithinPartitions("band", "digest")
-    return bands.mapInArrow(scored, "id binary, root binary, links long")
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 34)
+                held.append((batch.column(0).to_numpy(), raw, batch.column(2).to_numpy()))
+            if sum(len(x[0]) for x in held) >= PACKED_ROWS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        """A row for each part that the samples fall in, ways parts a sample: bytes of ids, digests and weights, without the bits, which the digests have."""
+        columns = [np.concatenate(x) for x in zip(*held)]
+        keys = bit_bands(columns[1])
+        part = (mixed(keys.astype(np.uint64) * MULT) % np.uint64(ways)).astype(np.int64) + np.arange(TABLES_OF_BITS) * ways
+        order = np.argsort(part.ravel(), kind="stable")
+        parts, begin = np.unique(part.ravel()[order], return_index=True)
+        bounds, owner = np.r_[begin, len(order)], order // TABLES_OF_BITS
+        blobs = [pa.array([x[owner[i:j]].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *blobs], ["part", "ids", "digests", "weights"])
+
+    def scored(key, found):
+        sample = int(key[0].as_py()) // ways
+        ids, rows, weights = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in (("ids", np.int64), ("digests", np.uint8), ("weights", np.int64)))
+        rows = rows.reshape(-1, 34)
+        bands = bit_bands(rows, slice(sample, sample + 1))[:, 0]
+        place = np.argsort(bands * 256 + rows[:, 0], kind="stable")
+        while True:
+            order = bands[place] * 256 + rows[place, 0]
+            at = np.arange(len(place))
+            ends = np.searchsorted(order, np.minimum(order + reach, order | 255), side="right")
+            meets = (ends > at + 1) | np.r_[False, ends[:-1] > at[1:]]
+            if meets.all():
+                break
+            place = place[meets]  # the others are alone
+        pairs = Near(sample, rows[place], weights[place], near)
+        pairs.compare(ends)
+        has = np.flatnonzero(pairs.links)
+        return pa.table({"id": ids[place[has]], "root": ids[place[pairs.label[has]]], "links": pairs.links[has]})
+
+    parts = classes.select("id", "digest", "weight").mapInArrow(trimmed(banded), "part int, ids binary, digests binary, weights binary")
+    return parts.groupBy("part").applyInArrow(scored, "id long, root long, links long")
 
 
 def fingerprinted(docs: DataFrame, near: int = NEAR) -> DataFrame:
@@ -250,12 +333,14 @@ def fingerprinted(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """
     members = written(with_digest(docs), "digests")
     own = F.when(F.col("n_bytes") >= LEAST_BYTES, F.unhex("digest"))
-    classes = written(members.select("doc_id", own.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")), "digest-classes")
-    found = clustered(near_digests(classes.select("digest", "weight"), near))
-    told = written(classes.join(found.withColumnRenamed("id", "digest"), "digest", "left"), "digest-groups")
-    groups = told.where("label is not null").groupBy("label").agg(F.min("least").alias("group_least"))
-    told = told.join(groups, "label", "left").select(F.lower(F.hex("digest")).alias("digest"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    joined = members.withColumn("key", F.when(F.col("n_bytes") >= LEAST_BYTES, F.col("digest"))).join(told.withColumnRenamed("digest", "key"), "key", "left")
+    grouped = members.select("doc_id", own.alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    classes = written(grouped.withColumn("id", F.monotonically_increasing_id()), "digest-classes")  # numbers, as written: a digest is long
+    found = clustered(near_digests(classes, near))
+    linked = written(found.join(classes.select("id", "least"), "id"), "digest-groups")
+    groups = linked.groupBy("label").agg(F.min("least").alias("group_least"))
+    told = classes.join(linked.join(groups, "label").select("id", "group_least", "links"), "id", "left")
+    told = told.select(F.col("digest").alias("key"), F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    joined = members.join(told, own == F.col("key"), "left")
     return joined.select("doc_id", "n_bytes", "digest", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,46 @@ def test_links_of_awkward_rows(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)]])
 def test_tables_without_texts(spark, rows):
     assert fp.fingerprinted(table(spark, rows)).count() == len(rows)
+
+
+def dense_run(n):
+    """(band, rows) of n digests, in the order of their length codes, which share the first sample and of which most are near."""
+    rng = np.random.default_rng(4)
+    codes = np.repeat(rng.integers(1, 3, (1, fp.BUCKETS)), 4 * n, axis=0)
+    for _ in range(5):
+        codes[np.arange(4 * n), rng.integers(0, fp.BUCKETS, 4 * n)] = rng.integers(0, 4, 4 * n)
+    body = (codes[:, 0::4] << 6 | codes[:, 1::4] << 4 | codes[:, 2::4] << 2 | codes[:, 3::4]).astype(np.uint8)
+    rows = np.c_[rng.integers(100, 103, 4 * n), rng.integers(0x76, 0x78, 4 * n), body].astype(np.uint8)
+    bands = fp.bit_bands(rows)[:, 0]
+    rows = np.unique(rows[bands == np.bincount(bands - bands.min()).argmax() + bands.min()][:n], axis=0)
+    return fp.bit_bands(rows)[:, 0], rows
+
+
+def test_links_of_a_dense_run_are_counted_in_bounded_memory(monkeypatch):
+    bands, rows = dense_run(3000)
+    assert len(rows) > 2000 and len(set(bands.tolist())) == 1
+    ends = np.searchsorted(rows[:, 0], rows[:, 0].astype(int) + 3, side="right")
+    weights = np.arange(len(rows)) % 3 + 1
+    monkeypatch.setattr(fp, "PAIR_BLOCK", 20_000)
+    tracemalloc.start()
+    found = fp.Near(0, rows, weights, fp.NEAR)
+    found.compare(ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table, pairs = fp.body_table(), 0
+    for i in range(0, len(rows), 50):
+        near = fp.score_of(np.broadcast_to(rows[i], rows.shape), rows, table) <= fp.NEAR
+        near[i] = False
+        assert found.links[i] == weights[near].sum()
+        assert (found.label[near] == found.label[i]).all()
+        pairs += 50 * int(near.sum()) // 2
+    assert pairs > 1_000_000 and peak < 16 * pairs
+
+
+def test_pairs_of_digests_have_narrow_ids(spark):
+    base = prose(400, 8)
+    df = fp.with_digest(table(spark, [(i, base.replace("a", "o", i), "en", "s", 1) for i in range(6)]))
+    classes = df.selectExpr("doc_id AS id", "unhex(digest) AS digest", "1L AS weight")
+    got = fp.near_digests(classes)
+    assert dict(got.dtypes) == {"id": "bigint", "root": "bigint", "links": "bigint"}
+    assert {r["id"] for r in got.collect()} <= set(range(6))
