@@ -24,15 +24,19 @@ THRESHOLD with probability RECALL.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.pairs import PACKED, clustered, light, met, near_items, packed_bands, packed_sets, placed, ways_of
 from tarnlight.llm.words import ENDS, LINE, MULT, TITLE, bands_for, bands_of, distinct, grams, long_powers, mixed, slices, trimmed, word_blocks, words_of
-from tarnlight.shared import spread, written
+from tarnlight.shared import new_path, shared_dir, spread, written
 
 MIN_WORDS, BESIDE = 25, 12
 N = 3
@@ -42,8 +46,10 @@ BANDS = bands_for(THRESHOLD, ROWS, RECALL)
 SEED = 4
 #: Bytes of hashes that every worker may hold to look up those of its texts; beyond, texts and hashes are joined.
 LOOKUP_BYTES = 32 << 20
+#: Bytes of a sieve at most, which must be a power of two, and its slices.
+SIEVE_BYTES, SLICES = 32 << 20, 64
 PACK_UNITS = 12_000
-REPEATED = ["c", "first_id", "nulls"]
+REPEATED = ["c", "first"]
 SPAN, LEFT, RIGHT, FIRST, NEAR = range(5)
 
 
@@ -127,7 +133,7 @@ def marked(texts: list[str | None], min_words: int):
 
 
 def rows_in(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("text is not null")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version"), F.xxhash64("doc_id").alias("own")).where("text is not null")
 
 
 def marks(docs: DataFrame, min_words: int) -> DataFrame:
@@ -147,7 +153,7 @@ def marks(docs: DataFrame, min_words: int) -> DataFrame:
 
 def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int) -> DataFrame:
     """The band hashes of the paragraphs of docs, packed; of those that repeated has, if every worker can hold it, only in the first document."""
-    table = held_by_all(repeated, REPEATED, 17)
+    table = held_by_all(repeated, REPEATED)
 
     def run(batches):
         known, held = table and Known(table.value), []
@@ -158,7 +164,7 @@ def packed_units(docs: DataFrame, repeated: DataFrame, min_words: int, ways: int
                 if known and len(c):
                     k = looked_up(known.c, c)
                     own = k < 0
-                    own[~own] = known.own(batch.column(0), first + np.searchsorted(bounds, starts[~own], side="right") - 1, k[~own])
+                    own[~own] = known.own(batch.column(3), first + np.searchsorted(bounds, starts[~own], side="right") - 1, k[~own])
                     starts, ends, c = starts[own], ends[own], c[own]
                 if len(c):
                     keys = unit_bands(hashes, starts, ends)
@@ -187,19 +193,21 @@ def followed(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarr
     return follows
 
 
+def flat(table: pa.Table, name: str) -> np.ndarray:
+    """A column of 64-bit integers as it lies in memory or in a file."""
+    column = table.column(name)
+    return (column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()).to_numpy()
+
+
 class Known:
     """The hashes that repeat, from a table of REPEATED."""
 
     def __init__(self, table: pa.Table):
-        self.c, self.nulls = table.column("c").to_numpy(), table.column("nulls").to_numpy()
-        self.first_ids = table.column("first_id").combine_chunks()
+        self.c, self.first = flat(table, "c"), flat(table, "first")
 
     def own(self, ids: pa.Array, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether the doc_id of each row, of ids, is the first of all that have the hash at a place of the table: the least one, or null where one is null."""
-        x, y = ids.take(pa.array(rows)), self.first_ids.take(pa.array(at))
-        valid = x.is_valid().to_numpy(zero_copy_only=False)
-        same = x.to_numpy(zero_copy_only=False) == y.to_numpy(zero_copy_only=False)
-        return np.where(self.nulls[at], ~valid, valid & same)
+        """Whether the doc_id of each row, by its hash in ids, is the first of all that have the hash at a place of the table: the least one, or null where one is null."""
+        return ids.to_numpy()[rows] == self.first[at]
 
 
 def unit_bands(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -213,86 +221,151 @@ def looked_up(table: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Place of each c in the sorted table, -1 where it is not there."""
     if not len(table):
         return np.full(len(c), -1)
-    at = np.minimum(np.searchsorted(table, c), len(table) - 1)
+    order = np.argsort(c)  # those close together look at the same part of a large table
+    at = np.empty(len(c), np.int64)
+    at[order] = np.minimum(np.searchsorted(table, c[order]), len(table) - 1)
     return np.where(table[at] == c, at, -1)
 
 
-def held_by_all(df: DataFrame, columns: list[str], size: int):
-    """df, sorted by its first column, as an Arrow table in a broadcast, or None where rows of size bytes are over LOOKUP_BYTES."""
-    if not light(df, F.lit(size), LOOKUP_BYTES):
-        return None
-    return df.sparkSession.sparkContext.broadcast(df.select(*columns).toArrow().sort_by(columns[0]))
+def held_by_all(df: DataFrame, columns: list[str]):
+    """df, columns of 64-bit integers, sorted by the first: value is an Arrow table. A broadcast up to LOOKUP_BYTES, beyond them files; None where the shared folder has no path of the file system."""
+    if light(df, F.lit(8 * len(columns)), LOOKUP_BYTES):
+        return df.sparkSession.sparkContext.broadcast(df.select(*columns).toArrow().sort_by(columns[0]))
+    return mapped(df, columns) if folder(df.sparkSession) else None
 
 
-def unit_places(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(id, at) for the paragraphs wanted (id): at is the first (doc_id, version, start, end)."""
-    table = held_by_all(wanted, ["id"], 8)
+def folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path of the file system, if it has one."""
+    path = re.sub("^file:/+", "/", shared_dir(spark))
+    return path if path.startswith("/") else None
 
-    def run(batches):
-        ids = table.value.column("id").to_numpy() if table else None
+
+class Mapped:
+    """Sorted columns in files that workers map, so that those of a machine share what they read, and hold none of it."""
+
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns = path, columns
+
+    @property
+    def value(self) -> pa.Table:
+        paths = [f"{self.path}/{c}" for c in self.columns]
+        buffers = [pa.memory_map(p).read_buffer() if os.path.getsize(p) else pa.py_buffer(b"") for p in paths]
+        return pa.table([pa.Array.from_buffers(pa.int64(), b.size // 8, [None, b]) for b in buffers], names=self.columns)
+
+
+def mapped(df: DataFrame, columns: list[str]) -> Mapped:
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{new_path(spark, 'lookup').rpartition('/')[2]}"
+
+    def write(batches):
+        trial = f"{path}-{uuid.uuid4().hex}"  # of a task that may run again
+        os.makedirs(trial)
+        files = [open(f"{trial}/{c}", "wb") for c in columns]  # noqa: SIM115
         for batch in batches:
-            seen, out = np.zeros(0, np.int64), []
-            for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
-                starts, ends, c = units(bounds, hashes, flags, min_words)
-                c = c.view(np.int64)
-                keep = np.ones(len(c), bool) if ids is None else looked_up(ids, c) >= 0
-                text = np.searchsorted(bounds, starts, side="right") - 1
-                out.append((c[keep], first + text[keep], (starts - bounds[text])[keep], (ends - bounds[text])[keep]))
-            if out:
-                c, owner, start, end = (np.concatenate(x) for x in zip(*out))
-                at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(at), batch.column(2).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "doc_id", "version", "start", "end"])
+            for file, column in zip(files, batch.columns):
+                file.write(column.to_numpy().tobytes())
+        for file in files:
+            file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([trial])], ["path"])
+
+    # one task sorts narrow rows and writes them as they come
+    (row,) = df.select(*columns).repartition(1).sortWithinPartitions(columns[0]).mapInArrow(write, "path string").collect()
+    os.rename(row["path"], path)
+    return Mapped(path, columns)
+
+
+class Sieve:
+    """Which 64-bit hashes may be in a table: all that are, and few others. Three bits of one of SLICES slices each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, len(bits) // SLICES * 8
+
+    def may_have(self, c: np.ndarray) -> np.ndarray:
+        begin = (c.astype(np.int64) & (SLICES - 1)) * self.size
+        found = np.ones(len(c), bool)
+        for at in sieve_places(c, self.size):
+            at += begin
+            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return found
 
-    found = rows_in(docs).mapInArrow(trimmed(run), f"id long, doc_id {dict(docs.dtypes)['doc_id']}, version long, start int, end int")
-    if not table:
-        found = found.join(wanted, "id")
-    return found.groupBy("id").agg(F.min(F.struct("doc_id", "version", "start", "end")).alias("at"))
 
+def sieve_places(c: np.ndarray, size: int) -> list[np.ndarray]:
+    """Three places of each c in its slice of size bits."""
+    h = mixed(c.astype(np.int64).view(np.uint64) * MULT)
+    return [(h >> np.uint64(k) & np.uint64(size - 1)).astype(np.int64) for k in (0, 21, 42)]
 
-def unit_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, weight, grams, bands) of the paragraphs at places (id, at), from the texts again."""
+
+def sieved(df: DataFrame):
+    """A broadcast Sieve of df, of one column of 64-bit hashes: 16 to 32 bits a row, but SIEVE_BYTES at most. Each slice is made by a task."""
+    size = 64
+    rows = df.count()
+    while size * SLICES < min(16 * rows, 8 * SIEVE_BYTES):
+        size *= 2
+
+    def made(key, table):
+        bits = np.zeros(size, np.uint8)
+        for at in sieve_places(table.column("c").to_numpy(), size):
+            bits[at] = 1
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    slices = df.toDF("c").select("c", F.expr(f"cast(pmod(c, {SLICES}) as int) as slice")).groupBy("slice").applyInArrow(made, "slice int, bits binary").toArrow()
+    bits = np.zeros((SLICES, size // 8), np.uint8)
+    for k, own in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
+        bits[k] = np.frombuffer(own, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(Sieve(bits.ravel()))
+
+
+def may_be_in(sieve, c: Column) -> Column:
+    def may_have(x: pd.Series) -> pd.Series:
+        return pd.Series(sieve.value.may_have(x.to_numpy()))
+
+    return F.pandas_udf(may_have, "boolean")(c)
+
+
+def unit_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(id, weight, grams, bands) of the paragraphs wanted (id), and of a few more; in one pass over the texts, which stay where they are."""
+    sieve = sieved(wanted)
 
     def run(batches):
         for batch in batches:
-            spans = batch.column(1).to_pylist()
-            for first, bounds, hashes, _ in word_blocks(batch.column(0).to_pylist()):
-                ids, sets, starts, ends = [], [], [], []
-                for k in range(len(bounds) - 1):
-                    for s in spans[first + k]:
-                        ids.append(s["id"])
-                        starts.append(bounds[k] + s["start"])
-                        ends.append(bounds[k] + s["end"])
-                        sets.append(distinct(grams(hashes[starts[-1] : ends[-1]], N)))
-                if ids:
-                    columns = packed_sets(sets, unit_bands(hashes, np.array(starts), np.array(ends)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.zeros(len(ids), np.int64)), *columns], ["id", "weight", "grams", "bands"])
-
-    spans = places.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.version").alias("w_version")).agg(F.sort_array(F.collect_list(F.struct("at.start", "at.end", "id"))).alias("spans"))
-    spans = written(spans, "unit-spans")
-    side = F.broadcast(spans) if light(spans, "64 + 40 * size(spans)") else spans.hint("shuffle_hash")
-    joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
-    return joined.select("text", "spans").mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary")
+            for _, _, hashes, starts, ends, c in units_of(batch.column(1), min_words):
+                keep = np.flatnonzero(sieve.value.may_have(c))
+                keep = keep[np.unique(c[keep], return_index=True)[1]]
+                if len(keep):
+                    yield sets_at(hashes, starts[keep], ends[keep], c[keep])
+
+    return rows_in(docs).mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary").dropDuplicates(["id"])
+
+
+def units_of(texts: pa.Array, min_words: int):
+    """(first text, bounds, hashes, starts, ends, c) of the paragraphs of texts, block by block."""
+    for first, bounds, hashes, flags in word_blocks(texts.to_pylist()):
+        starts, ends, c = units(bounds, hashes, flags, min_words)
+        yield first, bounds, hashes, starts, ends, c.view(np.int64)
+
+
+def sets_at(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    columns = packed_sets([distinct(grams(hashes[a:b], N)) for a, b in zip(starts, ends)], unit_bands(hashes, starts, ends))
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.zeros(len(c), np.int64)), *columns], ["id", "weight", "grams", "bands"])
 
 
 def sets_by_lookup(docs: DataFrame, wanted, repeated, min_words: int) -> DataFrame:
-    """As unit_sets() of unit_places(), in one pass, where every worker holds what is wanted and what repeats; a paragraph comes from each text of its first document."""
+    """As unit_sets(), where every worker holds what is wanted and what repeats; a paragraph comes from each text of its first document."""
 
     def run(batches):
-        ids, known = wanted.value.column("id").to_numpy(), Known(repeated.value)
+        ids, known = flat(wanted.value, "id"), Known(repeated.value)
         for batch in batches:
-            for first, bounds, hashes, flags in word_blocks(batch.column(1).to_pylist()):
-                starts, ends, c = units(bounds, hashes, flags, min_words)
-                keep = np.flatnonzero(looked_up(ids, c.view(np.int64)) >= 0)
+            for first, bounds, hashes, starts, ends, c in units_of(batch.column(1), min_words):
+                keep = np.flatnonzero(looked_up(ids, c) >= 0)
                 if len(keep):
-                    k = looked_up(known.c, c.view(np.int64)[keep])
+                    k = looked_up(known.c, c[keep])
                     own = k < 0
-                    own[~own] = known.own(batch.column(0), first + np.searchsorted(bounds, starts[keep[~own]], side="right") - 1, k[~own])
+                    own[~own] = known.own(batch.column(3), first + np.searchsorted(bounds, starts[keep[~own]], side="right") - 1, k[~own])
                     keep = keep[own]
                 if len(keep):
                     keep = keep[np.unique(c[keep], return_index=True)[1]]
                     keep.sort()
-                    columns = packed_sets([distinct(grams(hashes[a:b], N)) for a, b in zip(starts[keep], ends[keep])], unit_bands(hashes, starts[keep], ends[keep]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)[keep]), pa.array(np.zeros(len(keep), np.int64)), *columns], ["id", "weight", "grams", "bands"])
+                    yield sets_at(hashes, starts[keep], ends[keep], c[keep])
 
     return rows_in(docs).mapInArrow(trimmed(run), "id long, weight long, grams binary, bands binary")
 
@@ -302,8 +375,8 @@ def near_units(docs: DataFrame, repeated: DataFrame, min_words: int, threshold:
     ways = ways_of(docs.sparkSession, BANDS)
     tiles = placed(met(packed_units(docs, repeated, min_words, ways), ways).withColumn("size", F.lit(2 * min_words)))
     wanted = written(tiles.select("id").distinct(), "wanted")
-    held = held_by_all(wanted, ["id"], 8), held_by_all(repeated, REPEATED, 17)
-    sets = sets_by_lookup(docs, *held, min_words) if all(held) else unit_sets(docs, unit_places(docs, wanted, min_words))
+    held = held_by_all(wanted, ["id"]), held_by_all(repeated, REPEATED)
+    sets = sets_by_lookup(docs, *held, min_words) if all(held) else unit_sets(docs, wanted, min_words)
     near = near_items(tiles, sets, threshold)
     return clustered(near).select(F.col("id").alias("c"), "label")
 
@@ -312,7 +385,7 @@ HITS = "kind int, doc_id {kind}, version long, start int, end int, c long"
 
 
 def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int) -> DataFrame:
-    """(kind, doc_id, version, start, end, c) of what repeats; repeated has (c, first_id, nulls), near (c, label).
+    """(kind, doc_id, version, start, end, c) of what repeats; repeated has (c, first), near (c, label).
 
     SPAN: words that an earlier place has. Of seeds in a row, each of which
     begins before the end of the one before, they are one, with its first seed
@@ -321,7 +394,7 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
     its label.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    tables = held_by_all(repeated, REPEATED, 17), held_by_all(near, ["c", "label"], 16)
+    tables = held_by_all(repeated, REPEATED), held_by_all(near, ["c", "label"])
     names = [x.split()[0] for x in HITS.split(", ")]
 
     def of_texts(batch, found):
@@ -364,8 +437,7 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
 
         def run(batches):
             known, labels = Known(tables[0].value), tables[1].value
-            ls = labels.column("c").to_numpy()
-            label_of = labels.column("label").combine_chunks()
+            ls, label_of = flat(labels, "c"), pa.array(flat(labels, "label"))
             for batch in batches:
                 parts = []
                 for first, bounds, starts, ends, c, unit in marked(batch.column(1).to_pylist(), min_words):
@@ -380,14 +452,18 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
                 if not len(c):
                     continue
                 own = k >= 0
-                own[own] = known.own(batch.column(0), owner[own], k[own])
+                own[own] = known.own(batch.column(3), owner[own], k[own])
                 yield of_texts(batch, (owner, start, end, unit, c, own, label_of.take(pa.array(j, mask=j < 0))))
 
         return rows_in(docs).mapInArrow(trimmed(run), HITS.format(kind=kind))
 
+    sieve = sieved(repeated.select("c").union(near.select("c")))
+
     def every(batches):
         for batch in batches:
             for first, bounds, starts, ends, c, unit in marked(batch.column(1).to_pylist(), min_words):
+                kept = sieve.value.may_have(c)
+                starts, ends, c, unit = starts[kept], ends[kept], c[kept], unit[kept]
                 text = np.searchsorted(bounds, starts, side="right") - 1
                 at = pa.array(first + text)
                 yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(at), batch.column(2).take(at), pa.array(starts - bounds[text], pa.int32()), pa.array(ends - bounds[text], pa.int32()), pa.array(unit)], ["c", "doc_id", "version", "start", "end", "unit"])
@@ -403,7 +479,7 @@ def hits(docs: DataFrame, repeated: DataFrame, near: DataFrame, min_words: int)
 
     rows = rows_in(docs).mapInArrow(trimmed(every), f"c long, doc_id {kind}, version long, start int, end int, unit boolean")
     keys = repeated.join(near, "c", "full")
-    own = F.when(F.col("nulls"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    own = F.xxhash64("doc_id") == F.col("first")
     found = rows.join(keys, "c").select("doc_id", "version", F.struct("start", "end", "unit", "c", F.coalesce(own, F.lit(False)).alias("own"), "label").alias("hit"))
     lists = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     return lists.select("doc_id", F.lit(0).alias("none"), "version", "hits").mapInArrow(trimmed(gathered), HITS.format(kind=kind))
@@ -431,8 +507,12 @@ def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     lists = written(places.groupBy("w_id", "w_version").agg(F.collect_set("place").alias("places")), "places")
-    side = F.broadcast(lists) if light(lists, "64 + 8 * size(places)") else lists.hint("shuffle_hash")
-    joined = rows_in(docs).join(side, F.expr("w_id <=> doc_id and w_version = version"))
+    texts, side = rows_in(docs), lists
+    if light(lists, "64 + 8 * size(places)"):
+        side = F.broadcast(lists)
+    else:  # only the texts that have any go through the shuffle
+        texts, side = texts.where(may_be_in(sieved(lists.select("w_version")), F.col("version"))), lists.hint("shuffle_hash")
+    joined = texts.join(side, F.expr("w_id <=> doc_id and w_version = version"))
     # rows that stand twice have the same words
     return joined.select("doc_id", "text", "version", "places").mapInArrow(trimmed(run), f"doc_id {kind}, version long, place long, words binary").dropDuplicates(["doc_id", "version", "place"])
 
@@ -489,7 +569,9 @@ def cut_spans(text: str, spans: list) -> str:
 
 def repeated_spans(docs: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """(doc_id, version, start, end, kept) of the words to cut (kept false, or null: whatever else is kept there) and to keep."""
-    counted = marks(docs, min_words).groupBy("c").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("nulls"))
+    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
+    first = F.xxhash64(F.when(F.max(F.col("doc_id").isNull()), none).otherwise(F.min("doc_id")))
+    counted = marks(docs, min_words).groupBy("c").agg(F.count("*").alias("n"), first.alias("first"))
     repeated = written(counted.where("n > 1").select(*REPEATED), "repeated")
     near = written(near_units(docs, repeated, min_words, threshold), "near-units")
     found = written(hits(docs, repeated, near, min_words), "hits")
@@ -530,8 +612,13 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float =
         kept = (None, True, False)
         return pd.Series([None if t is None else cut_spans(t, [(s >> 33, s >> 2 & 0x7FFFFFFF, kept[s & 3]) for s in map(int, spans)]) for t, spans in zip(texts, lists)], dtype=object)
 
-    side = F.broadcast(lists) if light(lists, "64 + 8 * size(__tl_spans)") else lists.hint("shuffle_hash")
-    joined = docs.withColumn("__tl_hash", F.xxhash64("text")).join(side, F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null"), "left")
+    rows, on = docs.withColumn("__tl_hash", F.xxhash64("text")), F.expr("doc_id <=> __tl_id and __tl_hash = __tl_version and text is not null")
+    if light(lists, "64 + 8 * size(__tl_spans)"):
+        joined = rows.join(F.broadcast(lists), on, "left")
+    else:  # only the texts that have spans, and a few more, go through the shuffle
+        maybe = may_be_in(sieved(lists.select("__tl_version")), F.col("__tl_hash"))
+        none = [F.lit(None).cast(lists.schema[c].dataType).alias(c) for c in lists.columns]
+        joined = rows.where(maybe).join(lists.hint("shuffle_hash"), on, "left").union(rows.where(~maybe).select("*", *none))
     touched = F.when(F.col("__tl_spans").isNotNull(), F.col("text"))
     joined = joined.withColumn("__tl_new", F.pandas_udf(cut, "string")(touched, "__tl_spans"))
     new = joined.where(F.expr(r"__tl_new is null or __tl_new = text or __tl_new rlike '\\S'"))

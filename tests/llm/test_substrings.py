@@ -1,7 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from tarnlight.llm import substrings as s
 from tarnlight.llm.words import bands_of, word_blocks
@@ -187,3 +190,39 @@ def test_versions_close_together_in_one_document_do_not_hide_their_copies(spark)
     other = prose(45, 970)
     got = run(spark, [prose(45, 971), " ".join([*first, *second]), other + " " + " ".join(second)])
     assert len(got[1]["text"].split()) < 120 - 25 and len(got[2]["text"].split()) < 45 + 30
+
+
+@pytest.mark.parametrize("size", [10, 5_000])
+def test_sieves_have_all_and_few_others(spark, size):
+    rng = np.random.default_rng(size)
+    own, other = (rng.integers(-(2**63), 2**63 - 1, n) for n in (size, 20_000))
+    sieve = s.sieved(spark.createDataFrame([(int(c),) for c in own], "id long")).value
+    assert sieve.may_have(own).all() and sieve.may_have(other).mean() < 0.02
+    assert not s.sieved(spark.createDataFrame([], "id long")).value.may_have(other).any()
+    assert not sieve.may_have(np.zeros(0, np.int64)).any()
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_no_side_is_broadcast_and_few_texts_and_marks_are_shuffled(spark, monkeypatch, files):
+    """With nothing light, lookups in files or joined: the same result, and of rows that repeat nothing, neither text nor places reach a join."""
+    texts = [prose(120, 870 + i) for i in range(40)]
+    texts[3] += " " + PASSAGE + " " + prose(40, 51)
+    texts[5] = " ".join([*texts[3].split()[:100], "other", *texts[3].split()[101:]])
+    texts[6] = PASSAGE + " " + PASSAGE
+    docs = table(spark, [*((i, t, "en", "s", len(t)) for i, t in enumerate(texts)), *((r[0] and r[0] + 100, *r[1:]) for r in awkward())])
+    want = Counter(map(tuple, s.deduplicated(docs).collect()))
+    seen = {}
+    sieved = s.sieved
+
+    def counted(df):
+        seen[df.columns[0]] = sieved(df)
+        return seen[df.columns[0]]
+
+    monkeypatch.setattr(s, "light", lambda *_: False)
+    monkeypatch.setattr(s, "sieved", counted)
+    if not files:
+        monkeypatch.setattr(s, "folder", lambda _: None)
+    assert Counter(map(tuple, s.deduplicated(docs).collect())) == want
+    assert want.total() > 50 and (3, texts[3]) in {r[:2] for r in want}
+    assert set(seen) == {"w_version", "__tl_version"} | (set() if files else {"id", "c"})
+    assert s.rows_in(docs).where(s.may_be_in(seen["__tl_version"], F.col("version"))).count() < 12
