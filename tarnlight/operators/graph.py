@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.operators.components import components
 from tarnlight.operators import vector_search
+from tarnlight.shared import written
 
 MUTUAL_FACTOR, LEAST_WEIGHT = 1.15, 0.05
 
@@ -114,8 +115,10 @@ def every_nth(rows: DataFrame, most: int = 2600) -> DataFrame:
     step = max(1, -(-n // most))
     if step == 1:
         return rows
-    placed = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id())
-    local = placed.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("id")))
+    order = F.asc_nulls_last("id")
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("p", F.spark_partition_id())
+    # written, for a second run of the sort may draw other bounds between partitions, so that places and counts would not fit
+    local = written(placed.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(order))), "placed")
     sizes = local.groupBy("p").agg(F.count("*").alias("c"))
     before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
     return local.join(F.broadcast(before), "p").where((F.col("before") + F.col("n") - 1) % step == 0).select(rows.columns)
