@@ -64,7 +64,7 @@ def text_index_of(spark: SparkSession, lookups: list[Lookup]) -> tuple[DataFrame
     found = [s.text_index() for s in stores]
     if not found or None in found:
         return None
-    return reduce(DataFrame.unionByName, [x for x, _ in found]), reduce(DataFrame.unionByName, [x for _, x in found])
+    return reduce(DataFrame.unionByName, [x.lengths for x in found]), reduce(DataFrame.unionByName, [x.postings for x in found])
 
 
 def run_query(spark: SparkSession, config: Config, embed: Callable, text: str, names: list[str] | None = None, top: int = 10, concise: bool = True, brief_chars: int = 300, chat: Callable | None = None) -> list[dict]:
