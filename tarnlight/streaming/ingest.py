@@ -29,7 +29,7 @@ def watch(spark: SparkSession, folder: str, store, lookup: str, reader: str, emb
         old = store.chunks()
         old = batch.sparkSession.createDataFrame([], CHUNKS) if old is None else old
         classes = classified(new, old)
-        vectors = reusable(old).union(embedded(classes.where("change = 'embed'"), embed_fn))
+        vectors = reusable(old).union(embedded(classes.where("change = 'embed'").dropDuplicates(["hash"]), embed_fn))
         fresh = classes.where("change <> 'skip'").join(vectors, "hash").select(*KEY, "hash", "embedding", bucket_key(F.col("embedding")).alias("bucket"), "text")
         store.replace(without_stale_chunks(upserted(old, fresh), new), None)
 
